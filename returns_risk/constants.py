@@ -3,8 +3,7 @@
 # ---------------------------------------------------------------------------
 # Column names of the two input tables
 # ---------------------------------------------------------------------------
-RETAIL_COLUMNS = ("InvoiceNo", "Quantity", "InvoiceDate", "UnitPrice", "CustomerID")
-
+# Invoice lines: InvoiceNo, Quantity, InvoiceDate, UnitPrice, CustomerID.
 # Header names in the ticket file -> names used everywhere after the scan.
 TICKET_COLUMNS = {
     "Ticket ID": "TicketID",

@@ -5,8 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
+
+from returns_risk.functions.numeric import sql_text
 
 # A word character is a letter, a number or an underscore in any script. Spelled out because
 # Java's own \b also counts combining marks.
@@ -56,19 +57,16 @@ def may_overlap(terms: Iterable[str]) -> bool:
     return False
 
 
-def keyword_count(text: Column, terms: Iterable[str]) -> Column:
-    """Number of whole-word hits of all ``terms`` in ``text``, ignoring case."""
+def keyword_count(text: str, terms: Iterable[str]) -> str:
+    """SQL text: number of whole-word hits of all ``terms`` in ``text``, ignoring case."""
     terms = list(terms)
     if not terms:
-        return F.lit(0)
-    lowered = F.lower(text)
+        return "0"
     one_by_one = len(set(terms)) < len(terms) or may_overlap(terms)
     groups = [[term] for term in terms] if one_by_one else [terms]
-    counts = [F.regexp_count(lowered, F.lit(whole_word_pattern(group))) for group in groups]
-    total = counts[0]
-    for count in counts[1:]:
-        total = total + count
-    return total
+    return " + ".join(
+        f"regexp_count(lower({text}), {sql_text(whole_word_pattern(group))})" for group in groups
+    )
 
 
 def with_keyword_counts(df: DataFrame, text: str, lists: Mapping[str, Iterable[str]]) -> DataFrame:
@@ -81,17 +79,19 @@ def with_keyword_counts(df: DataFrame, text: str, lists: Mapping[str, Iterable[s
     union = list(dict.fromkeys(term for terms in lists.values() for term in terms))
     repeated = any(len(set(terms)) < len(terms) for terms in lists.values())
     if not union or repeated or may_overlap(union):
-        return df.withColumns({name: keyword_count(F.col(text), terms) for name, terms in lists.items()})
+        return df.selectExpr("*", *[f"{keyword_count(text, terms)} AS {name}" for name, terms in lists.items()])
 
-    def hits_in(terms: list[str]) -> Column:
-        return F.coalesce(F.size(F.filter("_hits", lambda hit: hit.isin(terms))), F.lit(0))
+    def hits_in(terms: list[str]) -> str:
+        wanted = ", ".join(map(sql_text, terms))
+        return f"coalesce(size(filter(_hits, hit -> hit IN ({wanted}))), 0)" if terms else "0"
 
-    hits = F.regexp_extract_all(F.lower(text), F.lit(whole_word_pattern(union)), F.lit(0))
-    counts = {name: hits_in(terms) for name, terms in lists.items()}
-    return df.withColumn("_hits", hits).withColumns(counts).drop("_hits")
+    pattern = sql_text(whole_word_pattern(union))
+    return (
+        df.selectExpr("*", f"regexp_extract_all(lower({text}), {pattern}, 0) AS _hits")
+        .selectExpr("* EXCEPT (_hits)", *[f"{hits_in(terms)} AS {name}" for name, terms in lists.items()])
+    )
 
 
-def sentiment(positive: Column, negative: Column) -> Column:
-    """(positive - negative) / (positive + negative), and 0 where there is no hit at all."""
-    hits = positive + negative
-    return F.when(hits == 0, F.lit(0.0)).otherwise((positive - negative) / hits)
+def sentiment(positive: str, negative: str) -> str:
+    """SQL text: (positive - negative) / (positive + negative), and 0 where there is no hit at all."""
+    return f"coalesce(try_divide(double({positive} - {negative}), {positive} + {negative}), 0D)"

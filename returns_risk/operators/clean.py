@@ -4,66 +4,50 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from returns_risk.constants import MONTH_FIRST
 
+# Rows read, rows without customer, and rows with customer but without a valid date.
+DROP_COUNTS = {
+    "rows_read": "count(1)",
+    "missing_customer": "count_if(CustomerID IS NULL)",
+    "bad_date": "count_if(CustomerID IS NOT NULL AND InvoiceDate IS NULL)",
+}
 
-def parse_date(column: Column, formats: Sequence[str] = MONTH_FIRST) -> Column:
-    """Wall-clock time from text in any of ``formats``; null where none fits.
+
+def parse_date(text: str, formats: Sequence[str] = MONTH_FIRST) -> str:
+    """SQL text: wall-clock time from ``text`` in any of ``formats``; null where none fits.
 
     Runs in the session time zone without shifting the clock, so keep that at UTC.
     """
     attempts = [
-        column.try_cast("timestamp_ntz") if fmt == "iso"
-        else F.try_to_timestamp(column, F.lit(fmt)).cast("timestamp_ntz")
+        f"try_cast({text} AS timestamp_ntz)" if fmt == "iso"
+        else f"CAST(try_to_timestamp({text}, '{fmt}') AS timestamp_ntz)"
         for fmt in formats
     ]
-    return F.coalesce(*attempts)
+    return f"coalesce({', '.join(attempts)})"
 
 
-def parse_date_strict(column: Column, formats: Sequence[str] = MONTH_FIRST) -> Column:
+def parse_date_strict(text: str, formats: Sequence[str] = MONTH_FIRST) -> str:
     """As :func:`parse_date`, but text that fits no format fails the query."""
-    parsed = parse_date(column, formats)
-    message = F.concat(F.lit("Not a date: "), column)
-    return F.when(column.isNotNull() & parsed.isNull(), F.raise_error(message).cast("timestamp_ntz")).otherwise(parsed)
-
-
-def _typed_customer(df: DataFrame) -> Column:
-    customer = F.col("CustomerID")
-    if df.schema["CustomerID"].dataType.typeName() in ("double", "float"):
-        customer = F.nanvl(customer, F.lit(None).cast("double"))
-    return customer.cast("long")
-
-
-def _typed_date(df: DataFrame, formats: Sequence[str], on_bad_date: str) -> Column:
-    if not isinstance(df.schema["InvoiceDate"].dataType, StringType):
-        return F.col("InvoiceDate").cast("timestamp_ntz")
-    if on_bad_date == "raise":
-        return parse_date_strict(F.col("InvoiceDate"), formats)
-    return parse_date(F.col("InvoiceDate"), formats)
+    failure = f"CAST(raise_error(concat('Not a date: ', {text})) AS timestamp_ntz)"
+    return f"coalesce({parse_date(text, formats)}, if({text} IS NULL, NULL, {failure}))"
 
 
 def type_retail(
     df: DataFrame, date_formats: Sequence[str] = MONTH_FIRST, on_bad_date: str = "drop"
 ) -> DataFrame:
     """Customer number as long and invoice date as timestamp; no row is dropped."""
-    return df.withColumns({
-        "CustomerID": _typed_customer(df),
-        "InvoiceDate": _typed_date(df, date_formats, on_bad_date),
-    })
-
-
-def drop_counts() -> list[Column]:
-    """Rows read, rows without customer, and rows with customer but without a valid date."""
-    no_customer = F.col("CustomerID").isNull()
-    return [
-        F.count(F.lit(1)).alias("rows_read"),
-        F.count_if(no_customer).alias("missing_customer"),
-        F.count_if(~no_customer & F.col("InvoiceDate").isNull()).alias("bad_date"),
-    ]
+    kinds = dict(df.dtypes)
+    customer, date = "bigint(CustomerID)", "CAST(InvoiceDate AS timestamp_ntz)"
+    if kinds["CustomerID"] in ("double", "float"):
+        customer = "bigint(nanvl(CustomerID, NULL))"
+    if kinds["InvoiceDate"] == "string":
+        parse = parse_date_strict if on_bad_date == "raise" else parse_date
+        date = parse("InvoiceDate", date_formats)
+    return df.withColumns({"CustomerID": F.expr(customer), "InvoiceDate": F.expr(date)})
 
 
 def clean_retail(
@@ -75,32 +59,32 @@ def clean_retail(
     """Typed invoice lines with customer, plus return flag, split quantities and line value.
 
     ``on_bad_date``: "drop" the row, "keep" it with a null date, or "raise". ``counts`` collects
-    :func:`drop_counts` while the rows pass by, so that the counts cost no extra scan.
+    ``DROP_COUNTS`` while the rows pass by, so that the counts cost no extra scan.
     """
     if on_bad_date not in ("drop", "keep", "raise"):
         raise ValueError(f"on_bad_date must be 'drop', 'keep' or 'raise', not {on_bad_date!r}")
     typed = type_retail(df, date_formats, on_bad_date)
     if counts is not None:
-        typed = typed.observe(counts, *drop_counts())
-    needed = ["CustomerID"] if on_bad_date == "keep" else ["CustomerID", "InvoiceDate"]
-    quantity = F.col("Quantity")
-    return typed.na.drop(subset=needed).withColumns({
-        "IsReturn": F.coalesce(F.col("InvoiceNo").startswith("C"), F.lit(False))
-        | F.coalesce(quantity < 0, F.lit(False)),
-        "PurchaseQuantity": F.when(quantity > 0, quantity).otherwise(0),
-        "ReturnQuantity": F.when(quantity < 0, -quantity).otherwise(0),
-        "LineTotal": quantity * F.col("UnitPrice"),
-    })
+        typed = typed.observe(counts, *[F.expr(count).alias(name) for name, count in DROP_COUNTS.items()])
+    dated = "" if on_bad_date == "keep" else " AND InvoiceDate IS NOT NULL"
+    return typed.where(f"CustomerID IS NOT NULL{dated}").selectExpr(
+        "*",
+        "coalesce(startswith(InvoiceNo, 'C'), false) OR coalesce(Quantity < 0, false) AS IsReturn",
+        "if(Quantity > 0, Quantity, 0) AS PurchaseQuantity",
+        "if(Quantity < 0, -Quantity, 0) AS ReturnQuantity",
+        "Quantity * UnitPrice AS LineTotal",
+    )
 
 
 def dropped_rows(df: DataFrame, date_formats: Sequence[str] = MONTH_FIRST) -> DataFrame:
-    """One row with the :func:`drop_counts` of raw invoice lines."""
-    return type_retail(df, date_formats).agg(*drop_counts())
+    """One row with the ``DROP_COUNTS`` of raw invoice lines."""
+    counts = [f"{count} AS {name}" for name, count in DROP_COUNTS.items()]
+    return type_retail(df, date_formats).selectExpr(*counts)
 
 
 def clean_tickets(df: DataFrame, parse_purchase_date: bool = True) -> DataFrame:
     """Tickets with a strictly parsed purchase date and with empty text instead of none."""
-    columns = {"TicketDescription": F.coalesce("TicketDescription", F.lit(""))}
-    if parse_purchase_date and isinstance(df.schema["DateOfPurchase"].dataType, StringType):
-        columns["DateOfPurchase"] = parse_date_strict(F.col("DateOfPurchase")).cast("date")
+    columns = {"TicketDescription": F.expr("coalesce(TicketDescription, '')")}
+    if parse_purchase_date and dict(df.dtypes)["DateOfPurchase"] == "string":
+        columns["DateOfPurchase"] = F.expr(f"date({parse_date_strict('DateOfPurchase')})")
     return df.withColumns(columns)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from returns_risk import constants as c
@@ -10,6 +10,11 @@ from returns_risk.operators.ranks import ROWS_PER_BUCKET, totals_before
 from returns_risk.sources.store import write_once
 
 
+def seeded_hash(key: str = c.CUSTOMER, seed: int = c.SEED) -> str:
+    """SQL text: the hash that decides random draws of rows."""
+    return f"md5(concat('{seed}:', string({key})))"
+
+
 def stratified_split(
     df: DataFrame,
     label: str = c.LABEL,
@@ -23,60 +28,54 @@ def stratified_split(
     prefix that holds the last test row is found, only the rows of that one prefix are ranked, and
     their cut-off hash per class comes back as one row. Reads ``df`` three times: pass a stored table.
     """
-    positive = F.col(label) == 1
-    drawn = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
-    hashed = df.select(
-        positive.alias("_positive"), drawn.alias("_hash"), F.substring(drawn, 1, 4).alias("_prefix")
+    drawn = seeded_hash(key, seed)
+    hashed = df.selectExpr(f"{label} = 1 AS _one", f"{drawn} AS _hash").selectExpr(
+        "*", "substr(_hash, 1, 4) AS _prefix"
     )
-
-    by_prefix = Window.partitionBy("_positive").orderBy("_prefix")
-    counted = hashed.groupBy("_positive", "_prefix").agg(F.count(F.lit(1)).alias("_n")).withColumns({
-        "_upto": F.sum("_n").over(by_prefix.rowsBetween(Window.unboundedPreceding, 0)),
-        "_total": F.sum("_n").over(Window.partitionBy("_positive")),
-    })
-    wanted = F.round(F.lit(fraction) * F.col("_total")).cast("long")
-    last_prefix = counted.where((wanted <= F.col("_upto")) & (wanted > F.col("_upto") - F.col("_n"))).select(
-        "_positive", "_prefix", (wanted - F.col("_upto") + F.col("_n")).alias("_place")
+    counted = hashed.groupBy("_one", "_prefix").agg(F.expr("count(1) AS _n")).selectExpr(
+        "*",
+        "sum(_n) OVER (PARTITION BY _one ORDER BY _prefix) AS _upto",
+        f"bigint(round({fraction}D * sum(_n) OVER (PARTITION BY _one))) AS _wanted",
     )
-
-    # One row per class.
-    ranked = hashed.join(F.broadcast(last_prefix), ["_positive", "_prefix"]).withColumn(
-        "_rank", F.row_number().over(Window.partitionBy("_positive").orderBy("_hash"))
+    last_prefix = counted.where("_wanted <= _upto AND _wanted > _upto - _n").selectExpr(
+        "_one", "_prefix", "_wanted - _upto + _n AS _place"
+    )
+    # last_prefix has one row per class.
+    ranked = hashed.join(F.broadcast(last_prefix), ["_one", "_prefix"]).selectExpr(
+        "*", "row_number() OVER (PARTITION BY _one ORDER BY _hash) AS _rank"
     )
-    is_last = F.col("_rank") == F.col("_place")
-    cuts = ranked.agg(F.struct(
-        F.max(F.when(is_last & F.col("_positive"), F.col("_hash"))).alias("one"),
-        F.max(F.when(is_last & ~F.col("_positive"), F.col("_hash"))).alias("zero"),
+    cuts = ranked.where("_rank = _place").agg(F.expr(
+        "struct(max(if(_one, _hash, NULL)) AS one, max(if(_one, NULL, _hash)) AS zero)"
     )).scalar()
-    cut = F.when(positive, cuts["one"]).otherwise(cuts["zero"])
-    return df.withColumn("is_test", F.coalesce(drawn <= cut, F.lit(False)))
+    return (
+        df.withColumn("_cuts", cuts)
+        .selectExpr(
+            "* EXCEPT (_cuts)",
+            f"coalesce({drawn} <= if({label} = 1, _cuts.one, _cuts.zero), false) AS is_test",
+        )
+    )
 
 
 def label_totals(df: DataFrame, label: str = c.LABEL) -> DataFrame:
     """Customers, abusers and their percentage; 0 percent of nobody."""
-    return df.agg(
-        F.count(F.lit(1)).alias("total_customers"),
-        F.coalesce(F.sum(F.col(label).cast("long")), F.lit(0).cast("long")).alias("abusers"),
-    ).withColumn(
-        "percent", F.coalesce(F.try_divide(F.col("abusers"), F.col("total_customers")) * 100, F.lit(0.0))
+    return df.selectExpr("count(1) AS total_customers", f"count_if({label} = 1) AS abusers").selectExpr(
+        "*", "coalesce(try_divide(double(abusers), total_customers) * 100, 0D) AS percent"
     )
 
 
 def label_distribution(df: DataFrame, label: str = c.LABEL) -> DataFrame:
     """Count and share of each label value that occurs. One pass, one row of partial sums."""
-    totals = df.agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col(label) == 1).alias("_ones"))
-    lines = [(1, F.col("_ones")), (0, F.col("_n") - F.col("_ones"))]
-    counts = F.array(*[F.struct(F.lit(value).alias(label), n.alias("customers")) for value, n in lines])
     return (
-        totals.select("_n", F.inline(counts))
+        df.selectExpr("count(1) AS _n", f"count_if({label} = 1) AS _ones")
+        .selectExpr("_n", f"stack(2, 1, _ones, 0, _n - _ones) AS ({label}, customers)")
         .where("customers > 0")
-        .select(label, "customers", (F.col("customers") / F.col("_n")).alias("share"))
+        .selectExpr(label, "customers", "double(customers) / _n AS share")
         .orderBy(F.desc("customers"), label)
     )
 
 
-def _or_zero(top: Column, bottom: Column) -> Column:
-    return F.coalesce(F.try_divide(top.cast("double"), bottom), F.lit(0.0))
+def _ratio(top: str, bottom: str) -> str:
+    return f"coalesce(try_divide(double({top}), {bottom}), 0D)"
 
 
 def classification_report(df: DataFrame, label: str = c.LABEL, prediction: str = c.PREDICTION) -> DataFrame:
@@ -85,33 +84,25 @@ def classification_report(df: DataFrame, label: str = c.LABEL, prediction: str =
     Ratios without a base are 0. The accuracy line holds the accuracy in all three columns. The data
     is read once, into four counts.
     """
-    yes, said = F.col(label) == 1, F.col(prediction) == 1
-    counts = df.agg(
-        F.count_if(yes & said).alias("_11"), F.count_if(yes & ~said).alias("_10"),
-        F.count_if(~yes & said).alias("_01"), F.count_if(~yes & ~said).alias("_00"),
+    counts = df.selectExpr(
+        f"count_if({label} = 1 AND {prediction} = 1) AS n11", f"count_if({label} = 1 AND {prediction} = 0) AS n10",
+        f"count_if({label} = 0 AND {prediction} = 1) AS n01", f"count_if({label} = 0 AND {prediction} = 0) AS n00",
+    )
+    measures = []
+    for name, hit, false_alarm, missed in (("0", "n00", "n10", "n01"), ("1", "n11", "n01", "n10")):
+        measures += [
+            f"{_ratio(hit, f'{hit} + {false_alarm}')} AS p{name}",
+            f"{_ratio(hit, f'{hit} + {missed}')} AS r{name}",
+            f"{_ratio(f'2 * {hit}', f'2 * {hit} + {false_alarm} + {missed}')} AS f{name}",
+            f"{hit} + {missed} AS s{name}",
+        ]
+    macro = ", ".join(f"({m}0 + {m}1) / 2" for m in "prf")
+    weighted = ", ".join(_ratio(f"{m}0 * s0 + {m}1 * s1", "s0 + s1") for m in "prf")
+    return counts.selectExpr(f"{_ratio('n11 + n00', 'n11 + n10 + n01 + n00')} AS a", *measures).selectExpr(
+        f"""stack(5, '0', p0, r0, f0, s0, '1', p1, r1, f1, s1, 'accuracy', a, a, a, s0 + s1,
+                  'macro avg', {macro}, s0 + s1, 'weighted avg', {weighted}, s0 + s1)
+            AS (class, precision, recall, f1_score, support)"""
     )
-    n11, n10, n01, n00 = (F.col(f"_{name}") for name in ("11", "10", "01", "00"))
-
-    def measures(hit: Column, false_alarm: Column, missed: Column) -> list[Column]:
-        precision, recall = _or_zero(hit, hit + false_alarm), _or_zero(hit, hit + missed)
-        f1 = _or_zero(hit * 2, hit * 2 + false_alarm + missed)
-        return [precision, recall, f1, hit + missed]
-
-    names = ("precision", "recall", "f1_score", "support")
-    zero, one = measures(n00, n10, n01), measures(n11, n01, n10)
-    everyone = n11 + n10 + n01 + n00
-    accuracy = _or_zero(n11 + n00, everyone)
-    macro = [(a + b) / 2 for a, b in zip(zero[:3], one[:3])]
-    weighted = [_or_zero(a * zero[3] + b * one[3], everyone) for a, b in zip(zero[:3], one[:3])]
-    table = {
-        "0": zero, "1": one, "accuracy": [accuracy] * 3 + [everyone],
-        "macro avg": [*macro, everyone], "weighted avg": [*weighted, everyone],
-    }
-    rows = [
-        F.struct(F.lit(title).alias("class"), *[value.alias(name) for name, value in zip(names, values)])
-        for title, values in table.items()
-    ]
-    return counts.select(F.inline(F.array(*rows)))
 
 
 def roc_auc(
@@ -127,15 +118,12 @@ def roc_auc(
     """
     by_score = write_once(
         df.groupBy(F.col(score).alias("_score")).agg(
-            F.count_if(F.col(label) == 1).alias("_ones"), F.count_if(F.col(label) == 0).alias("_zeros")
+            F.expr(f"count_if({label} = 1) AS _ones"), F.expr(f"count_if({label} = 0) AS _zeros")
         ),
         "scores",
     )
-    below = totals_before(by_score, "_score", {"_below": F.col("_zeros")}, by_score.count(), rows_per_bucket)
-    whole = "decimal(19,0)"
-    won = F.col("_ones").cast(whole) * (F.col("_below") * 2 + F.col("_zeros")).cast(whole)
-    sums = below.agg(
-        F.sum(won).cast("double").alias("_won"), F.sum("_ones").alias("ones"), F.sum("_zeros").alias("zeros")
-    )
-    pairs = F.col("ones").cast("double") * F.col("zeros") * 2
-    return sums.select(F.try_divide(F.col("_won"), pairs).alias("roc_auc"), "ones", "zeros")
+    below = totals_before(by_score, "_score", {"_below": "_zeros"}, by_score.count(), rows_per_bucket)
+    won = "CAST(_ones AS decimal(19,0)) * CAST(2 * _below + _zeros AS decimal(19,0))"
+    return below.selectExpr(
+        f"double(sum({won})) AS _won", "sum(_ones) AS ones", "sum(_zeros) AS zeros"
+    ).selectExpr("try_divide(_won, double(ones) * double(zeros) * 2) AS roc_auc", "ones", "zeros")

@@ -2,32 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
-from returns_risk.constants import CUSTOMER, DATES, FEATURES, TICKET_COUNTS, TICKET_SCORES, TICKET_TYPES
-from returns_risk.functions.numeric import finite_or_zero, safe_ratio
+from returns_risk.constants import (
+    CUSTOMER, DATES, FEATURES, KEYWORD_LISTS, TICKET_COUNTS, TICKET_SCORES, TICKET_TYPES,
+)
+from returns_risk.functions.numeric import finite_or_zero, safe_ratio, sql_text
 
+# Feature name of each keyword column, in the same order.
+KEYWORD_FEATURES = dict(zip(TICKET_COUNTS[4:], KEYWORD_LISTS, strict=True))
 
-def _value_sums(df: DataFrame) -> tuple[Column, Column]:
+
+def _value_sums(df: DataFrame) -> tuple[str, str]:
     """Sums of the positive and of the negative line values, as doubles.
 
     Decimal prices are summed exactly, as whole numbers of their smallest unit where these fit a
     long: the result then does not depend on the order of rows, and the sum stays off big decimals.
     """
     price = df.schema["UnitPrice"].dataType
-    quantity = F.col("Quantity")
     if isinstance(price, DecimalType) and price.precision <= 18:
-        unit = 10**price.scale
-        line = quantity.cast("long") * (F.col("UnitPrice") * F.lit(unit)).cast("long")
-        zero, scale = F.lit(0).cast("long"), F.lit(float(unit))
+        line, unit = f"bigint(Quantity) * bigint(UnitPrice * {10**price.scale})", f" / {10**price.scale}D"
     else:
-        line = quantity * F.col("UnitPrice")
-        zero, scale = F.lit(0), F.lit(1.0)
-    bought = F.sum(F.when(line > 0, line).otherwise(zero))
-    refunded = F.sum(F.when(line < 0, -line).otherwise(zero))
-    return bought.cast("double") / scale, refunded.cast("double") / scale
+        line, unit = "Quantity * UnitPrice", ""
+    return f"double(sum(greatest({line}, 0))){unit}", f"double(sum(greatest(-({line}), 0))){unit}"
+
+
+def account_age(first: str, last: str) -> str:
+    """SQL text: whole periods of 24 hours between two times; 0 where either is missing."""
+    return f"coalesce(timestampdiff(DAY, {first}, {last}), 0L)"
 
 
 def retail_summary(clean: DataFrame, key: str = "CustomerID") -> DataFrame:
@@ -37,45 +41,39 @@ def retail_summary(clean: DataFrame, key: str = "CustomerID") -> DataFrame:
     large customer are spread by invoice before they meet.
     """
     bought, refunded = _value_sums(clean)
-    totals = clean.groupBy(key).agg(
-        F.count_distinct("InvoiceNo").alias("TotalUniqueOrders"),
-        F.sum(F.col("PurchaseQuantity").cast("long")).alias("TotalItemsPurchased"),
-        F.sum(F.col("ReturnQuantity").cast("long")).alias("TotalItemsReturned"),
-        bought.alias("TotalPurchaseValue"),
-        refunded.alias("TotalRefundValue"),
-        F.min("InvoiceDate").alias("FirstTransactionDate"),
-        F.max("InvoiceDate").alias("LastTransactionDate"),
+    totals = {
+        "TotalUniqueOrders": "count(DISTINCT InvoiceNo)",
+        "TotalItemsPurchased": "coalesce(sum(bigint(PurchaseQuantity)), 0L)",
+        "TotalItemsReturned": "coalesce(sum(bigint(ReturnQuantity)), 0L)",
+        "TotalPurchaseValue": f"coalesce({bought}, 0D)",
+        "TotalRefundValue": f"coalesce({refunded}, 0D)",
+        "FirstTransactionDate": "min(InvoiceDate)",
+        "LastTransactionDate": "max(InvoiceDate)",
+    }
+    return clean.groupBy(key).agg(*[F.expr(total).alias(name) for name, total in totals.items()]).selectExpr(
+        "*",
+        f"{safe_ratio('TotalItemsReturned', 'TotalItemsPurchased')} AS RefundRate_by_Items",
+        f"{safe_ratio('TotalRefundValue', 'TotalPurchaseValue')} AS RefundRate_by_Value",
+        f"{account_age(*DATES)} AS AccountAgeDays",
     )
-    return totals.withColumns({
-        "RefundRate_by_Items": safe_ratio("TotalItemsReturned", "TotalItemsPurchased"),
-        "RefundRate_by_Value": safe_ratio("TotalRefundValue", "TotalPurchaseValue"),
-        "AccountAgeDays": account_age(F.col("FirstTransactionDate"), F.col("LastTransactionDate")),
-    })
-
-
-def account_age(first: Column, last: Column) -> Column:
-    """Whole periods of 24 hours between two times; 0 where either is missing."""
-    return F.coalesce(F.timestamp_diff("DAY", first, last), F.lit(0).cast("long"))
 
 
 def ticket_totals(scored: DataFrame, key: str) -> DataFrame:
     """Mergeable ticket sums per ``key``: counts, score sum and number of scores, lowest score."""
-    counts = [F.count("TicketID").alias("TotalTickets")]
-    counts += [F.count_if(F.col("TicketType") == F.lit(kind)).alias(name) for name, kind in TICKET_TYPES.items()]
-    for word in ("Refund", "Damage", "Missing"):
-        source = F.col(f"Keywords_{word}Count").cast("long")
-        counts.append(F.sum(source).alias(f"Tickets_Keyword{word}Count"))
-    return scored.groupBy(key).agg(
-        *counts,
-        F.sum("TicketSentimentScore").alias("_score_sum"),
-        F.count("TicketSentimentScore").alias("_scores"),
-        F.min("TicketSentimentScore").alias("MinTicketSentimentScore"),
-    )
+    totals = {"TotalTickets": "count(TicketID)"}
+    totals |= {name: f"count_if(TicketType = {sql_text(kind)})" for name, kind in TICKET_TYPES.items()}
+    totals |= {name: f"sum(bigint({source}))" for name, source in KEYWORD_FEATURES.items()}
+    totals |= {
+        "_score_sum": "sum(TicketSentimentScore)",
+        "_scores": "count(TicketSentimentScore)",
+        "MinTicketSentimentScore": "min(TicketSentimentScore)",
+    }
+    return scored.groupBy(key).agg(*[F.expr(total).alias(name) for name, total in totals.items()])
 
 
 def _finish(totals: DataFrame, key: str) -> DataFrame:
-    mean = F.try_divide(F.col("_score_sum"), F.col("_scores")).alias("AvgTicketSentimentScore")
-    return totals.select(key, *TICKET_COUNTS, mean, "MinTicketSentimentScore")
+    mean = "try_divide(_score_sum, _scores) AS AvgTicketSentimentScore"
+    return totals.selectExpr(key, *TICKET_COUNTS, mean, "MinTicketSentimentScore")
 
 
 def ticket_summary(scored: DataFrame, links: DataFrame) -> DataFrame:
@@ -84,8 +82,8 @@ def ticket_summary(scored: DataFrame, links: DataFrame) -> DataFrame:
     Tickets are summed per address before the join, so one address with very many tickets is one
     row there; addresses without a customer fall out.
     """
-    per_email = ticket_totals(scored.na.drop(subset=["CustomerEmail"]), "CustomerEmail")
-    linked = per_email.join(links, "CustomerEmail").na.drop(subset=[CUSTOMER])
+    per_email = ticket_totals(scored.where("CustomerEmail IS NOT NULL"), "CustomerEmail")
+    linked = per_email.join(links.where(f"{CUSTOMER} IS NOT NULL"), "CustomerEmail")
     merged = linked.groupBy(CUSTOMER).agg(
         *[F.sum(name).alias(name) for name in (*TICKET_COUNTS, "_score_sum", "_scores")],
         F.min("MinTicketSentimentScore").alias("MinTicketSentimentScore"),
@@ -93,9 +91,9 @@ def ticket_summary(scored: DataFrame, links: DataFrame) -> DataFrame:
     return _finish(merged, CUSTOMER)
 
 
-def ticket_summary_by_slot(scored: DataFrame, slot: Column, name: str) -> DataFrame:
+def ticket_summary_by_slot(scored: DataFrame, slot: str, name: str) -> DataFrame:
     """The ticket aggregates per simulated customer slot: one shuffle, no join."""
-    slotted = scored.withColumn(name, slot).na.drop(subset=[name])
+    slotted = scored.selectExpr("*", f"{slot} AS {name}").where(f"{name} IS NOT NULL")
     return _finish(ticket_totals(slotted, name), name)
 
 
@@ -104,19 +102,18 @@ def combine(summary: DataFrame, tickets: DataFrame, on: str = CUSTOMER) -> DataF
 
     Both sides have one row per key. Counts stay long.
     """
-    return (
-        summary.join(tickets, on, "left")
-        .na.fill(0, subset=list(TICKET_COUNTS))
-        .na.fill(0.0, subset=list(TICKET_SCORES))
-        .select(CUSTOMER, *DATES, *FEATURES)
-    )
+    zeros = {name: "0L" for name in TICKET_COUNTS} | {name: "0D" for name in TICKET_SCORES}
+    features = [f"coalesce({name}, {zeros[name]}) AS {name}" if name in zeros else name for name in FEATURES]
+    return summary.join(tickets, on, "left").selectExpr(CUSTOMER, *DATES, *features)
 
 
 def sanitize(df: DataFrame, columns: tuple[str, ...] = FEATURES) -> DataFrame:
     """Null, NaN and infinite feature values become 0; integer columns keep their type."""
-    kinds = {field.name: field.dataType for field in df.schema}
-    return df.withColumns({
-        name: finite_or_zero(F.col(name)) if kinds[name].typeName() in ("double", "float")
-        else F.coalesce(name, F.lit(0).cast(kinds[name]))
-        for name in columns
-    })
+
+    def cleaned(name: str, kind: str) -> str:
+        if name not in columns:
+            return f"`{name}`"
+        value = finite_or_zero(name) if kind in ("double", "float") else f"coalesce({name}, {kind}(0))"
+        return f"{value} AS {name}"
+
+    return df.selectExpr(*[cleaned(name, kind) for name, kind in df.dtypes])

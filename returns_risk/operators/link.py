@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from returns_risk.constants import CUSTOMER
@@ -14,16 +14,15 @@ HOT_SHARE = 0.001
 SPREAD = 64
 
 
-def email_slot(email: Column, customers: int) -> Column:
-    """A number in 0..customers-1 from the hash of the address; null for null and for no customers.
+def email_slot(email: str, customers: int) -> str:
+    """SQL text: a number in 0..customers-1 from the hash of the address; null for null and for no customers.
 
     The first 8 hash digits are enough below 2^24 customers; above, 15 keep the draw even.
     """
     if customers == 0:
-        return F.lit(None).cast("long")
+        return "CAST(NULL AS bigint)"
     digits = 8 if customers < 2**24 else 15
-    drawn = F.conv(F.substring(F.md5(email), 1, digits), 16, 10).cast("long")
-    return drawn % F.lit(customers).cast("long")
+    return f"bigint(conv(substr(md5({email}), 1, {digits}), 16, 10)) % {customers}L"
 
 
 def number_customers(
@@ -39,8 +38,8 @@ def simulated_links(tickets: DataFrame, numbered: DataFrame, rows: int) -> DataF
     Both sides of the join are free of hot keys: addresses are distinct and slots are drawn evenly.
     Tickets without address get no customer.
     """
-    emails = tickets.select("CustomerEmail").na.drop().distinct()
-    slots = emails.withColumn(SLOT, email_slot(F.col("CustomerEmail"), rows))
+    emails = tickets.select("CustomerEmail").where("CustomerEmail IS NOT NULL").distinct()
+    slots = emails.selectExpr("*", f"{email_slot('CustomerEmail', rows)} AS {SLOT}")
     return slots.join(numbered.select(SLOT, CUSTOMER), SLOT).select("CustomerEmail", CUSTOMER)
 
 
@@ -57,14 +56,14 @@ def link_tickets(
     spread over ``spread`` tasks; there are at most 1 / ``hot_share`` of those, so their list is
     small enough to broadcast at any size of the ticket table.
     """
-    per_email = tickets.na.drop(subset=["CustomerEmail"]).groupBy("CustomerEmail").agg(F.count(F.lit(1)).alias("_n"))
-    limit = F.lit(hot_share) * tickets.agg(F.count(F.lit(1))).scalar()
-    hot = F.broadcast(per_email.where(F.col("_n") > limit).select("CustomerEmail", F.lit(True).alias("_hot")))
-
-    lane = F.pmod(F.xxhash64("TicketID", "TicketDescription"), F.lit(spread)).cast("int")
-    spread_tickets = tickets.join(hot, "CustomerEmail", "left").withColumn(
-        "_lane", F.when(F.col("_hot"), lane).otherwise(0)
-    ).drop("_hot")
-    lanes = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(spread - 1))).otherwise(F.array(F.lit(0)))
-    spread_links = links.join(hot, "CustomerEmail", "left").withColumn("_lane", F.explode(lanes)).drop("_hot")
+    per_email = tickets.groupBy("CustomerEmail").agg(F.expr("count(1) AS _n"))
+    total = tickets.agg(F.expr("count(1)")).scalar()
+    hot = F.broadcast(
+        per_email.where("CustomerEmail IS NOT NULL").where(F.col("_n") > F.lit(hot_share) * total)
+        .selectExpr("CustomerEmail", "true AS _hot")
+    )
+    lane = f"if(_hot, pmod(xxhash64(TicketID, TicketDescription), {spread}), 0) AS _lane"
+    lanes = f"explode(if(_hot, sequence(0, {spread - 1}), array(0))) AS _lane"
+    spread_tickets = tickets.join(hot, "CustomerEmail", "left").selectExpr("* EXCEPT (_hot)", lane)
+    spread_links = links.join(hot, "CustomerEmail", "left").selectExpr("* EXCEPT (_hot)", lanes)
     return spread_tickets.join(spread_links, ["CustomerEmail", "_lane"], how).drop("_lane")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.ml.feature import QuantileDiscretizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Rows that one task may number. A table below this size is one bucket.
@@ -15,26 +15,26 @@ ROWS_PER_BUCKET = 500_000
 def _with_range_bucket(df: DataFrame, order: str, buckets: int) -> DataFrame:
     """Adds ``_bucket``, a number that never falls as ``order`` rises, with about even sizes."""
     if buckets <= 1:
-        return df.withColumn("_bucket", F.lit(0.0))
-    position = F.col(order).cast("double")
+        return df.selectExpr("*", "0D AS _bucket")
+    positioned = df.selectExpr("*", f"double({order}) AS _position")
     splitter = QuantileDiscretizer(
         numBuckets=buckets,
         inputCol="_position",
         outputCol="_bucket",
         relativeError=min(0.001, 0.25 / buckets),
         handleInvalid="keep",
-    ).fit(df.select(position.alias("_position")))
-    return splitter.transform(df.withColumn("_position", position)).drop("_position")
+    ).fit(positioned.select("_position"))
+    return splitter.transform(positioned).drop("_position")
 
 
 def totals_before(
     df: DataFrame,
     order: str,
-    totals: Mapping[str, Column],
+    totals: Mapping[str, str],
     rows: int,
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
-    """Adds, per entry of ``totals``, its sum over all rows that come before in ``order``.
+    """Adds, per entry of ``totals``, the sum of its expression over all rows that come before in ``order``.
 
     ``order`` must be unique, ``df`` cheap to read again (a stored table), ``rows`` its row count.
     The table is cut into ranges at approximate quantiles. The cut points decide only how even the
@@ -42,26 +42,22 @@ def totals_before(
     """
     buckets = -(-rows // rows_per_bucket)
     cut = _with_range_bucket(df, order, buckets)
-    before = Window.partitionBy("_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    inside = cut.withColumns({
-        name: F.coalesce(F.sum(value).over(before), F.lit(0)) for name, value in totals.items()
-    })
+    before = f"(PARTITION BY _bucket ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    inside = cut.selectExpr("*", *[f"coalesce(sum({value}) OVER {before}, 0L) AS {name}" for name, value in totals.items()])
     if buckets <= 1:
         return inside.drop("_bucket")
 
     # One row per bucket: `buckets` rows at most, whatever the size of the table.
-    earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = "(ORDER BY _bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     offsets = (
         cut.groupBy("_bucket")
-        .agg(*[F.sum(value).alias(name) for name, value in totals.items()])
-        .select("_bucket", *[
-            F.coalesce(F.sum(name).over(earlier), F.lit(0)).alias(f"_{name}_offset") for name in totals
-        ])
+        .agg(*[F.expr(f"sum({value})").alias(name) for name, value in totals.items()])
+        .selectExpr("_bucket", *[f"coalesce(sum({name}) OVER {earlier}, 0L) AS {name}_offset" for name in totals])
     )
     return (
         inside.join(F.broadcast(offsets), "_bucket")
-        .withColumns({name: F.col(name) + F.col(f"_{name}_offset") for name in totals})
-        .drop("_bucket", *[f"_{name}_offset" for name in totals])
+        .withColumns({name: F.col(name) + F.col(f"{name}_offset") for name in totals})
+        .drop("_bucket", *[f"{name}_offset" for name in totals])
     )
 
 
@@ -69,4 +65,4 @@ def dense_index(
     df: DataFrame, order: str, name: str, rows: int, rows_per_bucket: int = ROWS_PER_BUCKET
 ) -> DataFrame:
     """Adds the 0-based position of each row in ascending ``order``. See :func:`totals_before`."""
-    return totals_before(df, order, {name: F.lit(1).cast("long")}, rows, rows_per_bucket)
+    return totals_before(df, order, {name: "1L"}, rows, rows_per_bucket)

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
@@ -26,23 +26,23 @@ FEATURE_SCHEMA = StructType([
 ])
 
 
-def linear_probability(weights: Mapping[str, float] = c.SCORE_WEIGHTS) -> Column:
-    """The weighted sum of the features, clipped to the score range. Expects sanitized features."""
+def linear_sum(weights: Mapping[str, float], source: Callable[[str], str] = str) -> str:
+    """SQL text: the weighted sum of the features, clipped to the score range.
+
+    ``source`` turns a feature name into the expression that holds its value.
+    """
     low, high = c.SCORE_RANGE
-    total = None
-    for name, weight in weights.items():
-        term = F.col(name) * F.lit(weight)
-        total = term if total is None else total + term
-    return F.greatest(F.lit(low), F.least(F.lit(high), total))
+    total = " + ".join(f"{source(name)} * ({float(weight)!r}D)" for name, weight in weights.items())
+    return f"greatest({low}D, least({high}D, {total}))"
 
 
 def _with_class(df: DataFrame, threshold: float = c.CLASS_THRESHOLD) -> DataFrame:
-    return df.withColumn(c.PREDICTION, (F.col(c.PROBABILITY) > threshold).cast("int"))
+    return df.selectExpr("*", f"int({c.PROBABILITY} > {threshold}D) AS {c.PREDICTION}")
 
 
 def linear_score(df: DataFrame, weights: Mapping[str, float] = c.SCORE_WEIGHTS) -> DataFrame:
     """Adds probability and class of the linear score. The other class has 1 - probability."""
-    return _with_class(sanitize(df).withColumn(c.PROBABILITY, linear_probability(weights)))
+    return _with_class(sanitize(df).selectExpr("*", f"{linear_sum(weights)} AS {c.PROBABILITY}"))
 
 
 def save_linear(spark: SparkSession, path: str, weights: Mapping[str, float] = c.SCORE_WEIGHTS) -> None:
@@ -59,9 +59,8 @@ def train_gbt(labelled: DataFrame, label: str = c.LABEL, seed: int = c.SEED, **p
     """Gradient-boosted trees on the seventeen features. ``params`` go to ``GBTClassifier``."""
     assembler = VectorAssembler(inputCols=list(c.FEATURES), outputCol="_features")
     trees = GBTClassifier(
-        featuresCol="_features", labelCol=label, predictionCol="_prediction",
-        rawPredictionCol="_raw", probabilityCol="_probability", seed=seed, **params,
-    )
+        featuresCol="_features", labelCol=label, predictionCol="_prediction", seed=seed, **params
+    ).setRawPredictionCol("_raw").setProbabilityCol("_probability")
     return Pipeline(stages=[assembler, trees]).fit(sanitize(labelled).select(label, *c.FEATURES))
 
 
@@ -87,9 +86,11 @@ def score_features(df: DataFrame, scorer: PipelineModel | Mapping[str, float] =
 
 def typed_in_rates(df: DataFrame) -> DataFrame:
     """Refund rates as for typed-in rows: a denominator of 0 counts as 1, two decimals."""
+    items = safe_ratio("TotalItemsReturned", "TotalItemsPurchased", "unit")
+    value = safe_ratio("TotalRefundValue", "TotalPurchaseValue", "unit")
     return df.withColumns({
-        "RefundRate_by_Items": rounded_like_text(safe_ratio("TotalItemsReturned", "TotalItemsPurchased", "unit")),
-        "RefundRate_by_Value": rounded_like_text(safe_ratio("TotalRefundValue", "TotalPurchaseValue", "unit")),
+        "RefundRate_by_Items": F.expr(rounded_like_text(items)),
+        "RefundRate_by_Value": F.expr(rounded_like_text(value)),
     })
 
 
@@ -105,4 +106,4 @@ def feature_rows(spark: SparkSession, rows: Iterable[tuple]) -> DataFrame:
 
 def flag_accounts(scored: DataFrame, threshold: float = c.FLAG_THRESHOLD) -> DataFrame:
     """Adds ``flagged``: probability strictly above the threshold."""
-    return scored.withColumn("flagged", F.col(c.PROBABILITY) > F.lit(threshold))
+    return scored.selectExpr("*", f"{c.PROBABILITY} > {threshold}D AS flagged")

@@ -1,4 +1,4 @@
-"""Shapley values: exact for the linear score and for boosted trees, and their summaries."""
+"""Shapley values: exact for the linear score, and summaries of any attribution."""
 
 from __future__ import annotations
 
@@ -6,32 +6,18 @@ from collections.abc import Mapping
 from itertools import combinations
 from math import factorial
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from returns_risk import constants as c
+from returns_risk.operators.evaluate import seeded_hash
 from returns_risk.operators.features import sanitize
+from returns_risk.operators.scoring import linear_sum
 
 
 def background_sample(df: DataFrame, rows: int = c.BACKGROUND_ROWS, seed: int = c.SEED) -> DataFrame:
     """The comparison rows of an explanation: those with the smallest seeded hash of the customer."""
-    drawn = F.md5(F.concat(F.lit(f"{seed}:"), F.col(c.CUSTOMER).cast("string")))
-    return df.orderBy(drawn, c.CUSTOMER).limit(rows)
-
-
-def _average_score(weights: Mapping[str, float], known: frozenset[str]) -> Column:
-    """Mean score over the background if only the features in ``known`` take the row's own value."""
-    low, high = c.SCORE_RANGE
-
-    def score(other: Column) -> Column:
-        total = None
-        for name, weight in weights.items():
-            value = (F.col(name) if name in known else other[name]) * F.lit(weight)
-            total = value if total is None else total + value
-        return F.greatest(F.lit(low), F.least(F.lit(high), total))
-
-    total = F.aggregate("_background", F.lit(0.0), lambda sum_, other: sum_ + score(other))
-    return total / F.size("_background")
+    return df.orderBy(F.expr(seeded_hash(c.CUSTOMER, seed)), c.CUSTOMER).limit(rows)
 
 
 def linear_shapley(
@@ -46,46 +32,48 @@ def linear_shapley(
     travel to every task as one array value.
     """
     names = list(weights)
-    values = F.struct(*[F.col(name).cast("double").alias(name) for name in names])
-    sample = sanitize(background, tuple(names)).agg(F.collect_list(values)).scalar()
     subsets = [frozenset(chosen) for size in range(len(names) + 1) for chosen in combinations(names, size)]
     mean = {known: f"_mean{number}" for number, known in enumerate(subsets)}
 
-    with_means = sanitize(df).withColumn("_background", sample).withColumns({
-        column: _average_score(weights, known) for known, column in mean.items()
-    })
-
-    def phi(name: str) -> Column:
-        if name not in weights:
-            return F.lit(0.0)
-        total = F.lit(0.0)
-        for known in subsets:
-            if name not in known:
-                share = factorial(len(known)) * factorial(len(names) - len(known) - 1) / factorial(len(names))
-                total = total + (F.col(mean[known | {name}]) - F.col(mean[known])) * F.lit(share)
-        return total
-
-    return with_means.withColumns({
-        "base": F.col(mean[frozenset()]), "phi": F.array(*[phi(name) for name in c.FEATURES])
-    }).drop("_background", *mean.values())
+    def mean_score(known: frozenset[str]) -> str:
+        """Mean over the background if only the features in ``known`` take the row's own value."""
+        score = linear_sum(weights, lambda name: name if name in known else f"other.{name}")
+        return f"aggregate(_background, 0D, (total, other) -> total + {score}) / size(_background)"
+
+    def phi(name: str) -> str:
+        terms = [
+            f"({mean[known | {name}]} - {mean[known]})"
+            f" * {factorial(len(known)) * factorial(len(names) - len(known) - 1)}"
+            for known in subsets if name in weights and name not in known
+        ]
+        return f"({' + '.join(terms)}) / {factorial(len(names))}D" if terms else "0D"
+
+    sample = sanitize(background, tuple(names)).agg(F.expr(
+        f"collect_list(struct({', '.join(f'double({name}) AS {name}' for name in names)}))"
+    )).scalar()
+    return (
+        sanitize(df).withColumn("_background", sample)
+        .selectExpr("* EXCEPT (_background)", *[f"{mean_score(known)} AS {column}" for known, column in mean.items()])
+        .selectExpr(
+            f"* EXCEPT ({', '.join(mean.values())})",
+            f"{mean[frozenset()]} AS base",
+            f"array({', '.join(map(phi, c.FEATURES))}) AS phi",
+        )
+    )
 
 
 def by_feature(explained: DataFrame) -> DataFrame:
     """One row per customer and feature: (customer, feature, value, base, phi)."""
-    lines = [
-        F.struct(
-            F.lit(name).alias("feature"), F.col(name).cast("double").alias("value"),
-            F.col("phi")[position].alias("phi"),
-        )
-        for position, name in enumerate(c.FEATURES)
-    ]
-    return explained.select(c.CUSTOMER, "base", F.inline(F.array(*lines))).select(
-        c.CUSTOMER, "feature", "value", "base", "phi"
-    )
+    lines = ", ".join(f"'{name}', double({name}), phi[{position}]" for position, name in enumerate(c.FEATURES))
+    return explained.selectExpr(
+        c.CUSTOMER, "base", f"stack({len(c.FEATURES)}, {lines}) AS (feature, value, phi)"
+    ).select(c.CUSTOMER, "feature", "value", "base", "phi")
 
 
 def global_importance(explained: DataFrame) -> DataFrame:
     """Mean absolute attribution per feature, largest first. One pass, one row of partial sums."""
-    means = explained.agg(*[F.avg(F.abs(F.col("phi")[i])).alias(name) for i, name in enumerate(c.FEATURES)])
-    lines = [F.struct(F.lit(name).alias("feature"), F.col(name).alias("importance")) for name in c.FEATURES]
-    return means.select(F.inline(F.array(*lines))).orderBy(F.desc("importance"), "feature")
+    means = explained.selectExpr(*[f"avg(abs(phi[{i}])) AS {name}" for i, name in enumerate(c.FEATURES)])
+    lines = ", ".join(f"'{name}', {name}" for name in c.FEATURES)
+    return means.selectExpr(f"stack({len(c.FEATURES)}, {lines}) AS (feature, importance)").orderBy(
+        F.desc("importance"), "feature"
+    )

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from returns_risk.constants import KEYWORD_LISTS, NEGATIVE_TERMS, POSITIVE_TERMS
 from returns_risk.functions.text import sentiment, with_keyword_counts
@@ -21,8 +20,6 @@ def score_text(
 ) -> DataFrame:
     """Adds one hit count per keyword list and the lexicon sentiment in -1..1."""
     lists = {**keyword_lists, "_positive": positive, "_negative": negative}
-    return (
-        with_keyword_counts(tickets, text, lists)
-        .withColumn(score, sentiment(F.col("_positive"), F.col("_negative")))
-        .drop("_positive", "_negative")
+    return with_keyword_counts(tickets, text, lists).selectExpr(
+        "* EXCEPT (_positive, _negative)", f"{sentiment('_positive', '_negative')} AS {score}"
     )

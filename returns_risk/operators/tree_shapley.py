@@ -82,11 +82,11 @@ def read_leaves(df: DataFrame, model: PipelineModel) -> list[Leaf]:
     trees = model.stages[-1]
     path = new_path(df.sparkSession, "trees")
     trees.write().save(path)
-    stored = df.sparkSession.read.parquet(f"{path}/data").select(
-        "treeID", "nodeData.id", "nodeData.prediction", F.col("nodeData.rawCount").alias("rows"),
-        F.col("nodeData.leftChild").alias("left"), F.col("nodeData.rightChild").alias("right"),
-        F.col("nodeData.split.featureIndex").alias("feature"),
-        F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"),
+    stored = df.sparkSession.read.parquet(f"{path}/data").selectExpr(
+        "treeID", "nodeData.id", "nodeData.prediction", "nodeData.rawCount AS rows",
+        "nodeData.leftChild AS left", "nodeData.rightChild AS right",
+        "nodeData.split.featureIndex AS feature",
+        "get(nodeData.split.leftCategoriesOrThreshold, 0) AS threshold",
     )
     by_tree: dict[int, dict[int, dict]] = {}
     for row in stored.collect():
@@ -125,5 +125,5 @@ def tree_shapley(df: DataFrame, model: PipelineModel) -> DataFrame:
         for batch in batches:
             yield pd.Series(list(explain_batch(batch.to_numpy("float64"), leaves)))
 
-    features = F.struct(*[F.col(name).cast("double").alias(name) for name in c.FEATURES])
+    features = F.expr(f"struct({', '.join(f'double({name}) AS {name}' for name in c.FEATURES)})")
     return clean.withColumns({"base": F.lit(base), "phi": phi(features)})

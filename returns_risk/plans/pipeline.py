@@ -6,7 +6,6 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from returns_risk import constants as c
 from returns_risk.operators import features as f
@@ -50,7 +49,7 @@ def build_features(
         summary = f.retail_summary(clean).withColumnRenamed("CustomerID", c.CUSTOMER)
         return f.combine(summary, f.ticket_summary(scored, links))
     summary, customers = numbered_summary(clean, rows_per_bucket)
-    by_slot = f.ticket_summary_by_slot(scored, email_slot(F.col("CustomerEmail"), customers), SLOT)
+    by_slot = f.ticket_summary_by_slot(scored, email_slot("CustomerEmail", customers), SLOT)
     return f.combine(summary, by_slot, SLOT)
 
 

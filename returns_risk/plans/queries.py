@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from returns_risk import constants as c
-from returns_risk.functions.numeric import finite_or_zero
 from returns_risk.operators import clean, evaluate, features, link, rules, scoring, shapley
 from returns_risk.operators.text_features import score_text
 from returns_risk.operators.tree_shapley import tree_shapley
@@ -15,7 +14,6 @@ from returns_risk.sources import csv, tables
 from returns_risk.sources.store import new_path, write_once
 
 COUNTS = list(c.KEYWORD_LISTS)
-RULES = ("rule_a", "rule_b", "rule_c")
 
 
 # --- inputs and shared steps ------------------------------------------------------------------
@@ -45,15 +43,15 @@ def _stored_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _text_dates(df: DataFrame) -> DataFrame:
-    return df.withColumns({name: F.col(name).cast("string") for name in c.DATES if name in df.columns})
+    return df.withColumns({name: F.expr(f"string({name})") for name in c.DATES})
 
 
 def _mean_to_six(df: DataFrame) -> DataFrame:
-    return df.withColumn("AvgTicketSentimentScore", F.round("AvgTicketSentimentScore", 6))
+    return df.withColumn("AvgTicketSentimentScore", F.expr("round(AvgTicketSentimentScore, 6)"))
 
 
-def _lines(name: str) -> Column:
-    return F.concat_ws("\n", name).alias(name)
+def _lines(name: str) -> str:
+    return f"concat_ws('\\n', {name}) AS {name}"
 
 
 # --- scans ------------------------------------------------------------------------------------
@@ -63,8 +61,7 @@ def scan_retail(spark: SparkSession, folder: str) -> DataFrame:
     path = new_path(spark, "retail_csv")
     lines = tables.retail_lines(spark, folder)
     lines.write.option("header", True).option("encoding", "ISO-8859-1").csv(path)
-    read = csv.read_retail(spark, path)
-    return read.withColumn("UnitPrice", F.col("UnitPrice").cast("double"))
+    return csv.read_retail(spark, path).withColumn("UnitPrice", F.expr("double(UnitPrice)"))
 
 
 def scan_tickets(spark: SparkSession, folder: str) -> DataFrame:
@@ -80,32 +77,30 @@ def scan_tickets(spark: SparkSession, folder: str) -> DataFrame:
 # --- cleaning ---------------------------------------------------------------------------------
 
 def retail_clean(spark: SparkSession, folder: str) -> DataFrame:
-    return _retail(spark, folder).select(
-        "InvoiceNo", "Quantity", F.col("InvoiceDate").cast("string").alias("InvoiceDate"),
-        F.col("UnitPrice").cast("double").alias("UnitPrice"), "CustomerID",
+    return _retail(spark, folder).selectExpr(
+        "InvoiceNo", "Quantity", "string(InvoiceDate) AS InvoiceDate", "double(UnitPrice) AS UnitPrice", "CustomerID"
     )
 
 
 def retail_flags(spark: SparkSession, folder: str) -> DataFrame:
-    return _retail(spark, folder).select(
-        "InvoiceNo", "CustomerID", F.col("IsReturn").cast("int").alias("IsReturn"),
-        "PurchaseQuantity", "ReturnQuantity", F.col("LineTotal").cast("double").alias("LineTotal"),
+    return _retail(spark, folder).selectExpr(
+        "InvoiceNo", "CustomerID", "int(IsReturn) AS IsReturn", "PurchaseQuantity", "ReturnQuantity",
+        "double(LineTotal) AS LineTotal",
     )
 
 
 def date_parse_variants(spark: SparkSession, folder: str) -> DataFrame:
     """Ship dates as slash text, read month first, day first (rows kept), and strictly."""
-    slashed = tables.table(spark, folder, "lineitem").select(
+    slashed = tables.table(spark, folder, "lineitem").selectExpr(
         "l_orderkey", "l_linenumber",
-        F.when(F.col("l_orderkey") % 41 == 0, F.lit("not a date"))
-        .otherwise(F.date_format("l_shipdate", "M/d/yyyy H:mm")).alias("text"),
+        "if(l_orderkey % 41 = 0, 'not a date', date_format(l_shipdate, 'M/d/yyyy H:mm')) AS text",
+        "if(l_orderkey % 41 = 0, NULL, date_format(l_shipdate, 'M/d/yyyy H:mm')) AS good_text",
     )
-    plain = F.when(F.col("text") != "not a date", F.col("text"))
-    return slashed.select(
+    return slashed.selectExpr(
         "l_orderkey", "l_linenumber", "text",
-        clean.parse_date(F.col("text"), c.MONTH_FIRST).cast("string").alias("month_first"),
-        clean.parse_date(F.col("text"), c.DAY_FIRST).cast("string").alias("day_first"),
-        clean.parse_date_strict(plain, c.MONTH_FIRST).cast("string").alias("strict"),
+        f"string({clean.parse_date('text', c.MONTH_FIRST)}) AS month_first",
+        f"string({clean.parse_date('text', c.DAY_FIRST)}) AS day_first",
+        f"string({clean.parse_date_strict('good_text', c.MONTH_FIRST)}) AS strict",
     )
 
 
@@ -115,27 +110,22 @@ def dq_dropped(spark: SparkSession, folder: str) -> DataFrame:
 
 def dq_shape(spark: SparkSession, folder: str) -> DataFrame:
     frame = _features(spark, folder)
-    return frame.agg(F.count(F.lit(1)).alias("rows")).select(
-        "rows", F.lit(len(frame.columns)).cast("long").alias("columns"),
-        F.lit(len(c.FEATURES)).cast("long").alias("features"),
+    return frame.selectExpr(
+        "count(1) AS rows", f"bigint({len(frame.columns)}) AS columns", f"bigint({len(c.FEATURES)}) AS features"
     )
 
 
 def sanitize(spark: SparkSession, folder: str) -> DataFrame:
     """Raw rates, with null, infinite and NaN values among them, made fit for a model."""
-    summary = features.retail_summary(_retail(spark, folder))
-    ratio = F.col("TotalItemsReturned").cast("double") / F.when(
-        F.col("TotalItemsPurchased") > 0, F.col("TotalItemsPurchased").cast("double")
-    )
-    broken = (
-        F.when(F.col("TotalItemsPurchased") == 0, F.lit(float("inf")))
-        .when(F.col("TotalItemsReturned") == 0, F.lit(float("nan")))
-        .when(F.col("TotalUniqueOrders") == 1, F.lit(float("-inf")))
-        .otherwise(ratio)
-    )
-    return summary.select(
-        "CustomerID", finite_or_zero(ratio).alias("rate"), finite_or_zero(broken).alias("broken_rate")
+    rates = features.retail_summary(_retail(spark, folder)).selectExpr(
+        "CustomerID",
+        "try_divide(double(TotalItemsReturned), TotalItemsPurchased) AS rate",
+        """CASE WHEN TotalItemsPurchased = 0 THEN double('inf')
+                WHEN TotalItemsReturned = 0 THEN double('nan')
+                WHEN TotalUniqueOrders = 1 THEN double('-inf')
+                ELSE double(TotalItemsReturned) / TotalItemsPurchased END AS broken_rate""",
     )
+    return features.sanitize(rates, ("rate", "broken_rate"))
 
 
 # --- customer summaries -----------------------------------------------------------------------
@@ -171,9 +161,8 @@ def ticket_sentiment(spark: SparkSession, folder: str) -> DataFrame:
 
 def keyword_counts_long_text(spark: SparkSession, folder: str) -> DataFrame:
     """Keyword counts and sentiment of tickets that carry a whole document each."""
-    return score_text(_tickets(spark, folder, long_text=True)).select(
-        "TicketID", F.length("TicketDescription").cast("long").alias("characters"), *COUNTS,
-        "TicketSentimentScore",
+    return score_text(_tickets(spark, folder, long_text=True)).selectExpr(
+        "TicketID", "bigint(length(TicketDescription)) AS characters", *COUNTS, "TicketSentimentScore"
     )
 
 
@@ -224,8 +213,8 @@ def feature_rows_linked(spark: SparkSession, folder: str) -> DataFrame:
 # --- label, score, flags ----------------------------------------------------------------------
 
 def abuse_label(spark: SparkSession, folder: str) -> DataFrame:
-    return _labelled(spark, folder).select(
-        c.CUSTOMER, *[F.col(rule).cast("int").alias(rule) for rule in RULES], c.LABEL
+    return _labelled(spark, folder).selectExpr(
+        c.CUSTOMER, *[f"int({rule}) AS {rule}" for rule in rules.RULES], c.LABEL
     )
 
 
@@ -260,8 +249,8 @@ def score_new(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def flag_threshold(spark: SparkSession, folder: str) -> DataFrame:
-    return scoring.flag_accounts(_scored(spark, folder)).select(
-        c.CUSTOMER, c.PROBABILITY, F.col("flagged").cast("int").alias("flagged")
+    return scoring.flag_accounts(_scored(spark, folder)).selectExpr(
+        c.CUSTOMER, c.PROBABILITY, "int(flagged) AS flagged"
     )
 
 
@@ -278,16 +267,16 @@ def reasons_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Rule reasons of flagged customers, in both wordings."""
     flagged = rules.flagged(_labelled(spark, folder))
     both = rules.reasons_rules(rules.reasons_rules(flagged), c.RULE_REASONS_FORM, "reasons_form")
-    return both.select(c.CUSTOMER, _lines("reasons"), _lines("reasons_form"))
+    return both.selectExpr(c.CUSTOMER, _lines("reasons"), _lines("reasons_form"))
 
 
 def reasons_factors(spark: SparkSession, folder: str) -> DataFrame:
     flagged = rules.flagged(_scored(spark, folder), c.PREDICTION)
-    return rules.reasons_factors(flagged).select(c.CUSTOMER, c.PROBABILITY, _lines("reasons"))
+    return rules.reasons_factors(flagged).selectExpr(c.CUSTOMER, c.PROBABILITY, _lines("reasons"))
 
 
 def reasons_factors7(spark: SparkSession, folder: str) -> DataFrame:
-    return rules.reasons_factors7(_scored(spark, folder)).select(c.CUSTOMER, _lines("reasons"))
+    return rules.reasons_factors7(_scored(spark, folder)).selectExpr(c.CUSTOMER, _lines("reasons"))
 
 
 def verdict(spark: SparkSession, folder: str) -> DataFrame:
@@ -296,9 +285,9 @@ def verdict(spark: SparkSession, folder: str) -> DataFrame:
     likelihood = rules.verdict(frame, "likelihood", "by_rule").withColumnsRenamed(
         {"category": "category_likelihood", "explanation": "text_likelihood"}
     )
-    return rules.verdict(likelihood, "prediction", "by_factor").select(
+    return rules.verdict(likelihood.drop("verdict"), "prediction", "by_factor").selectExpr(
         c.CUSTOMER, "verdict", "category_likelihood", "text_likelihood",
-        F.col("category").alias("category_prediction"), F.col("explanation").alias("text_prediction"),
+        "category AS category_prediction", "explanation AS text_prediction",
     )
 
 
@@ -306,7 +295,7 @@ def verdict(spark: SparkSession, folder: str) -> DataFrame:
 
 def stratified_split(spark: SparkSession, folder: str) -> DataFrame:
     split = evaluate.stratified_split(_stored_scores(spark, folder))
-    return split.select(c.CUSTOMER, c.LABEL, F.col("is_test").cast("int").alias("is_test"))
+    return split.selectExpr(c.CUSTOMER, c.LABEL, "int(is_test) AS is_test")
 
 
 def class_report(spark: SparkSession, folder: str) -> DataFrame:
@@ -328,7 +317,7 @@ def _explained(spark: SparkSession, folder: str) -> DataFrame:
 
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
     """Eight decimals, so that the order of summation does not show; -0.0 becomes 0.0."""
-    return df.withColumns({name: F.round(name, 8) + F.lit(0.0) for name in columns})
+    return df.withColumns({name: F.expr(f"round({name}, 8) + 0D") for name in columns})
 
 
 def linear_shapley(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import DataType, DecimalType
 
-from returns_risk.constants import MISSING_CELLS, RETAIL_COLUMNS, TICKET_COLUMNS
+from returns_risk.constants import MISSING_CELLS, TICKET_COLUMNS
+from returns_risk.functions.numeric import sql_text
 
 # Wide enough that prices of a CSV file keep all their decimals.
 PRICE = DecimalType(18, 6)
@@ -30,14 +30,14 @@ def read_text_columns(
     )
 
 
-def _present(name: str) -> Column:
-    cell = F.col(f"`{name}`")
-    return F.when(~cell.isin(*MISSING_CELLS), cell)
+def _present(name: str) -> str:
+    missing = ", ".join(map(sql_text, MISSING_CELLS))
+    return f"if(`{name}` IN ({missing}), NULL, `{name}`)"
 
 
-def _whole_number(name: str, kind: str) -> Column:
+def _whole_number(name: str, kind: str) -> str:
     """Text such as ``17850`` or ``17850.0`` as an integer; other text raises under ANSI mode."""
-    return F.regexp_replace(F.trim(_present(name)), r"\.0*$", "").cast(kind)
+    return f"CAST(regexp_replace(trim({_present(name)}), '[.]0*$', '') AS {kind})"
 
 
 def read_retail(
@@ -53,13 +53,12 @@ def read_retail(
     Turn it off for files that have none: Spark then splits large files.
     """
     raw = read_text_columns(spark, path, encoding, multiline)
-    invoice, quantity, date, price, customer = RETAIL_COLUMNS
-    return raw.select(
-        _present(invoice).alias(invoice),
-        _whole_number(quantity, "int").alias(quantity),
-        _present(date).alias(date),
-        F.trim(_present(price)).cast(price_type).alias(price),
-        _whole_number(customer, "long").alias(customer),
+    return raw.selectExpr(
+        f"{_present('InvoiceNo')} AS InvoiceNo",
+        f"{_whole_number('Quantity', 'int')} AS Quantity",
+        f"{_present('InvoiceDate')} AS InvoiceDate",
+        f"CAST(trim({_present('UnitPrice')}) AS {price_type.simpleString()}) AS UnitPrice",
+        f"{_whole_number('CustomerID', 'bigint')} AS CustomerID",
     )
 
 
@@ -71,6 +70,6 @@ def read_tickets(
 ) -> DataFrame:
     """Support tickets under space-free names, purchase dates still as text. See :func:`read_retail`."""
     raw = read_text_columns(spark, path, encoding, multiline)
-    columns = [_present(old).alias(new) for old, new in TICKET_COLUMNS.items()]
-    columns[0] = _whole_number("Ticket ID", "long").alias("TicketID")
-    return raw.select(*columns)
+    cells = {old: _present(old) for old in TICKET_COLUMNS}
+    cells["Ticket ID"] = _whole_number("Ticket ID", "bigint")
+    return raw.selectExpr(*[f"{cells[old]} AS {new}" for old, new in TICKET_COLUMNS.items()])

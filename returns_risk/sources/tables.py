@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from returns_risk.functions.numeric import sql_text
+
 # Ticket text by phrase number.
 PHRASES = (
     "I want a refund. Please cancel and give my money back.",
@@ -39,53 +41,44 @@ def retail_lines(spark: SparkSession, folder: str) -> DataFrame:
     lines = table(spark, folder, "lineitem")
     orders = table(spark, folder, "orders")
     parts = table(spark, folder, "part")
-    returned = (
-        F.when(F.col("o_custkey") % 50 == 3, F.lit(True))
-        .when(F.col("o_custkey") % 4 == 0, F.lit(False))
-        .otherwise((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F"))
-    )
-    cancelled = (F.col("_ret") & (F.col("l_orderkey") % 29 != 0)) | (F.col("l_orderkey") % 31 == 0)
-    order_text = F.col("l_orderkey").cast("string")
-    day = F.substring(F.col("l_shipdate").cast("string"), 1, 10)
-    hour = F.lpad((F.col("l_linenumber") * 3).cast("string"), 2, "0")
+    returned = """CASE WHEN o_custkey % 50 = 3 THEN true
+                       WHEN o_custkey % 4 = 0 THEN false
+                       ELSE l_returnflag = 'R' AND l_linestatus = 'F' END AS ret"""
     return (
-        lines.join(orders, lines.l_orderkey == orders.o_orderkey)
-        .join(parts, lines.l_partkey == parts.p_partkey)
-        .withColumn("_ret", returned)
-        .select(
-            F.when(cancelled, F.concat(F.lit("C"), order_text)).otherwise(order_text).alias("InvoiceNo"),
-            F.when(F.col("_ret"), -F.col("l_quantity")).otherwise(F.col("l_quantity"))
-            .cast("int").alias("Quantity"),
-            F.when(F.col("l_orderkey") % 41 == 0, F.lit("not a date"))
-            .otherwise(F.concat(day, F.lit(" "), hour, F.lit(":15:00"))).alias("InvoiceDate"),
-            F.col("p_retailprice").cast("decimal(12,2)").alias("UnitPrice"),
-            F.when(F.col("l_orderkey") % 37 != 0, F.col("o_custkey")).alias("CustomerID"),
+        lines.join(orders, F.expr("l_orderkey = o_orderkey"))
+        .join(parts, F.expr("l_partkey = p_partkey"))
+        .selectExpr(
+            "l_orderkey", "l_linenumber", "l_quantity", "l_shipdate", "p_retailprice", "o_custkey", returned
+        )
+        .selectExpr(
+            """concat(if((ret AND l_orderkey % 29 <> 0) OR l_orderkey % 31 = 0, 'C', ''),
+                      string(l_orderkey)) AS InvoiceNo""",
+            "int(if(ret, -l_quantity, l_quantity)) AS Quantity",
+            """if(l_orderkey % 41 = 0, 'not a date',
+                  concat(substr(string(l_shipdate), 1, 10), ' ',
+                         lpad(string(l_linenumber * 3), 2, '0'), ':15:00')) AS InvoiceDate""",
+            "CAST(p_retailprice AS decimal(12,2)) AS UnitPrice",
+            "if(l_orderkey % 37 = 0, NULL, o_custkey) AS CustomerID",
         )
     )
 
 
 def support_tickets(spark: SparkSession, folder: str, long_text: bool = False) -> DataFrame:
     """Tickets from events; ``long_text`` appends the document with the number of the event."""
-    events = table(spark, folder, "events")
-    ticket_type = F.lit(None).cast("string")
-    for event_type, name in TYPE_OF_EVENT.items():
-        ticket_type = F.when(F.col("event_type") == event_type, name).otherwise(ticket_type)
-    phrases = F.array(*[F.lit(phrase).cast("string") for phrase in PHRASES])
-    phrase = F.get(phrases, ((F.col("event_id") * 7919) % 10).cast("int"))
+    source = table(spark, folder, "events")
+    types = " ".join(f"WHEN {sql_text(event)} THEN {sql_text(kind)}" for event, kind in TYPE_OF_EVENT.items())
+    phrases = " ".join(f"WHEN {i} THEN {sql_text(p)}" for i, p in enumerate(PHRASES) if p is not None)
+    phrase = f"CASE (event_id * 7919) % 10 {phrases} END"
     if long_text:
-        documents = table(spark, folder, "documents").select("doc_id", "text")
-        events = events.join(documents, F.col("event_id") == F.col("doc_id"), "left")
-        phrase = F.concat(phrase, F.lit(" "), F.coalesce(F.col("text"), F.lit("")))
-    email = F.concat(
-        F.lit("user"), F.col("user_id").cast("string"), F.lit("."),
-        (F.col("event_id") % 20).cast("string"), F.lit("@example.com"),
-    )
-    return events.select(
-        F.col("event_id").alias("TicketID"),
-        F.when(F.col("event_id") % 97 != 0, email).alias("CustomerEmail"),
-        ticket_type.alias("TicketType"),
-        phrase.alias("TicketDescription"),
-        F.substring(F.col("ts").cast("string"), 1, 10).alias("DateOfPurchase"),
+        source = source.join(table(spark, folder, "documents"), F.expr("event_id = doc_id"), "left")
+        phrase = f"concat({phrase}, ' ', coalesce(text, ''))"
+    return source.selectExpr(
+        "event_id AS TicketID",
+        """if(event_id % 97 = 0, NULL,
+              concat('user', user_id, '.', event_id % 20, '@example.com')) AS CustomerEmail""",
+        f"CASE event_type {types} END AS TicketType",
+        f"{phrase} AS TicketDescription",
+        "substr(string(ts), 1, 10) AS DateOfPurchase",
     )
 
 
@@ -94,12 +87,7 @@ def account_links(spark: SparkSession, folder: str) -> DataFrame:
 
     Tickets also use ten more addresses per user, which stay without a customer.
     """
-    return table(spark, folder, "customer").select(
-        F.explode(F.sequence(F.lit(0), F.lit(9))).alias("_k"), "c_custkey"
-    ).select(
-        F.concat(
-            F.lit("user"), F.col("c_custkey").cast("string"), F.lit("."),
-            F.col("_k").cast("string"), F.lit("@example.com"),
-        ).alias("CustomerEmail"),
-        F.col("c_custkey").alias("Simulated_CustomerID"),
+    return table(spark, folder, "customer").selectExpr("c_custkey", "explode(sequence(0, 9)) AS k").selectExpr(
+        "concat('user', c_custkey, '.', k, '@example.com') AS CustomerEmail",
+        "c_custkey AS Simulated_CustomerID",
     )
