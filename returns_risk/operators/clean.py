@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from returns_risk.constants import MONTH_FIRST
+from returns_risk.functions.numeric import sql_text
 
 # Rows read, rows without customer, and rows with customer but without a valid date.
 DROP_COUNTS = {
@@ -17,17 +19,30 @@ DROP_COUNTS = {
 }
 
 
+def _shape(fmt: str) -> str | None:
+    """A regular expression for the texts that ``fmt`` can read, if it is made of numbers only."""
+    widths = {"yyyy": "[0-9]{4}", "MM": "[0-9]{2}", "dd": "[0-9]{2}", "HH": "[0-9]{2}", "mm": "[0-9]{2}",
+              "ss": "[0-9]{2}", "M": "[0-9]{1,2}", "d": "[0-9]{1,2}", "H": "[0-9]{1,2}"}
+    runs = re.findall(r"([A-Za-z])(\1*)|([^A-Za-z]+)", fmt)
+    parts = [re.escape(other) if other else widths.get(letter + more) for letter, more, other in runs]
+    return None if None in parts else f"^{''.join(parts)}$"
+
+
+def _attempt(text: str, fmt: str) -> str:
+    if fmt == "iso":
+        return f"try_cast({text} AS timestamp_ntz)"
+    parsed = f"CAST(try_to_timestamp({text}, {sql_text(fmt)}) AS timestamp_ntz)"
+    # Text of another shape is turned away first: a failed parse costs an exception per row.
+    shape = _shape(fmt)
+    return f"if({text} RLIKE {sql_text(shape)}, {parsed}, NULL)" if shape else parsed
+
+
 def parse_date(text: str, formats: Sequence[str] = MONTH_FIRST) -> str:
     """SQL text: wall-clock time from ``text`` in any of ``formats``; null where none fits.
 
     Runs in the session time zone without shifting the clock, so keep that at UTC.
     """
-    attempts = [
-        f"try_cast({text} AS timestamp_ntz)" if fmt == "iso"
-        else f"CAST(try_to_timestamp({text}, '{fmt}') AS timestamp_ntz)"
-        for fmt in formats
-    ]
-    return f"coalesce({', '.join(attempts)})"
+    return f"coalesce({', '.join(_attempt(text, fmt) for fmt in formats)})"
 
 
 def parse_date_strict(text: str, formats: Sequence[str] = MONTH_FIRST) -> str:

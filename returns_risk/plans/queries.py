@@ -11,7 +11,7 @@ from returns_risk.operators.text_features import score_text
 from returns_risk.operators.tree_shapley import tree_shapley
 from returns_risk.plans.pipeline import build_features, numbered_summary, score_new as score_new_tables
 from returns_risk.sources import csv, tables
-from returns_risk.sources.store import new_path, write_once
+from returns_risk.sources.store import new_path, spread, write_once
 
 COUNTS = list(c.KEYWORD_LISTS)
 
@@ -312,7 +312,7 @@ def roc_auc(spark: SparkSession, folder: str) -> DataFrame:
 
 def _explained(spark: SparkSession, folder: str) -> DataFrame:
     frame = _stored_scores(spark, folder)
-    return shapley.linear_shapley(frame, shapley.background_sample(frame))
+    return shapley.linear_shapley(spread(frame, c.CUSTOMER), shapley.background_sample(frame))
 
 
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:

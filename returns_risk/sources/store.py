@@ -39,3 +39,13 @@ def write_once(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Spreads a stored table over all cores if its files give fewer tasks than there are cores.
+
+    Costs one shuffle of a table that is small by this very test, and nothing for a large one. Pays
+    off before heavy work per row. For scans only: on other plans the test would run the plan.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(*keys) if df.rdd.getNumPartitions() < cores else df
