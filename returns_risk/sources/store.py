@@ -13,15 +13,15 @@ def shared_folder(spark: SparkSession) -> str:
 
     Only a local session may go without the setting; it then gets a temporary folder.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.conf.get("spark.master", "").startswith("local"):
             raise RuntimeError(
                 "Set spark.checkpoint.dir to a folder that all executors share; "
                 "intermediate tables are written there."
             )
-        base = tempfile.mkdtemp(prefix="returns-risk-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="returns-risk-"))
+        base = spark.sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/returns_risk/{spark.conf.get('spark.app.id')}"
 
 
