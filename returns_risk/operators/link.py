@@ -62,7 +62,7 @@ def link_tickets(
         per_email.where("CustomerEmail IS NOT NULL").where(F.col("_n") > F.lit(hot_share) * total)
         .selectExpr("CustomerEmail", "true AS _hot")
     )
-    lane = f"if(_hot, pmod(xxhash64(TicketID, TicketDescription), {spread}), 0) AS _lane"
+    lane = f"if(_hot, int(pmod(xxhash64(TicketID, TicketDescription), {spread})), 0) AS _lane"
     lanes = f"explode(if(_hot, sequence(0, {spread - 1}), array(0))) AS _lane"
     spread_tickets = tickets.join(hot, "CustomerEmail", "left").selectExpr("* EXCEPT (_hot)", lane)
     spread_links = links.join(hot, "CustomerEmail", "left").selectExpr("* EXCEPT (_hot)", lanes)

@@ -49,3 +49,26 @@ def test_stored_tables_lie_in_the_shared_folder(spark):
     stored = write_once(spark.range(3), "three")
     assert stored.count() == 3
     assert all(shared_folder(spark) in name for name in stored.inputFiles())
+
+
+class Unset:
+    """A session without a checkpoint folder."""
+
+    def __init__(self, master):
+        self.settings, self.folder = {"spark.master": master, "spark.app.id": "app-1"}, None
+        self.conf = self.sparkContext = self
+
+    def get(self, name, default=None):
+        return self.settings.get(name, default)
+
+    def getCheckpointDir(self):
+        return self.folder
+
+    def setCheckpointDir(self, folder):
+        self.folder = folder
+
+
+def test_only_local_sessions_may_go_without_a_shared_folder():
+    assert shared_folder(Unset("local[2]")).endswith("/returns_risk/app-1")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(Unset("yarn"))
