@@ -37,8 +37,12 @@ def linear_shapley(
 
     def mean_score(known: frozenset[str]) -> str:
         """Mean over the background if only the features in ``known`` take the row's own value."""
+        if not known:
+            return "_sample.base"
+        if len(known) == len(names):
+            return linear_sum(weights)
         score = linear_sum(weights, lambda name: name if name in known else f"other.{name}")
-        return f"aggregate(_background, 0D, (total, other) -> total + {score}) / size(_background)"
+        return f"aggregate(_sample.rows, 0D, (total, other) -> total + {score}) / size(_sample.rows)"
 
     def phi(name: str) -> str:
         terms = [
@@ -48,12 +52,13 @@ def linear_shapley(
         ]
         return f"({' + '.join(terms)}) / {factorial(len(names))}D" if terms else "0D"
 
-    sample = sanitize(background, tuple(names)).agg(F.expr(
-        f"collect_list(struct({', '.join(f'double({name}) AS {name}' for name in names)}))"
-    )).scalar()
+    values = ", ".join(f"double({name}) AS {name}" for name in names)
+    sample = sanitize(background, tuple(names)).agg(
+        F.expr(f"struct(collect_list(struct({values})) AS rows, avg({linear_sum(weights)}) AS base)")
+    ).scalar()
     return (
-        sanitize(df).withColumn("_background", sample)
-        .selectExpr("* EXCEPT (_background)", *[f"{mean_score(known)} AS {column}" for known, column in mean.items()])
+        sanitize(df).withColumn("_sample", sample)
+        .selectExpr("* EXCEPT (_sample)", *[f"{mean_score(known)} AS {column}" for known, column in mean.items()])
         .selectExpr(
             f"* EXCEPT ({', '.join(mean.values())})",
             f"{mean[frozenset()]} AS base",

@@ -9,7 +9,7 @@ such patterns, so its contributions are tabulated once and looked up per row.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
 from math import factorial, inf
@@ -98,17 +98,25 @@ def read_leaves(df: DataFrame, model: PipelineModel) -> list[Leaf]:
     ]
 
 
-def explain_batch(values: np.ndarray, leaves: list[Leaf]) -> np.ndarray:
-    """phi (rows x features) of a batch of feature rows."""
-    phi = np.zeros_like(values)
-    for leaf in leaves:
-        if not leaf.features:
-            continue
-        at = values[:, leaf.features]
-        follows = (at > leaf.low) & (at <= leaf.high)
-        pattern = follows @ (1 << np.arange(len(leaf.features)))
-        phi[:, leaf.features] += leaf.phi[pattern]
-    return phi
+def batch_explainer(leaves: list[Leaf]) -> Callable[[np.ndarray], np.ndarray]:
+    """A function from a batch of feature rows to phi (rows x features).
+
+    It holds arrays only, so that Python workers need nothing of this package.
+    """
+    tables = [
+        (np.array(leaf.features), np.array(leaf.low), np.array(leaf.high), 1 << np.arange(len(leaf.features)), leaf.phi)
+        for leaf in leaves if leaf.features
+    ]
+
+    def explain(values: np.ndarray) -> np.ndarray:
+        phi = np.zeros_like(values)
+        for features, low, high, bits, table in tables:
+            at = values[:, features]
+            pattern = ((at > low) & (at <= high)) @ bits
+            phi[:, features] += table[pattern]
+        return phi
+
+    return explain
 
 
 def tree_shapley(df: DataFrame, model: PipelineModel) -> DataFrame:
@@ -119,11 +127,12 @@ def tree_shapley(df: DataFrame, model: PipelineModel) -> DataFrame:
     clean = sanitize(df)
     leaves = read_leaves(clean, model)
     base = float(sum(leaf.expected for leaf in leaves))
+    explain = batch_explainer(leaves)
 
     @F.pandas_udf("array<double>")
     def phi(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series(list(explain_batch(batch.to_numpy("float64"), leaves)))
+            yield pd.Series(list(explain(batch.to_numpy("float64"))))
 
     features = F.expr(f"struct({', '.join(f'double({name}) AS {name}' for name in c.FEATURES)})")
     return clean.withColumns({"base": F.lit(base), "phi": phi(features)})

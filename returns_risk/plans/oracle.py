@@ -301,7 +301,8 @@ _PREDICTION = (
 ORACLE_SQL: dict[str, str] = {
     "scan_retail": _sql(
         "retail",
-        "SELECT InvoiceNo, Quantity, InvoiceDate, CAST(UnitPrice AS DOUBLE) AS UnitPrice, CustomerID FROM retail",
+        "SELECT InvoiceNo, Quantity, InvoiceDate, CAST(UnitPrice AS DOUBLE) AS UnitPrice, "
+        "CAST(CustomerID AS VARCHAR) AS CustomerID FROM retail",
     ),
     "scan_tickets": _sql("tickets", "SELECT * FROM tickets"),
     "retail_clean": _sql(
@@ -365,7 +366,8 @@ ORACLE_SQL: dict[str, str] = {
     "link_tickets": _sql("linked_texts", "SELECT TicketID, CustomerEmail, Simulated_CustomerID FROM linked_texts"),
     "link_tickets_all": _sql(
         ("texts", "links"),
-        "SELECT TicketID, CustomerEmail, Simulated_CustomerID FROM texts LEFT JOIN links USING (CustomerEmail)",
+        "SELECT TicketID, CustomerEmail, CAST(Simulated_CustomerID AS VARCHAR) AS Simulated_CustomerID "
+        "FROM texts LEFT JOIN links USING (CustomerEmail)",
     ),
     "ticket_summary": _sql("linked_stats", "SELECT * FROM linked_stats"),
     "features": _sql("features", f"SELECT {_FEATURE_COLUMNS} FROM features"),

@@ -9,7 +9,7 @@ from returns_risk import constants as c
 from returns_risk.operators import clean, evaluate, features, link, rules, scoring, shapley
 from returns_risk.operators.text_features import score_text
 from returns_risk.operators.tree_shapley import tree_shapley
-from returns_risk.plans.pipeline import build_features, numbered_summary, score_new as score_new_tables
+from returns_risk.plans.compose import build_features, numbered_summary, score_new as score_new_tables
 from returns_risk.sources import csv, tables
 from returns_risk.sources.store import new_path, spread, write_once
 
@@ -61,7 +61,9 @@ def scan_retail(spark: SparkSession, folder: str) -> DataFrame:
     path = new_path(spark, "retail_csv")
     lines = tables.retail_lines(spark, folder)
     lines.write.option("header", True).option("encoding", "ISO-8859-1").csv(path)
-    return csv.read_retail(spark, path).withColumn("UnitPrice", F.expr("double(UnitPrice)"))
+    return csv.read_retail(spark, path).selectExpr(
+        "InvoiceNo", "Quantity", "InvoiceDate", "double(UnitPrice) AS UnitPrice", "string(CustomerID) AS CustomerID"
+    )
 
 
 def scan_tickets(spark: SparkSession, folder: str) -> DataFrame:
@@ -183,8 +185,8 @@ def link_tickets(spark: SparkSession, folder: str) -> DataFrame:
 
 def link_tickets_all(spark: SparkSession, folder: str) -> DataFrame:
     """Every ticket, with its customer where the link table has one."""
-    return link.link_tickets(_tickets(spark, folder), tables.account_links(spark, folder), "left").select(
-        "TicketID", "CustomerEmail", c.CUSTOMER
+    return link.link_tickets(_tickets(spark, folder), tables.account_links(spark, folder), "left").selectExpr(
+        "TicketID", "CustomerEmail", f"string({c.CUSTOMER}) AS {c.CUSTOMER}"
     )
 
 

@@ -47,5 +47,6 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     Costs one shuffle of a table that is small by this very test, and nothing for a large one. Pays
     off before heavy work per row. For scans only: on other plans the test would run the plan.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(*keys) if df.rdd.getNumPartitions() < cores else df
+    spark = df.sparkSession
+    tasks = min(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(tasks, *keys) if df.rdd.getNumPartitions() < tasks else df

@@ -8,7 +8,7 @@ import pytest
 
 from returns_risk import constants as c
 from returns_risk.operators import evaluate, scoring, shapley
-from returns_risk.operators.tree_shapley import explain_batch, leaves_of_tree, tree_shapley
+from returns_risk.operators.tree_shapley import batch_explainer, leaves_of_tree, tree_shapley
 from returns_risk.sources.store import write_once
 
 
@@ -132,7 +132,7 @@ def test_tree_leaves_by_definition():
 
     leaves = leaves_of_tree(nodes, 2.0)
     rows = np.random.default_rng(5).random((50, 3))
-    got = explain_batch(rows, leaves)
+    got = batch_explainer(leaves)(rows)
     assert sum(leaf_.expected for leaf_ in leaves) == pytest.approx(value(rows[0], set()))
     for row, phi in zip(rows, got):
         expected = exact_phi(lambda known: value(row, known), [0, 1, 2])

@@ -2,7 +2,7 @@ import pytest
 
 from returns_risk.operators.link import email_slot, link_tickets
 from returns_risk.operators.ranks import dense_index, totals_before
-from returns_risk.sources.store import shared_folder, write_once
+from returns_risk.sources.store import shared_folder, spread, write_once
 
 TICKETS = "TicketID long, CustomerEmail string, TicketType string, TicketDescription string"
 
@@ -72,3 +72,10 @@ def test_only_local_sessions_may_go_without_a_shared_folder():
     assert shared_folder(Unset("local[2]")).endswith("/returns_risk/app-1")
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_folder(Unset("yarn"))
+
+
+def test_small_tables_are_spread(spark):
+    stored = write_once(spark.range(100).coalesce(1), "small")
+    wide = spread(stored, "id")
+    assert wide.rdd.getNumPartitions() == 4 and wide.count() == 100
+    assert spread(stored.repartition(9), "id").rdd.getNumPartitions() == 9
