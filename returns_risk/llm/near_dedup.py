@@ -10,9 +10,9 @@ or apart. The steps:
 3. Nodes that share a band key are a bucket. Each member is paired with the smallest member of the bucket only, so
    a bucket gives as many pairs as it has members.
 4. Pairs whose sketches are near enough are confirmed on the full sets. Links give groups.
-5. Buckets that still hold several groups get the pairs across groups. The sketches are compared inside the join,
-   so only near pairs leave it. Buckets of more than ``dense`` members are first split by a second band that pairs
-   must share too, and by a third; what is then still dense is joined as it is.
+5. Where several groups meet in a bucket, the members of the smaller ones are compared with the largest, and with each
+   other, first by sketch and then by set. Buckets with more than ``DENSE`` such members are first split by a second
+   band that pairs must share too, and by a third; what is then still dense is compared as it is.
 
 Two sets with a similarity of 0.8 share no band with a probability of 5e-9 and fail the sketch test with about 1e-9.
 """
@@ -35,7 +35,7 @@ BANDS, ROWS, BITS = 48, 5, 1024
 SAMPLES = BANDS * ROWS
 #: How far below the threshold a sketch's estimate may lie: six standard deviations of 240 samples.
 MARGIN = 0.16
-DENSE = 200
+DENSE = 4000
 
 _draw = np.random.default_rng(20240229)
 _SEEDS = _draw.integers(0, 1 << 32, SAMPLES, dtype=np.uint32)
@@ -109,56 +109,74 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
 
 def _near(percent: int, x: str, y: str) -> str:
     """SQL: the sizes allow the similarity, and the odd sketches are near enough."""
-    differing = f"aggregate(zip_with({x}.sketch, {y}.sketch, (p, q) -> bit_count(p ^ q)), 0, (s, v) -> s + v)"
+    differing = " + ".join(f"bit_count({x}.sketch[{k}] ^ {y}.sketch[{k}])" for k in range(BITS // 64))
     sizes = f"100 * least({x}.n_shingles, {y}.n_shingles) >= {percent} * greatest({x}.n_shingles, {y}.n_shingles)"
     return f"{sizes} AND {differing} <= {most_differing_bits(percent)}"
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that reach the similarity on their full sets. Reads the texts of their documents again."""
-    pairs = write_once(pairs, "near-pairs")
-    wanted = pairs.selectExpr("explode(array(a, b)) AS rid").distinct()
-    texts = docs.join(wanted.hint("shuffle_hash"), "rid")
-    sets = write_once(
-        per_batch(
-            texts.select("rid", "text"),
-            lambda rids, texts: {"rid": rids, "found": [shingle_set(t, words).view(np.int64) for t in texts]},
-            "rid bigint, found array<bigint>",
-        ),
-        "near-sets",
-    )
-    found = pairs.join(sets.selectExpr("rid AS a", "found AS one"), "a")
-    found = found.join(sets.selectExpr("rid AS b", "found AS two"), "b")
-    found = found.selectExpr("a", "b", "size(one) + size(two) AS sizes", "size(array_intersect(one, two)) AS shared")
-    return found.where(f"100 * shared >= {percent} * (sizes - shared)").select("a", "b")
+def _linked(percent: int, x: str, y: str) -> str:
+    """SQL: the full sets reach the similarity."""
+    shared = f"size(array_intersect({x}.found, {y}.found))"
+    return f"{100 + percent}L * {shared} >= {percent}L * (size({x}.found) + size({y}.found))"
+
 
+def _to_hubs(members: DataFrame, nodes: DataFrame, about: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between the members of buckets and their hubs."""
+    pairs = members.where("node <> hub").selectExpr("hub AS a", "node AS b").distinct()
+    for side in ("a", "b"):
+        pairs = pairs.join(nodes.selectExpr(f"node AS {side}", f"struct(n_shingles, sketch) AS of_{side}"), side)
+    pairs = write_once(pairs.where(_near(percent, "of_a", "of_b")).select("a", "b"), "near-pairs")
+    for side in ("a", "b"):
+        pairs = pairs.join(about.selectExpr(f"node AS {side}", f"struct(found) AS of_{side}"), side)
+    return pairs.where(_linked(percent, "of_a", "of_b")).select("a", "b").distinct()
 
-def _across(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Near pairs of different groups within buckets that hold several: members (key, node, label)."""
 
-    def mixed(rows: DataFrame, name: str) -> DataFrame:
-        held = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("top"), F.count("*").alias("n"))
-        several = write_once(held.where("low < top").select("key", "n"), f"{name}-keys")
-        return write_once(rows.join(several, "key"), name)
+def _across(members: DataFrame, nodes: DataFrame, about: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between groups that meet in a bucket: members (key, node, label).
 
-    rows = mixed(members.selectExpr("key", "node", "label", "array(key) AS used"), "near-mixed")
-    pairs = []
+    The label with the most members in a bucket is its main one, the members of others are its strays. A stray is
+    compared with all nodes of the main label, once however many buckets they share, and with the strays of other
+    labels. Sketches and sets are compared inside the join, so only links leave it. A label of many nodes is dealt out
+    by its measured size.
+    """
+    held = members.groupBy("key", "label").agg(F.count("*").alias("n"))
+    held = held.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels"))
+    held = write_once(held.where("labels > 1").selectExpr("key", "top.label AS main"), "near-mixed")
+    strays = write_once(members.join(held, "key").where("label <> main"), "near-strays")
+
+    owners = strays.selectExpr("main AS label").distinct()
+    owned = members.select("node", "label").distinct().join(owners, "label")
+    lanes = owned.groupBy("label").agg(F.expr(f"cast(1 + count(*) div {DENSE} AS int) AS lanes"))
+    lanes = write_once(lanes, "near-lanes")
+    owned = owned.join(lanes, "label").selectExpr("label AS main", "node", "pmod(xxhash64(node), lanes) AS lane")
+    asked = strays.select("node", "main").distinct().join(lanes.withColumnRenamed("label", "main"), "main")
+    asked = asked.selectExpr("main", "node", "explode(sequence(0L, lanes - 1L)) AS lane")
+    x = write_once(asked.join(about, "node"), "near-asked").alias("x")
+    y = write_once(owned.join(about, "node"), "near-owned").alias("y")
+    on = f"x.main = y.main AND x.lane = y.lane AND {_near(percent, 'x', 'y')} AND {_linked(percent, 'x', 'y')}"
+    links = [x.join(y, F.expr(on)).selectExpr("x.node AS a", "y.node AS b")]
+
+    def several(rows: DataFrame, name: str) -> DataFrame:
+        keys = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("top"), F.count("*").alias("n"))
+        keys = write_once(keys.where("low < top").select("key", "n"), f"{name}-keys")
+        return write_once(rows.join(keys, "key"), name)
+
+    rows = several(strays.selectExpr("key", "node", "label", "array(key) AS used"), "near-several")
     for last in (False, False, True):
         part = rows if last else rows.where(f"n <= {DENSE}")
-        part = part.select("key", "node", "label").join(nodes.select("node", "n_shingles", "sketch"), "node")
-        part = write_once(part, "near-sides")
+        part = write_once(part.select("key", "node", "label").join(about, "node"), "near-sides")
         x, y = part.alias("x"), part.alias("y")
-        on = f"x.key = y.key AND x.node < y.node AND x.label <> y.label AND {_near(percent, 'x', 'y')}"
-        pairs.append(x.join(y, F.expr(on)).selectExpr("x.node AS a", "y.node AS b"))
+        on = "x.key = y.key AND x.node < y.node AND x.label <> y.label"
+        on = f"{on} AND {_near(percent, 'x', 'y')} AND {_linked(percent, 'x', 'y')}"
+        links.append(x.join(y, F.expr(on)).selectExpr("x.node AS a", "y.node AS b"))
         dense = rows.where(f"n > {DENSE}")
         if last or dense.isEmpty():
             break
         dense = dense.select("node", "label", "used").join(nodes.select("node", "bands"), "node")
         dense = dense.selectExpr("node", "label", "used", "explode(array_except(bands, used)) AS more")
         dense = dense.selectExpr("node", "label", "array_sort(concat(used, array(more))) AS used")
-        dense = dense.selectExpr("xxhash64(used) AS key", "node", "label", "used").distinct()
-        rows = mixed(dense, "near-finer")
-    return reduce(DataFrame.unionByName, pairs).distinct()
+        rows = several(dense.selectExpr("xxhash64(used) AS key", "node", "label", "used").distinct(), "near-finer")
+    return reduce(DataFrame.unionByName, links).distinct()
 
 
 def near_duplicates(
@@ -182,16 +200,18 @@ def near_duplicates(
     buckets = write_once(buckets.select("key", "hub"), "near-buckets")
     members = write_once(dealt.join(buckets, "key"), "near-members")
 
-    pairs = members.where("node <> hub").selectExpr("hub AS a", "node AS b").distinct()
-    for side in ("a", "b"):
-        about = nodes.selectExpr(f"node AS {side}", f"struct(n_shingles, sketch) AS of_{side}")
-        pairs = pairs.join(about, side)
-    pairs = pairs.where(_near(percent, "of_a", "of_b")).select("a", "b")
-    links = write_once(_confirmed(pairs, docs, words, percent), "near-links")
-    labels = write_once(groups(links, "near-first"), "near-labels")
+    wanted = members.selectExpr("node AS rid").distinct()
+    found = per_batch(
+        docs.join(wanted.hint("shuffle_hash"), "rid").select("rid", "text"),
+        lambda rids, texts: {"node": rids, "found": [shingle_set(t, words).view(np.int64) for t in texts]},
+        "node bigint, found array<bigint>",
+    )
+    about = write_once(found.join(nodes.select("node", "n_shingles", "sketch"), "node"), "near-sets")
 
+    links = write_once(_to_hubs(members, nodes, about, percent), "near-links")
+    labels = write_once(groups(links, "near-first"), "near-labels")
     members = members.join(labels, "node", "left").selectExpr("key", "node", "coalesce(label, node) AS label")
-    more = _confirmed(_across(write_once(members, "near-labelled"), nodes, percent), docs, words, percent)
+    more = _across(write_once(members, "near-labelled"), nodes, about, percent)
     labels = groups(labels.selectExpr("node AS a", "label AS b").unionByName(more), "near-last")
     labels = nodes.select("digest", "node").join(labels, "node", "left")
     labels = write_once(labels.selectExpr("digest", "coalesce(label, node) AS label"), "near-classes")
