@@ -24,15 +24,24 @@ HASHED = r"transform(filter(split(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), w -> w <>
 
 
 def seeds(words: str = "words") -> str:
-    """SQL: the seed hashes of a text, those of each mask in order of place, one mask after the other."""
+    """SQL: the seed hashes of a text, those of each mask in order of place, one mask after the other.
+
+    Neighbouring words are hashed in pairs first, which halves what a seed has to look up.
+    """
     parts = []
     for k, mask in enumerate(MASKS):
-        taken = ", ".join(f"{words}[i + {at}]" for at, kind in enumerate(mask) if kind == "1")
+        taken, at = [], 0
+        while at < len(mask):
+            two = mask[at : at + 2] == "11"
+            if mask[at] == "1":
+                taken.append(f"{'pairs' if two else words}[i + {at}]")
+            at += 2 if two else 1
         places = f"sequence(0, size({words}) - {len(mask)})"
         empty = "cast(array() AS array<bigint>)"
-        made = f"transform({places}, i -> xxhash64({k}, {taken}))"
+        made = f"transform({places}, i -> xxhash64({k}, {', '.join(taken)}))"
         parts.append(f"CASE WHEN size({words}) >= {len(mask)} THEN {made} ELSE {empty} END")
-    return f"concat({', '.join(parts)})"
+    pairs = f"transform({words}, (w, i) -> xxhash64(w, get({words}, i + 1)))"
+    return f"transform(array({pairs}), pairs -> concat({', '.join(parts)}))[0]"
 
 
 def place(at: str, n: str) -> str:
