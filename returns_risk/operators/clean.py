@@ -19,28 +19,41 @@ DROP_COUNTS = {
 }
 
 
-def _shape(fmt: str) -> str | None:
-    """A regular expression for the texts that ``fmt`` can read, if it is made of numbers only."""
+def _numbers(fmt: str) -> tuple[str, dict[str, int]] | None:
+    """A regular expression for the texts that ``fmt`` can read, and the group of each letter, if it is all numbers."""
     widths = {"yyyy": "[0-9]{4}", "MM": "[0-9]{2}", "dd": "[0-9]{2}", "HH": "[0-9]{2}", "mm": "[0-9]{2}",
               "ss": "[0-9]{2}", "M": "[0-9]{1,2}", "d": "[0-9]{1,2}", "H": "[0-9]{1,2}"}
-    runs = re.findall(r"([A-Za-z])(\1*)|([^A-Za-z]+)", fmt)
-    parts = [re.escape(other) if other else widths.get(letter + more) for letter, more, other in runs]
-    return None if None in parts else f"^{''.join(parts)}$"
+    shape, groups = "", {}
+    for letter, more, other in re.findall(r"([A-Za-z])(\1*)|([^A-Za-z]+)", fmt):
+        if other:
+            shape += re.escape(other)
+        elif letter + more in widths:
+            shape += f"({widths[letter + more]})"
+            groups[letter] = len(groups) + 1
+        else:
+            return None
+    return f"^{shape}$", groups
 
 
 def _attempt(text: str, fmt: str) -> str:
     if fmt == "iso":
         return f"try_cast({text} AS timestamp_ntz)"
-    parsed = f"CAST(try_to_timestamp({text}, {sql_text(fmt)}) AS timestamp_ntz)"
-    # Text of another shape is turned away first: a failed parse costs an exception per row.
-    shape = _shape(fmt)
-    return f"if({text} RLIKE {sql_text(shape)}, {parsed}, NULL)" if shape else parsed
+    numbers = _numbers(fmt)
+    if numbers is None:
+        return f"CAST(try_to_timestamp({text}, {sql_text(fmt)}) AS timestamp_ntz)"
+    # Built from the parts of the text: no session time zone has a say, and no failed parse costs an exception.
+    shape, groups = numbers
+    parts = [
+        f"int(regexp_extract({text}, {sql_text(shape)}, {groups[letter]}))" if letter in groups else "0"
+        for letter in "yMdHms"
+    ]
+    return f"if({text} RLIKE {sql_text(shape)}, try_make_timestamp_ntz({', '.join(parts)}), NULL)"
 
 
 def parse_date(text: str, formats: Sequence[str] = MONTH_FIRST) -> str:
     """SQL text: wall-clock time from ``text`` in any of ``formats``; null where none fits.
 
-    Runs in the session time zone without shifting the clock, so keep that at UTC.
+    Formats of numbers only, and ISO, are read without any time zone. Others go through the session's.
     """
     return f"coalesce({', '.join(_attempt(text, fmt) for fmt in formats)})"
 
@@ -54,7 +67,7 @@ def parse_date_strict(text: str, formats: Sequence[str] = MONTH_FIRST) -> str:
 def type_retail(
     df: DataFrame, date_formats: Sequence[str] = MONTH_FIRST, on_bad_date: str = "drop"
 ) -> DataFrame:
-    """Customer number as long and invoice date as timestamp; no row is dropped."""
+    """Customer number as long, invoice date as timestamp, a price that is no number as null; no row is dropped."""
     kinds = dict(df.dtypes)
     customer, date = "bigint(CustomerID)", "CAST(InvoiceDate AS timestamp_ntz)"
     if kinds["CustomerID"] in ("double", "float"):
@@ -62,7 +75,10 @@ def type_retail(
     if kinds["InvoiceDate"] == "string":
         parse = parse_date_strict if on_bad_date == "raise" else parse_date
         date = parse("InvoiceDate", date_formats)
-    return df.withColumns({"CustomerID": F.expr(customer), "InvoiceDate": F.expr(date)})
+    columns = {"CustomerID": F.expr(customer), "InvoiceDate": F.expr(date)}
+    if kinds["UnitPrice"] in ("double", "float"):
+        columns["UnitPrice"] = F.expr("nanvl(UnitPrice, NULL)")
+    return df.withColumns(columns)
 
 
 def clean_retail(
@@ -97,9 +113,22 @@ def dropped_rows(df: DataFrame, date_formats: Sequence[str] = MONTH_FIRST) -> Da
     return type_retail(df, date_formats).selectExpr(*counts)
 
 
-def clean_tickets(df: DataFrame, parse_purchase_date: bool = True) -> DataFrame:
-    """Tickets with a strictly parsed purchase date and with empty text instead of none."""
+def unreadable_dates(df: DataFrame) -> DataFrame:
+    """One row: tickets read, and tickets whose purchase date is there but cannot be read."""
+    bad = f"DateOfPurchase IS NOT NULL AND {parse_date('DateOfPurchase')} IS NULL"
+    return df.selectExpr("count(1) AS tickets", f"count_if({bad}) AS bad_purchase_date")
+
+
+def clean_tickets(df: DataFrame, parse_purchase_date: bool = True, on_bad_date: str = "raise") -> DataFrame:
+    """Tickets with a parsed purchase date and with empty text instead of none.
+
+    ``on_bad_date``: "raise" where the date is used, or "keep" the row with a null date. A query that
+    never uses the date does not look at it; :func:`unreadable_dates` counts what would fail.
+    """
+    if on_bad_date not in ("raise", "keep"):
+        raise ValueError(f"on_bad_date must be 'raise' or 'keep', not {on_bad_date!r}")
+    parse = parse_date_strict if on_bad_date == "raise" else parse_date
     columns = {"TicketDescription": F.expr("coalesce(TicketDescription, '')")}
     if parse_purchase_date and dict(df.dtypes)["DateOfPurchase"] == "string":
-        columns["DateOfPurchase"] = F.expr(f"date({parse_date_strict('DateOfPurchase')})")
+        columns["DateOfPurchase"] = F.expr(f"date({parse('DateOfPurchase')})")
     return df.withColumns(columns)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from returns_risk import constants as c
-from returns_risk.operators.ranks import ROWS_PER_BUCKET, totals_before
+from returns_risk.operators.ranks import RANGES, totals_before
 from returns_risk.sources.store import write_once
 
 
@@ -109,11 +109,11 @@ def roc_auc(
     df: DataFrame,
     label: str = c.LABEL,
     score: str = c.PROBABILITY,
-    rows_per_bucket: int = ROWS_PER_BUCKET,
+    ranges: int = RANGES,
 ) -> DataFrame:
     """Area under the ROC curve, exact, with half weight for ties.
 
-    Rows meet by score first, so a score that very many customers share is one row from there on.
+    Stores the counts per score at once. Rows meet by score first, so a score that very many customers share is one row from there on.
     Twice the number of won pairs is summed in whole numbers and divided once.
     """
     by_score = write_once(
@@ -122,7 +122,7 @@ def roc_auc(
         ),
         "scores",
     )
-    below = totals_before(by_score, "_score", {"_below": "_zeros"}, by_score.count(), rows_per_bucket)
+    below = totals_before(by_score, "_score", {"_below": "_zeros"}, ranges)
     won = "CAST(_ones AS decimal(19,0)) * CAST(2 * _below + _zeros AS decimal(19,0))"
     return below.selectExpr(
         f"double(sum({won})) AS _won", "sum(_ones) AS ones", "sum(_zeros) AS zeros"

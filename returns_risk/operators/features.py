@@ -18,15 +18,14 @@ KEYWORD_FEATURES = dict(zip(TICKET_COUNTS[4:], KEYWORD_LISTS, strict=True))
 def _value_sums(df: DataFrame) -> tuple[str, str]:
     """Sums of the positive and of the negative line values, as doubles.
 
-    Decimal prices are summed exactly, as whole numbers of their smallest unit where these fit a
-    long: the result then does not depend on the order of rows, and the sum stays off big decimals.
+    Decimal prices are summed exactly, with 38 digits: the result does not depend on the order of rows,
+    and no sum of real prices comes near the limit.
     """
     price = df.schema["UnitPrice"].dataType
-    if isinstance(price, DecimalType) and price.precision <= 18:
-        line, unit = f"bigint(Quantity) * bigint(UnitPrice * {10**price.scale})", f" / {10**price.scale}D"
-    else:
-        line, unit = "Quantity * UnitPrice", ""
-    return f"double(sum(greatest({line}, 0))){unit}", f"double(sum(greatest(-({line}), 0))){unit}"
+    line = "Quantity * UnitPrice"
+    if isinstance(price, DecimalType):
+        line = f"CAST({line} AS decimal(38, {price.scale}))"
+    return f"double(sum(greatest({line}, 0)))", f"double(sum(greatest(-({line}), 0)))"
 
 
 def account_age(first: str, last: str) -> str:

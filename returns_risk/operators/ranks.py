@@ -4,65 +4,52 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.ml.feature import QuantileDiscretizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Rows that one task may number. A table below this size is one bucket.
-ROWS_PER_BUCKET = 500_000
+# Ranges that a table is cut into, whatever its size; each is sorted by one task.
+RANGES = 256
 
 
-def _with_range_bucket(df: DataFrame, order: str, buckets: int) -> DataFrame:
-    """Adds ``_bucket``, a number that never falls as ``order`` rises, with about even sizes."""
-    if buckets <= 1:
-        return df.selectExpr("*", "0D AS _bucket")
-    positioned = df.selectExpr("*", f"double({order}) AS _position")
-    splitter = QuantileDiscretizer(
-        numBuckets=buckets,
-        inputCol="_position",
-        outputCol="_bucket",
-        relativeError=min(0.001, 0.25 / buckets),
-        handleInvalid="keep",
-    ).fit(positioned.select("_position"))
-    return splitter.transform(positioned).drop("_position")
+def _with_range(df: DataFrame, order: str, ranges: int) -> DataFrame:
+    """Adds ``_range``, a number that never falls as ``order`` rises, with about even sizes."""
+    if ranges < 1:
+        raise ValueError("ranges must be at least 1")
+    shares = ", ".join(f"{k / ranges!r}D" for k in range(1, ranges))
+    # Approximate quantiles, as one value for all tasks; null for an empty table.
+    cuts = f"percentile_approx(double({order}), array({shares}), {50 * ranges})" if shares else "array(0D)"
+    beyond = f"coalesce(size(filter(_cuts, cut -> cut < double({order}))), 0)"
+    return df.withColumn("_cuts", df.agg(F.expr(cuts)).scalar()).selectExpr(
+        "* EXCEPT (_cuts)", f"{beyond if shares else '0'} AS _range"
+    )
 
 
-def totals_before(
-    df: DataFrame,
-    order: str,
-    totals: Mapping[str, str],
-    rows: int,
-    rows_per_bucket: int = ROWS_PER_BUCKET,
-) -> DataFrame:
+def totals_before(df: DataFrame, order: str, totals: Mapping[str, str], ranges: int = RANGES) -> DataFrame:
     """Adds, per entry of ``totals``, the sum of its expression over all rows that come before in ``order``.
 
-    ``order`` must be unique, ``df`` cheap to read again (a stored table), ``rows`` its row count.
-    The table is cut into ranges at approximate quantiles. The cut points decide only how even the
-    tasks are: each row gets the total of its range's predecessors plus a window sum inside the range.
+    ``order`` must be unique and ``df`` cheap to read again (a stored table). The table is cut into
+    ``ranges`` ranges at approximate quantiles. The cut points decide only how even the tasks are: each
+    row gets the total of its range's predecessors plus a window sum inside the range.
     """
-    buckets = -(-rows // rows_per_bucket)
-    cut = _with_range_bucket(df, order, buckets)
-    before = f"(PARTITION BY _bucket ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    inside = cut.selectExpr("*", *[f"coalesce(sum({value}) OVER {before}, 0L) AS {name}" for name, value in totals.items()])
-    if buckets <= 1:
-        return inside.drop("_bucket")
-
-    # One row per bucket: `buckets` rows at most, whatever the size of the table.
-    earlier = "(ORDER BY _bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    cut = _with_range(df, order, ranges)
+    before = f"(PARTITION BY _range ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    inside = cut.selectExpr(
+        "*", *[f"coalesce(sum({value}) OVER {before}, 0L) AS {name}" for name, value in totals.items()]
+    )
+    # One row per range, whatever the size of the table.
+    earlier = "(ORDER BY _range ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     offsets = (
-        cut.groupBy("_bucket")
+        cut.groupBy("_range")
         .agg(*[F.expr(f"sum({value})").alias(name) for name, value in totals.items()])
-        .selectExpr("_bucket", *[f"coalesce(sum({name}) OVER {earlier}, 0L) AS {name}_offset" for name in totals])
+        .selectExpr("_range", *[f"coalesce(sum({name}) OVER {earlier}, 0L) AS {name}_offset" for name in totals])
     )
     return (
-        inside.join(F.broadcast(offsets), "_bucket")
+        inside.join(F.broadcast(offsets), "_range")
         .withColumns({name: F.col(name) + F.col(f"{name}_offset") for name in totals})
-        .drop("_bucket", *[f"{name}_offset" for name in totals])
+        .drop("_range", *[f"{name}_offset" for name in totals])
     )
 
 
-def dense_index(
-    df: DataFrame, order: str, name: str, rows: int, rows_per_bucket: int = ROWS_PER_BUCKET
-) -> DataFrame:
+def dense_index(df: DataFrame, order: str, name: str, ranges: int = RANGES) -> DataFrame:
     """Adds the 0-based position of each row in ascending ``order``. See :func:`totals_before`."""
-    return totals_before(df, order, {name: "1L"}, rows, rows_per_bucket)
+    return totals_before(df, order, {name: "1L"}, ranges)

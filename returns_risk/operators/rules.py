@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame
 from returns_risk import constants as c
 from returns_risk.functions.numeric import fill_template, sql_text
 
-# Every condition by name, as SQL text. Sanitized features make null and NaN impossible here.
-_ITEMS_RATE = f"RefundRate_by_Items > {c.ITEMS_RATE_LIMIT}D"
-_VALUE_RATE = f"RefundRate_by_Value > {c.VALUE_RATE_LIMIT}D"
+# Every condition by name, as SQL text. NaN counts as no value: Spark would hold it for larger than any limit.
+_ITEMS_RATE = f"nanvl(RefundRate_by_Items, NULL) > {c.ITEMS_RATE_LIMIT}D"
+_VALUE_RATE = f"nanvl(RefundRate_by_Value, NULL) > {c.VALUE_RATE_LIMIT}D"
 _REFUND_TICKETS = f"Tickets_TypeRefundRequest >= {c.REFUND_TICKETS_MIN}"
 _SENTIMENT = f"MinTicketSentimentScore < {c.SENTIMENT_LIMIT}D"
 _RETURNED_ITEMS = f"TotalItemsReturned > {c.RETURNED_ITEMS_LIMIT}"

@@ -37,12 +37,13 @@ def linear_sum(weights: Mapping[str, float], source: Callable[[str], str] = str)
 
 
 def _with_class(df: DataFrame, threshold: float = c.CLASS_THRESHOLD) -> DataFrame:
+    df = df.drop(c.PREDICTION)
     return df.selectExpr("*", f"int({c.PROBABILITY} > {threshold}D) AS {c.PREDICTION}")
 
 
 def linear_score(df: DataFrame, weights: Mapping[str, float] = c.SCORE_WEIGHTS) -> DataFrame:
-    """Adds probability and class of the linear score. The other class has 1 - probability."""
-    return _with_class(sanitize(df).selectExpr("*", f"{linear_sum(weights)} AS {c.PROBABILITY}"))
+    """Adds probability and class of the linear score, in place of any that are there. The other class has 1 - probability."""
+    return _with_class(sanitize(df).drop(c.PROBABILITY).selectExpr("*", f"{linear_sum(weights)} AS {c.PROBABILITY}"))
 
 
 def save_linear(spark: SparkSession, path: str, weights: Mapping[str, float] = c.SCORE_WEIGHTS) -> None:

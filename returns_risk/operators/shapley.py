@@ -14,6 +14,9 @@ from returns_risk.operators.evaluate import seeded_hash
 from returns_risk.operators.features import sanitize
 from returns_risk.operators.scoring import linear_sum
 
+# Background rows accepted: a few hundred kilobytes in every task.
+BACKGROUND_MOST = 10_000
+
 
 def background_sample(df: DataFrame, rows: int = c.BACKGROUND_ROWS, seed: int = c.SEED) -> DataFrame:
     """The comparison rows of an explanation: those with the smallest seeded hash of the customer."""
@@ -28,9 +31,11 @@ def linear_shapley(
     """Exact attribution of the clipped linear score against the rows of ``background``.
 
     Adds ``base`` (mean background score) and ``phi``, one value per feature in feature order;
-    features without weight get 0. ``background`` is a sample of bounded size: its weighted features
-    travel to every task as one array value.
+    features without weight get 0. The weighted features of ``background`` travel to every task as one
+    array value, so more than ``BACKGROUND_MOST`` rows are refused; that counts them, in a job of its own.
     """
+    if background.limit(BACKGROUND_MOST + 1).count() > BACKGROUND_MOST:
+        raise ValueError(f"The background has more than {BACKGROUND_MOST} rows; take a sample")
     names = list(weights)
     subsets = [frozenset(chosen) for size in range(len(names) + 1) for chosen in combinations(names, size)]
     mean = {known: f"_mean{number}" for number, known in enumerate(subsets)}

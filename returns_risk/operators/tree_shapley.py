@@ -3,15 +3,13 @@
 The value of a set of known features is the expected tree output when splits on unknown features
 send a row both ways, weighted by the training rows on either side. For one leaf this is a product
 over the features on its path: 1 or 0 for a known feature (the row does or does not follow the path),
-the share of training rows that do for an unknown one. A leaf has only 2^(features on its path)
-such patterns, so its contributions are tabulated once and looked up per row.
+the share of training rows that do for an unknown one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import combinations
 from math import factorial, inf
 
 import numpy as np
@@ -27,31 +25,16 @@ from returns_risk.sources.store import new_path
 
 @dataclass
 class Leaf:
-    """One leaf: its path features, the interval each must lie in, and phi by pattern."""
+    """One leaf: its path features, the interval each must lie in, the share of rows that do, its output."""
 
     features: list[int]
     low: list[float]
     high: list[float]
-    phi: np.ndarray
+    shares: list[float]
+    output: float
     expected: float
 
 
-def leaf_table(shares: list[float], output: float) -> np.ndarray:
-    """phi[pattern, j] of path feature j; bit j of the pattern tells if the row follows feature j."""
-    n = len(shares)
-    phi = np.zeros((2**n, n))
-    for j in range(n):
-        others = [k for k in range(n) if k != j]
-        for size in range(n):
-            weight = factorial(size) * factorial(n - size - 1) / factorial(n)
-            for known in combinations(others, size):
-                unknown_share = np.prod([shares[k] for k in others if k not in known])
-                for pattern in range(2**n):
-                    if all(pattern >> k & 1 for k in known):
-                        phi[pattern, j] += weight * unknown_share * ((pattern >> j & 1) - shares[j])
-    return output * phi
-
-
 def leaves_of_tree(nodes: dict[int, dict], scale: float) -> list[Leaf]:
     """All leaves of one stored tree; ``scale`` multiplies the leaf outputs."""
     leaves: list[Leaf] = []
@@ -63,7 +46,7 @@ def leaves_of_tree(nodes: dict[int, dict], scale: float) -> list[Leaf]:
             output = node["prediction"] * scale
             leaves.append(Leaf(
                 list(path), [low for low, _, _ in path.values()], [high for _, high, _ in path.values()],
-                leaf_table(shares, output), output * float(np.prod(shares)),
+                shares, output, output * float(np.prod(shares)),
             ))
             return
         feature, threshold = node["feature"], node["threshold"]
@@ -101,19 +84,34 @@ def read_leaves(df: DataFrame, model: PipelineModel) -> list[Leaf]:
 def batch_explainer(leaves: list[Leaf]) -> Callable[[np.ndarray], np.ndarray]:
     """A function from a batch of feature rows to phi (rows x features).
 
-    It holds arrays only, so that Python workers need nothing of this package.
+    For each path feature of a leaf, the other features are taken up one after the other into a
+    polynomial whose coefficients tell how much weight the sets of each size have; the cost grows with
+    the third power of the path's features. Rows that follow the same features of a leaf share the work.
+    The function holds arrays only, so that Python workers need nothing of this package.
     """
-    tables = [
-        (np.array(leaf.features), np.array(leaf.low), np.array(leaf.high), 1 << np.arange(len(leaf.features)), leaf.phi)
-        for leaf in leaves if leaf.features
-    ]
+    paths = []
+    for leaf in leaves:
+        if leaf.features:
+            n = len(leaf.features)
+            weights = np.array([factorial(size) * factorial(n - size - 1) / factorial(n) for size in range(n)])
+            paths.append((np.array(leaf.features), np.array(leaf.low), np.array(leaf.high), np.array(leaf.shares), leaf.output, weights))
 
     def explain(values: np.ndarray) -> np.ndarray:
         phi = np.zeros_like(values)
-        for features, low, high, bits, table in tables:
+        for features, low, high, shares, output, weights in paths:
             at = values[:, features]
-            pattern = ((at > low) & (at <= high)) @ bits
-            phi[:, features] += table[pattern]
+            follows, row = np.unique((at > low) & (at <= high), axis=0, return_inverse=True)
+            found = np.empty(follows.shape)
+            for j in range(len(features)):
+                sizes = np.zeros(follows.shape)
+                sizes[:, 0] = 1
+                for k in range(len(features)):
+                    if k != j:
+                        more = sizes[:, :-1] * follows[:, k, None]
+                        sizes *= shares[k]
+                        sizes[:, 1:] += more
+                found[:, j] = output * (follows[:, j] - shares[j]) * (sizes @ weights)
+            phi[:, features] += found[row.ravel()]
         return phi
 
     return explain

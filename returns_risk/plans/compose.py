@@ -11,21 +11,21 @@ from returns_risk import constants as c
 from returns_risk.operators import features as f
 from returns_risk.operators.clean import clean_retail, clean_tickets
 from returns_risk.operators.link import SLOT, email_slot, number_customers
-from returns_risk.operators.ranks import ROWS_PER_BUCKET
+from returns_risk.operators.ranks import RANGES
 from returns_risk.operators.scoring import score_features
 from returns_risk.operators.text_features import score_text
 from returns_risk.sources.store import write_once
 
 
-def numbered_summary(clean: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> tuple[DataFrame, int]:
+def numbered_summary(clean: DataFrame, ranges: int = RANGES) -> tuple[DataFrame, int]:
     """The retail summary with the slot of each customer, and the number of customers.
 
-    The invoice lines are read once, here; the numbering works on the stored customer rows.
+    Runs at once: the invoice lines are read here, once; the numbering works on the stored customer rows.
     """
     summary = f.retail_summary(clean).withColumnRenamed("CustomerID", c.CUSTOMER)
     stored = write_once(summary, "retail_summary")
     customers = stored.count()
-    return number_customers(stored, c.CUSTOMER, customers, rows_per_bucket), customers
+    return number_customers(stored, c.CUSTOMER, ranges), customers
 
 
 def build_features(
@@ -35,7 +35,7 @@ def build_features(
     date_formats: Sequence[str] = c.MONTH_FIRST,
     on_bad_date: str = "drop",
     negative_terms: Sequence[str] = c.NEGATIVE_TERMS,
-    rows_per_bucket: int = ROWS_PER_BUCKET,
+    ranges: int = RANGES,
 ) -> DataFrame:
     """Raw invoice lines and tickets to one feature row per customer.
 
@@ -48,7 +48,7 @@ def build_features(
     if links is not None:
         summary = f.retail_summary(clean).withColumnRenamed("CustomerID", c.CUSTOMER)
         return f.combine(summary, f.ticket_summary(scored, links))
-    summary, customers = numbered_summary(clean, rows_per_bucket)
+    summary, customers = numbered_summary(clean, ranges)
     by_slot = f.ticket_summary_by_slot(scored, email_slot("CustomerEmail", customers), SLOT)
     return f.combine(summary, by_slot, SLOT)
 

@@ -57,7 +57,7 @@ _PHRASE_CASES = " ".join(
 def _tickets(long_text: bool) -> str:
     phrase = f"CASE (event_id * 7919) % 10 {_PHRASE_CASES} END"
     if long_text:
-        phrase = f"({phrase}) || ' ' || coalesce(text, '')"
+        phrase = f"coalesce({phrase}, '') || ' ' || coalesce(text, '')"
     source = "events LEFT JOIN documents ON doc_id = event_id" if long_text else "events"
     return f"""
     SELECT event_id AS TicketID,
@@ -151,7 +151,7 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "texts": (("tickets",), _scored_text("tickets")),
     "texts_long": (("tickets_long",), _scored_text("tickets_long")),
     "slots": (("texts", "numbered"), """
-    SELECT *, ('0x' || substr(md5(CustomerEmail), 1, 8))::BIGINT % (SELECT count(*) FROM numbered) AS slot
+    SELECT *, ('0x' || substr(md5(CustomerEmail), 1, 15))::BIGINT % (SELECT count(*) FROM numbered) AS slot
     FROM texts WHERE CustomerEmail IS NOT NULL"""),
     "slot_stats": (("slots",), _ticket_stats("slot", "slots")),
     "features": (("numbered", "slot_stats"), _feature_rows("slot_stats", "s.slot = t.slot")),
@@ -431,6 +431,22 @@ ORACLE_SQL: dict[str, str] = {
                    p[1] AS category_prediction, p[2] AS text_prediction
             FROM (SELECT *, {_LIKELIHOOD} AS l, {_PREDICTION} AS p FROM scored)""",
     ),
+    "score_stored": _sql(
+        "scored_linked", "SELECT Simulated_CustomerID, Predicted_Probability, Predicted_Abuser FROM scored_linked"
+    ),
+    "tickets_typed": _sql(
+        "tickets",
+        "SELECT TicketID, coalesce(TicketDescription, '') AS TicketDescription, "
+        "CASE WHEN TicketID % 41 <> 0 THEN DateOfPurchase END AS DateOfPurchase FROM tickets",
+    ),
+    "dq_purchase_dates": _sql(
+        "tickets", "SELECT count(*) AS tickets, count(*) FILTER (TicketID % 41 = 0) AS bad_purchase_date FROM tickets"
+    ),
+    "gbt_facts": _sql(
+        "split",
+        "SELECT Simulated_CustomerID, 1 AS in_range, 1 AS class_agrees, 1 AS loaded_agrees, 1 AS adds_up "
+        "FROM split WHERE is_test",
+    ),
     "stratified_split": _sql("split", "SELECT Simulated_CustomerID, is_refund_abuser, is_test FROM split"),
     "class_report": _sql(
         ("confusion", "classes"),

@@ -11,7 +11,7 @@ from returns_risk.operators.text_features import score_text
 from returns_risk.operators.tree_shapley import tree_shapley
 from returns_risk.plans.compose import build_features, numbered_summary, score_new as score_new_tables
 from returns_risk.sources import csv, tables
-from returns_risk.sources.store import new_path, spread, write_once
+from returns_risk.sources.store import new_path, write_once
 
 COUNTS = list(c.KEYWORD_LISTS)
 
@@ -168,6 +168,24 @@ def keyword_counts_long_text(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def tickets_typed(spark: SparkSession, folder: str) -> DataFrame:
+    """Every ticket with its purchase date as a date; every 41st cannot be read and is null."""
+    raw = tables.support_tickets(spark, folder).withColumn(
+        "DateOfPurchase", F.expr("if(TicketID % 41 = 0, 'not a date', DateOfPurchase)")
+    )
+    return clean.clean_tickets(raw, on_bad_date="keep").selectExpr(
+        "TicketID", "TicketDescription", "string(DateOfPurchase) AS DateOfPurchase"
+    )
+
+
+def dq_purchase_dates(spark: SparkSession, folder: str) -> DataFrame:
+    """Tickets, and how many have a purchase date that cannot be read."""
+    raw = tables.support_tickets(spark, folder).withColumn(
+        "DateOfPurchase", F.expr("if(TicketID % 41 = 0, 'not a date', DateOfPurchase)")
+    )
+    return clean.unreadable_dates(raw)
+
+
 # --- linking ----------------------------------------------------------------------------------
 
 def link_map(spark: SparkSession, folder: str) -> DataFrame:
@@ -250,6 +268,16 @@ def score_new(spark: SparkSession, folder: str) -> DataFrame:
     ).select(c.CUSTOMER, c.PROBABILITY, c.PREDICTION)
 
 
+def score_stored(spark: SparkSession, folder: str) -> DataFrame:
+    """As ``score_new``, by weights that were saved and loaded."""
+    path = new_path(spark, "weights")
+    scoring.save_linear(spark, path)
+    return score_new_tables(
+        tables.retail_lines(spark, folder), tables.support_tickets(spark, folder),
+        tables.account_links(spark, folder), scoring.load_linear(spark, path),
+    ).select(c.CUSTOMER, c.PROBABILITY, c.PREDICTION)
+
+
 def flag_threshold(spark: SparkSession, folder: str) -> DataFrame:
     return scoring.flag_accounts(_scored(spark, folder)).selectExpr(
         c.CUSTOMER, c.PROBABILITY, "int(flagged) AS flagged"
@@ -314,7 +342,7 @@ def roc_auc(spark: SparkSession, folder: str) -> DataFrame:
 
 def _explained(spark: SparkSession, folder: str) -> DataFrame:
     frame = _stored_scores(spark, folder)
-    return shapley.linear_shapley(spread(frame, c.CUSTOMER), shapley.background_sample(frame))
+    return shapley.linear_shapley(frame, shapley.background_sample(frame))
 
 
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -356,6 +384,25 @@ def gbt_scored(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def gbt_facts(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold for every test customer, whatever trees were trained."""
+    split, model = _trained(spark, folder)
+    path = new_path(spark, "model")
+    scoring.save_model(model, path)
+    explained = tree_shapley(scoring.score_gbt(split.where("is_test"), model), model)
+    again = scoring.score_gbt(split.where("is_test"), scoring.load_model(path)).selectExpr(
+        c.CUSTOMER, f"{c.PROBABILITY} AS _again"
+    )
+    log_odds = f"ln({c.PROBABILITY} / (1 - {c.PROBABILITY}))"
+    return explained.join(again, c.CUSTOMER).selectExpr(
+        c.CUSTOMER,
+        f"int({c.PROBABILITY} > 0 AND {c.PROBABILITY} < 1) AS in_range",
+        f"int({c.PREDICTION} = int({c.PROBABILITY} > 0.5)) AS class_agrees",
+        f"int(abs({c.PROBABILITY} - _again) < 1e-12) AS loaded_agrees",
+        f"int(abs(base + aggregate(phi, 0D, (s, v) -> s + v) - {log_odds}) < 1e-6) AS adds_up",
+    )
+
+
 def gbt_report(spark: SparkSession, folder: str) -> DataFrame:
     split, model = _trained(spark, folder)
     return evaluate.classification_report(scoring.score_gbt(split.where("is_test"), model))
@@ -392,6 +439,8 @@ QUERIES = {
     "keyword_counts": keyword_counts,
     "ticket_sentiment": ticket_sentiment,
     "keyword_counts_long_text": keyword_counts_long_text,
+    "tickets_typed": tickets_typed,
+    "dq_purchase_dates": dq_purchase_dates,
     "link_map": link_map,
     "link_tickets": link_tickets,
     "link_tickets_all": link_tickets_all,
@@ -404,6 +453,7 @@ QUERIES = {
     "flagged_top": flagged_top,
     "scored": scored,
     "score_new": score_new,
+    "score_stored": score_stored,
     "flag_threshold": flag_threshold,
     "manual_score": manual_score,
     "reasons_rules": reasons_rules,
@@ -417,6 +467,7 @@ QUERIES = {
     "shapley_global": shapley_global,
     "shapley_one": shapley_one,
     "gbt_scored": gbt_scored,
+    "gbt_facts": gbt_facts,
     "gbt_report": gbt_report,
     "gbt_auc": gbt_auc,
     "gbt_shapley": gbt_shapley,

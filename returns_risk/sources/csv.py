@@ -44,13 +44,13 @@ def read_retail(
     spark: SparkSession,
     path: str | list[str],
     encoding: str = "ISO-8859-1",
-    multiline: bool = True,
+    multiline: bool = False,
     price_type: DataType = PRICE,
 ) -> DataFrame:
     """Invoice lines: the five columns in use, dates still as text.
 
-    With ``multiline`` each file is read by one task, because a quoted cell may hold line breaks.
-    Turn it off for files that have none: Spark then splits large files.
+    Invoice lines hold no line breaks inside cells, so Spark may split large files. With ``multiline``
+    each file is read by one task.
     """
     raw = read_text_columns(spark, path, encoding, multiline)
     return raw.selectExpr(
@@ -68,7 +68,10 @@ def read_tickets(
     encoding: str = "UTF-8",
     multiline: bool = True,
 ) -> DataFrame:
-    """Support tickets under space-free names, purchase dates still as text. See :func:`read_retail`."""
+    """Support tickets under space-free names, purchase dates still as text.
+
+    Ticket texts may hold line breaks, so by default each file is read by one task.
+    """
     raw = read_text_columns(spark, path, encoding, multiline)
     cells = {old: _present(old) for old in TICKET_COLUMNS}
     cells["Ticket ID"] = _whole_number("Ticket ID", "bigint")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,20 +10,25 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``, with a part of its own for this application.
 
-    Only a local session may go without the setting; it then gets a temporary folder.
+    Only a local session may go without the setting; it then uses a folder in the warehouse.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        if not spark.conf.get("spark.master", "").startswith("local"):
+        if not spark.conf.get("spark.master", "").startswith("local["):
             raise RuntimeError(
                 "Set spark.checkpoint.dir to a folder that all executors share; "
                 "intermediate tables are written there."
             )
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="returns-risk-"))
-        base = spark.sparkContext.getCheckpointDir()
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
     return f"{base.rstrip('/')}/returns_risk/{spark.conf.get('spark.app.id')}"
 
 
+def remove_tables(spark: SparkSession) -> None:
+    """Deletes every intermediate table of this application. Call it when no result is read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -39,14 +43,3 @@ def write_once(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Spreads a stored table over all cores if its files give fewer tasks than there are cores.
-
-    Costs one shuffle of a table that is small by this very test, and nothing for a large one. Pays
-    off before heavy work per row. For scans only: on other plans the test would run the plan.
-    """
-    spark = df.sparkSession
-    tasks = min(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(tasks, *keys) if df.rdd.getNumPartitions() < tasks else df

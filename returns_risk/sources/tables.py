@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from returns_risk.functions.numeric import sql_text
-from returns_risk.sources.store import spread
 
 # Ticket text by phrase number.
 PHRASES = (
@@ -39,7 +38,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def retail_lines(spark: SparkSession, folder: str) -> DataFrame:
-    lines = spread(table(spark, folder, "lineitem"), "l_orderkey")
+    lines = table(spark, folder, "lineitem")
     orders = table(spark, folder, "orders")
     parts = table(spark, folder, "part")
     returned = """CASE WHEN o_custkey % 50 = 3 THEN true
@@ -66,14 +65,14 @@ def retail_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 def support_tickets(spark: SparkSession, folder: str, long_text: bool = False) -> DataFrame:
     """Tickets from events; ``long_text`` appends the document with the number of the event."""
-    source = spread(table(spark, folder, "events"), "event_id")
+    source = table(spark, folder, "events")
     types = " ".join(f"WHEN {sql_text(event)} THEN {sql_text(kind)}" for event, kind in TYPE_OF_EVENT.items())
     phrases = " ".join(f"WHEN {i} THEN {sql_text(p)}" for i, p in enumerate(PHRASES) if p is not None)
     phrase = f"CASE (event_id * 7919) % 10 {phrases} END"
     if long_text:
-        documents = spread(table(spark, folder, "documents"), "doc_id")
+        documents = table(spark, folder, "documents")
         source = source.join(documents, F.expr("event_id = doc_id"), "left")
-        phrase = f"concat({phrase}, ' ', coalesce(text, ''))"
+        phrase = f"concat(coalesce({phrase}, ''), ' ', coalesce(text, ''))"
     return source.selectExpr(
         "event_id AS TicketID",
         """if(event_id % 97 = 0, NULL,

@@ -90,7 +90,7 @@ def test_retail_csv(spark, tmp_path):
         "C536379,D,Discount,-1,12/1/2010 9:41,27.5,,United Kingdom\n"
         "3,D,,0,,0,NaN,France\n".encode("ISO-8859-1")
     )
-    got = read_retail(spark, str(path)).collect()
+    got = read_retail(spark, str(path), multiline=True).collect()
     assert [(r.InvoiceNo, r.Quantity, r.InvoiceDate, float(r.UnitPrice), r.CustomerID) for r in got] == [
         ("536365", 6, "12/1/2010 8:26", 2.555, 17850), ("C536379", -1, "12/1/2010 9:41", 27.5, None), ("3", 0, None, 0.0, None),
     ]
@@ -117,3 +117,13 @@ def test_missing_file_and_bad_number(spark, tmp_path):
     path.write_text("InvoiceNo,Quantity,InvoiceDate,UnitPrice,CustomerID\n1,many,12/1/2010 8:26,1,1\n")
     with pytest.raises(PySparkException, match="CAST_INVALID_INPUT"):
         read_retail(spark, str(path)).collect()
+
+
+def test_dates_do_not_depend_on_the_zone(spark):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.createDataFrame([("3/14/2010 2:30",), ("13/14/2010 2:30",), (None,)], "t string")
+        got = [r[0] for r in df.selectExpr(f"string({parse_date('t', MONTH_FIRST)})").collect()]
+        assert got == ["2010-03-14 02:30:00", None, None]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")

@@ -47,14 +47,14 @@ def test_report(spark):
     assert {r[0]: tuple(r)[1:4] for r in evaluate.classification_report(silent).collect()}["1"] == (0.0, 0.0, 0.0)
 
 
-@pytest.mark.parametrize("rows_per_bucket", [1000, 9])
-def test_auc_counts_won_pairs(spark, rows_per_bucket):
+@pytest.mark.parametrize("ranges", [1, 9, 50])
+def test_auc_counts_won_pairs(spark, ranges):
     rng = random.Random(1)
     data = [(rng.randint(0, 1), rng.randint(0, 60) / 60) for _ in range(400)]
     df = spark.createDataFrame(data, f"{c.LABEL} int, {c.PROBABILITY} double")
     ones, zeros = ([s for label, s in data if label == k] for k in (1, 0))
     won = sum((a > b) + 0.5 * (a == b) for a in ones for b in zeros)
-    assert evaluate.roc_auc(df, rows_per_bucket=rows_per_bucket).first().roc_auc == pytest.approx(won / len(ones) / len(zeros))
+    assert evaluate.roc_auc(df, ranges=ranges).first().roc_auc == pytest.approx(won / len(ones) / len(zeros))
     only = df.where(f"{c.LABEL} = 1")
     assert evaluate.roc_auc(only).first().roc_auc is None
 
@@ -152,3 +152,19 @@ def test_trees_save_load_and_explain(spark, tmp_path):
     for row in tree_shapley(scored, model).collect():
         log_odds = np.log(row[c.PROBABILITY] / (1 - row[c.PROBABILITY]))
         assert row.base + sum(row.phi) == pytest.approx(log_odds, abs=1e-6)
+
+
+def test_deep_trees_are_explained_and_scores_replaced(spark):
+    frame = random_features(spark, 300).selectExpr("*", f"int(RefundRate_by_Items + AvgTicketSentimentScore > 0.6) AS {c.LABEL}")
+    model = scoring.train_gbt(frame, maxIter=2, maxDepth=12)
+    scored = scoring.score_gbt(scoring.linear_score(frame), model)
+    assert scored.columns.count(c.PROBABILITY) == 1
+    for row in tree_shapley(scored, model).collect():
+        log_odds = np.log(row[c.PROBABILITY] / (1 - row[c.PROBABILITY]))
+        assert row.base + sum(row.phi) == pytest.approx(log_odds, abs=1e-6)
+
+
+def test_a_large_background_is_refused(spark):
+    frame = scoring.linear_score(random_features(spark, 30))
+    with pytest.raises(ValueError, match="background"):
+        shapley.linear_shapley(frame, frame.crossJoin(spark.range(400).toDF("copy")))

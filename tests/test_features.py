@@ -4,6 +4,7 @@ from decimal import Decimal
 import pytest
 
 from returns_risk import build_features, constants as c, score_new
+from returns_risk.operators import rules
 from returns_risk.operators.clean import clean_retail
 from returns_risk.operators.features import account_age, retail_summary, sanitize
 
@@ -50,18 +51,18 @@ def test_customer_without_tickets_and_without_purchases(linked):
     assert list(linked[3][3:10]) == [1, 3, 0, 3.0, 0.0, 0.0, 0.0]
 
 
-@pytest.mark.parametrize("rows_per_bucket", [500_000, 2])
-def test_simulated_links_are_reproducible(spark, rows_per_bucket):
+@pytest.mark.parametrize("ranges", [1, 2, 50])
+def test_simulated_links_are_reproducible(spark, ranges):
     import hashlib
 
     features = build_features(
         lines(spark, LINES).repartition(3), spark.createDataFrame(TICKET_ROWS, TICKETS).repartition(4),
-        rows_per_bucket=rows_per_bucket,
+        ranges=ranges,
     )
     expected = {1: 0, 2: 0, 3: 0}
     for number, email, *_ in TICKET_ROWS:
         if email and number:
-            expected[[1, 2, 3][int(hashlib.md5(email.encode()).hexdigest()[:8], 16) % 3]] += 1
+            expected[[1, 2, 3][int(hashlib.md5(email.encode()).hexdigest()[:15], 16) % 3]] += 1
     assert {r[0]: r.TotalTickets for r in features.collect()} == expected
 
 
@@ -103,3 +104,23 @@ def test_sanitize(spark):
 def test_hot_customer_is_split_by_invoice(spark):
     plan = retail_summary(clean_retail(lines(spark, LINES)))._jdf.queryExecution().executedPlan().toString()
     assert "CustomerID" in plan and plan.count("Exchange hashpartitioning") == 2 and "Expand" not in plan
+
+
+@pytest.mark.parametrize("kind", ["double", "decimal(12,2)"])
+def test_a_price_that_is_no_number_flags_nobody(spark, kind):
+    rows = [("1", 5, "12/1/2010 8:26", 10.0, 1), ("C2", -1, "12/2/2010 8:26", float("nan") if kind == "double" else None, 1)]
+    retail = spark.createDataFrame(rows, "InvoiceNo string, Quantity int, InvoiceDate string, UnitPrice double, CustomerID long")
+    retail = retail.withColumn("UnitPrice", retail.UnitPrice.cast(kind))
+    tickets = spark.createDataFrame([(1, "a@x", "Refund request", "item missing", None)], "TicketID long, CustomerEmail string, TicketType string, TicketDescription string, DateOfPurchase string")
+    row = rules.abuse_label(build_features(retail, tickets)).first()
+    assert (row.TotalPurchaseValue, row.TotalRefundValue, row.RefundRate_by_Value, row.rule_b) == (50.0, 0.0, 0.0, False)
+    broken = spark.createDataFrame([(float("nan"), float("nan"))], "RefundRate_by_Items double, RefundRate_by_Value double")
+    assert broken.selectExpr(rules.CONDITIONS["items_rate"], rules.CONDITIONS["value_rate"]).first()[:] == (None, None)
+
+
+def test_large_values_do_not_overflow(spark):
+    rows = [("1", 2_000_000_000, "12/1/2010 8:26", 10_000, 1)] * 5
+    retail = spark.createDataFrame(rows, "InvoiceNo string, Quantity int, InvoiceDate string, UnitPrice long, CustomerID long")
+    retail = retail.withColumn("UnitPrice", retail.UnitPrice.cast("decimal(18,6)"))
+    tickets = spark.createDataFrame([], "TicketID long, CustomerEmail string, TicketType string, TicketDescription string, DateOfPurchase string")
+    assert build_features(retail, tickets).first().TotalPurchaseValue == 1e14

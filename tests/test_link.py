@@ -2,22 +2,22 @@ import pytest
 
 from returns_risk.operators.link import email_slot, link_tickets
 from returns_risk.operators.ranks import dense_index, totals_before
-from returns_risk.sources.store import shared_folder, spread, write_once
+from returns_risk.sources.store import remove_tables, shared_folder, write_once
 
 TICKETS = "TicketID long, CustomerEmail string, TicketType string, TicketDescription string"
 
 
-@pytest.mark.parametrize("rows_per_bucket", [10_000, 100, 7])
-def test_dense_index_is_the_sorted_position(spark, rows_per_bucket):
+@pytest.mark.parametrize("ranges", [1, 2, 50])
+def test_dense_index_is_the_sorted_position(spark, ranges):
     keys = [i * i - 500 for i in range(997)] + [2**40, 2**41]
     table = write_once(spark.createDataFrame([(k,) for k in keys], "k long").repartition(5), "keys")
-    indexed = dense_index(table, "k", "i", len(keys), rows_per_bucket)
+    indexed = dense_index(table, "k", "i", ranges)
     assert {r.k: r.i for r in indexed.collect()} == {k: i for i, k in enumerate(sorted(keys))}
 
 
 def test_totals_before_with_several_sums(spark):
     table = write_once(spark.range(500).selectExpr("id", "id % 7 AS a", "id % 3 AS b"), "sums")
-    got = {r.id: (r.x, r.y) for r in totals_before(table, "id", {"x": "a", "y": "b"}, 500, 90).collect()}
+    got = {r.id: (r.x, r.y) for r in totals_before(table, "id", {"x": "a", "y": "b"}, 6).collect()}
     assert got == {n: (sum(i % 7 for i in range(n)), sum(i % 3 for i in range(n))) for n in range(500)}
 
 
@@ -55,7 +55,7 @@ class Unset:
     """A session without a checkpoint folder."""
 
     def __init__(self, master):
-        self.settings, self.folder = {"spark.master": master, "spark.app.id": "app-1"}, None
+        self.settings, self.folder = {"spark.master": master, "spark.app.id": "app-1", "spark.sql.warehouse.dir": "file:/w"}, None
         self.conf = self.sparkContext = self
 
     def get(self, name, default=None):
@@ -74,8 +74,36 @@ def test_only_local_sessions_may_go_without_a_shared_folder():
         shared_folder(Unset("yarn"))
 
 
-def test_small_tables_are_spread(spark):
-    stored = write_once(spark.range(100).coalesce(1), "small")
-    wide = spread(stored, "id")
-    assert wide.rdd.getNumPartitions() == 4 and wide.count() == 100
-    assert spread(stored.repartition(9), "id").rdd.getNumPartitions() == 9
+def test_tables_can_be_removed(spark):
+    first = write_once(spark.range(3), "gone").inputFiles()[0]
+    remove_tables(spark)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(first)
+
+
+def test_links_without_customer_and_shares_below_the_least(spark):
+    tickets = spark.createDataFrame([(1, "a@x", None, "t"), (2, "b@x", None, "t")], TICKETS)
+    links = spark.createDataFrame([("a@x", None), ("b@x", 5), (None, 6)], "CustomerEmail string, Simulated_CustomerID long")
+    assert [(r.TicketID, r.Simulated_CustomerID) for r in link_tickets(tickets, links).collect()] == [(2, 5)]
+    left = {r.TicketID: r.Simulated_CustomerID for r in link_tickets(tickets, links, "left").collect()}
+    assert left == {1: None, 2: 5}
+    with pytest.raises(ValueError, match="hot_share"):
+        link_tickets(tickets, links, hot_share=0.0001)
+
+
+def test_null_and_hot_addresses_are_dealt_out(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        tickets = spark.range(20_000).selectExpr(
+            "id AS TicketID", "CASE WHEN id % 10 >= 8 THEN if(id % 10 = 8, 'hot@x', concat('u', id, '@x')) END AS CustomerEmail",
+            "'t' AS TicketType", "string(id) AS TicketDescription",
+        ).repartition(8)
+        links = spark.createDataFrame([("hot@x", 7)], "CustomerEmail string, Simulated_CustomerID long")
+        out = link_tickets(tickets, links, "left")
+        sizes = [r.n for r in out.selectExpr("spark_partition_id() AS p").groupBy("p").agg({"*": "count"}).toDF("p", "n").collect()]
+        assert sum(sizes) == 20_000 and max(sizes) <= 2 * 20_000 / len(sizes)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
