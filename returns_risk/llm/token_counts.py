@@ -69,7 +69,7 @@ def count_tokens(
         texts.select("digest", "text"),
         lambda digests, texts: {"digest": digests, "n_tokens": lengths(tokenizer, texts)},
         "digest binary, n_tokens bigint",
-    )
+    ).dropDuplicates(["digest"])  # repeated rows with one id and one text
     counted.select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache)
 
     stored = spark.read.schema(CACHE).parquet(cache).where(F.col("version") == version)
