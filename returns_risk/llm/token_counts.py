@@ -18,6 +18,9 @@ from returns_risk.llm.common import documents, per_batch, row_id
 from returns_risk.sources.store import new_path, write_once
 
 LIMIT = 4096
+#: Keys that are sent to every executor (about 100 bytes each). Texts move only if there are more of both kinds: of
+#: those to encode, and of those to leave out.
+MOST_SENT = 500_000
 CACHE = "version string, digest binary, n_tokens bigint"
 _loaded: dict[str, object] = {}
 
@@ -64,7 +67,14 @@ def count_tokens(
     known = spark.read.schema(CACHE).parquet(cache).where(F.col("version") == version).select("digest")
     misses = thin.groupBy("digest").agg(F.min("rid").alias("rid")).join(known, "digest", "left_anti")
     misses = write_once(misses, "token-misses")
-    texts = rows.select("rid", "digest", "text").join(misses.hint("shuffle_hash"), ["rid", "digest"])
+    others = write_once(thin.select("rid", "digest").distinct().join(misses, ["rid", "digest"], "left_anti"), "token-others")
+    texts = rows.select("rid", "digest", "text")
+    if others.limit(MOST_SENT + 1).count() <= MOST_SENT:
+        texts = texts.join(F.broadcast(others), ["rid", "digest"], "left_anti")
+    elif misses.limit(MOST_SENT + 1).count() <= MOST_SENT:
+        texts = texts.join(F.broadcast(misses), ["rid", "digest"], "left_semi")
+    else:
+        texts = texts.join(misses.hint("shuffle_hash"), ["rid", "digest"])
     counted = per_batch(
         texts.select("digest", "text"),
         lambda digests, texts: {"digest": digests, "n_tokens": lengths(tokenizer, texts)},
