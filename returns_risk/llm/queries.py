@@ -5,6 +5,7 @@ from __future__ import annotations
 from returns_risk.llm import (
     decontaminate, licenses, lm_scoring, mixing, near_dedup, personal_data, quality, secrets, token_counts, warc,
 )
+from returns_risk.llm.oracle import ORACLE_SQL
 
 QUERIES = {
     "op1_secret_scans": secrets.op1_secret_scans,
@@ -18,5 +19,3 @@ QUERIES = {
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_pii": personal_data.op10_pii,
 }
-
-ORACLE_SQL: dict[str, str] = {}

@@ -247,6 +247,6 @@ def read_warc(manifest: DataFrame, folder: str) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
-    """All of ``pages``, written into the shared folder and read back."""
+    """All of ``pages``, written into the shared folder and read back; without the files' names."""
     out = new_path(spark, "warc")
-    return read_warc(write_warc(table(spark, folder, "pages"), out), out)
+    return read_warc(write_warc(table(spark, folder, "pages"), out), out).drop("file")
