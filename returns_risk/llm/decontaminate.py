@@ -17,40 +17,33 @@ from returns_risk.sources.store import write_once
 
 MASKS = ("111101111", "1110111011", "11011011011")
 WINDOW, EQUAL = 12, 10
-#: A benchmark of at most so many seeds is sent to every executor (about 60 bytes each); a larger one is joined by shuffle.
+#: At most so many rows of two or three numbers (about 60 bytes each) are sent to every executor, more are joined by
+#: shuffle: the seeds of the benchmark, and the keys of the texts that hold any.
 MOST_SENT = 2_000_000
 
 HASHED = r"transform(filter(split(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), w -> w <> ''), w -> xxhash64(w))"
 
 
-def seeds(words: str = "words") -> str:
-    """SQL: the seed hashes of a text, those of each mask in order of place, one mask after the other.
-
-    Neighbouring words are hashed in pairs first, which halves what a seed has to look up.
-    """
+def seeds() -> str:
+    """SQL: array of the seed hashes that begin at word ``at`` of ``words``, one for each mask; null where one runs over
+    the end."""
     parts = []
     for k, mask in enumerate(MASKS):
-        taken, at = [], 0
-        while at < len(mask):
-            two = mask[at : at + 2] == "11"
-            if mask[at] == "1":
-                taken.append(f"{'pairs' if two else words}[i + {at}]")
-            at += 2 if two else 1
-        places = f"sequence(0, size({words}) - {len(mask)})"
-        empty = "cast(array() AS array<bigint>)"
-        made = f"transform({places}, i -> xxhash64({k}, {', '.join(taken)}))"
-        parts.append(f"CASE WHEN size({words}) >= {len(mask)} THEN {made} ELSE {empty} END")
-    pairs = f"transform({words}, (w, i) -> xxhash64(w, get({words}, i + 1)))"
-    return f"transform(array({pairs}), pairs -> concat({', '.join(parts)}))[0]"
-
-
-def place(at: str, n: str) -> str:
-    """SQL: the first word of the seed at index ``at`` in the seeds of ``n`` words."""
-    counts = [f"greatest({n} - {len(mask) - 1}, 0)" for mask in MASKS]
-    return (
-        f"CASE WHEN {at} < {counts[0]} THEN {at} WHEN {at} < {counts[0]} + {counts[1]} THEN {at} - {counts[0]}"
-        f" ELSE {at} - {counts[0]} - {counts[1]} END"
-    )
+        taken = ", ".join(f"words[at + {j}]" for j, on in enumerate(mask) if on == "1")
+        parts.append(f"CASE WHEN at + {len(mask)} <= size(words) THEN xxhash64({k}, {taken}) END")
+    return f"array({', '.join(parts)})"
+
+
+def seeded(rows: DataFrame, *columns: str) -> DataFrame:
+    """``columns``, at and seed of every seed of ``rows``, which have ``words``.
+
+    Places are expanded before their seeds are hashed, so both run in one compiled loop. The outer form keeps Spark from
+    testing the expanded array beforehand, which would make it twice.
+    """
+    least = min(map(len, MASKS))
+    places = f"CASE WHEN size(words) >= {least} THEN sequence(0, size(words) - {least}) END"
+    placed = rows.selectExpr(*columns, "words", f"explode_outer({places}) AS at")
+    return placed.selectExpr(*columns, "at", f"explode({seeds()}) AS seed").where("seed IS NOT NULL")
 
 
 def _confirmed() -> str:
@@ -62,6 +55,11 @@ def _confirmed() -> str:
     return f"{best} * {WINDOW} >= {EQUAL} * {width}"
 
 
+def _sent(rows: DataFrame) -> DataFrame:
+    """``rows``, sent to every executor if they are few, else joined by shuffle."""
+    return F.broadcast(rows) if rows.limit(MOST_SENT + 1).count() <= MOST_SENT else rows
+
+
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
     item_text_col: str = "text",
@@ -72,22 +70,19 @@ def contaminated(
     Equal benchmark texts are compared once and all reported; items without an id count with the others, but only ids
     are listed.
     """
-    texts = docs.selectExpr(
-        f"{row_id(id_col, text_col)} AS rid", f"xxhash64({text_col}) AS own", f"{HASHED.format(text_col)} AS words"
-    )
+    texts = docs.selectExpr(f"{row_id(id_col, text_col)} AS rid", f"xxhash64({text_col}) AS own", f"{text_col} AS text")
     items = benchmark.selectExpr(f"{item_col} AS item", f"{HASHED.format(item_text_col)} AS words")
     items = items.where("size(words) > 0").groupBy("words").agg(F.array_sort(F.collect_set("item")).alias("ids"))
     items = write_once(items.selectExpr("xxhash64(words) AS item", "ids", "words"), "leak-items")
-    known = items.selectExpr("item", "size(words) AS n", f"posexplode({seeds()}) AS (at, seed)")
-    known = known.selectExpr("seed", f"struct(item, {place('at', 'n')} AS at) AS found").distinct()
-    known = write_once(known.groupBy("seed").agg(F.collect_list("found").alias("found")), "leak-seeds")
-    if known.limit(MOST_SENT + 1).count() <= MOST_SENT:
-        known = F.broadcast(known)
-
-    placed = texts.selectExpr("rid", "own", "size(words) AS n", f"posexplode({seeds()}) AS (at, seed)")
-    hits = placed.join(known, "seed").selectExpr("rid", "own", f"{place('at', 'n')} AS at", "explode(found) AS f")
-    hits = hits.selectExpr("rid", "own", "f.item AS item", "at - f.at AS shift").distinct()
-    hits = write_once(hits, "leak-hits").join(items, "item")
+    known = seeded(items, "item").selectExpr("seed", "item", "at AS item_at").distinct()
+    known = write_once(known, "leak-seeds")
+
+    hits = seeded(texts.selectExpr("rid", "own", f"{HASHED.format('text')} AS words"), "rid", "own")
+    hits = hits.join(_sent(known), "seed").selectExpr("rid", "own", "item", "at - item_at AS shift").distinct()
+    hits = write_once(hits, "leak-hits")
+    texts = texts.join(_sent(hits.select("rid", "own").distinct()), ["rid", "own"], "left_semi")
+    texts = texts.selectExpr("rid", "own", f"{HASHED.format('text')} AS words")
+    hits = hits.join(items, "item")
     hits = hits.groupBy("rid", "own").agg(F.collect_list(F.struct("ids", "words", "shift")).alias("hits"))
 
     checked = texts.join(hits.hint("shuffle_hash"), ["rid", "own"])
