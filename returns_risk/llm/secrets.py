@@ -197,9 +197,9 @@ def made_findings(contexts: list[str], rng: np.random.Generator, n: int) -> list
 
 
 def sample_findings(docs: DataFrame, bound: int = SAMPLE) -> list[tuple[str, int, int, str]]:
-    """Findings (cut-out, start, end, format) in the ``bound`` documents with the smallest hashes."""
-    hashed = docs.selectExpr("rid", "text", "xxhash64(rid, 17) AS h")
-    last = hashed.select("h").orderBy("h").limit(bound).agg(F.max("h")).first()[0]
+    """Findings (cut-out, start, end, format) in the ``bound`` documents with the smallest hashes; equal rows are one."""
+    hashed = docs.selectExpr("rid", "text", "xxhash64(rid, text, 17) AS h")
+    last = hashed.select("h").distinct().orderBy("h").limit(bound).agg(F.max("h")).first()[0]
     if last is None:
         return []
 
@@ -215,7 +215,7 @@ def sample_findings(docs: DataFrame, bound: int = SAMPLE) -> list[tuple[str, int
                     out[key].append(value)
         return out
 
-    rows = per_batch(hashed.where(F.col("h") <= last).select("rid", "text"), find, "cut string, start int, `end` int, format string")
+    rows = per_batch(hashed.where(F.col("h") <= last).select("rid", "text").distinct(), find, "cut string, start int, `end` int, format string")
     return sorted(tuple(r) for r in rows.collect())  # a few findings for each of ``bound`` documents
 
 

@@ -131,6 +131,13 @@ def test_secret_network_on_held_out_findings(spark, docs):
     assert (scores[label] >= network.threshold).mean() > 0.9 and (scores[~label] >= network.threshold).mean() < 0.1
 
 
+def test_sample_of_findings_is_bounded_among_equal_rows(spark):
+    many = spark.range(600).selectExpr("if(id % 3 = 0, id, -1L) AS rid", "if(id % 3 = 0, concat('key ', sha1(string(id))), 'same') AS text")
+    found = secrets.sample_findings(many, bound=50)
+    assert sum(name == "-context" for *_, name in found) == 50
+    assert found == secrets.sample_findings(many.repartition(7), bound=50)
+
+
 def test_personal_data_by_brute_force(spark, docs, none):
     def luhn(d):
         return sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(reversed(d))) % 10 == 0
