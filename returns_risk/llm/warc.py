@@ -2,9 +2,10 @@
 
 Pages are dealt into shards by ranges of (page id, hash) and sorted. Range limits come from the ``SAMPLE`` pages with
 the smallest hashes, so they don't depend on how the input is partitioned, and files come out byte for byte the same on
-a rerun. A task writes one file after the other under temporary names and begins a new one when the compressed size
-reaches ``file_bytes``. A second job renames the files that the first one reported; what it reports is the manifest.
-Files of lost or repeated tasks are in no manifest, and are deleted at the end. Readers open what the manifest names.
+a rerun. Each shard is a task, which writes one file after the other under temporary names and begins a new one when
+the compressed size reaches ``file_bytes``. A second job renames the files that the first one reported; what it reports
+is the manifest. Files of lost or repeated tasks are in no manifest, and are deleted at the end. Readers open what the
+manifest names.
 
 The first of equal payloads (smallest page id) is a response, the others are revisits. The decision is made on digests
 alone, with the digest of a hot payload reduced before the shuffle; it travels to the writer as a row that sorts just
@@ -32,6 +33,8 @@ from returns_risk.llm.common import LANES, table
 from returns_risk.sources.store import new_path, write_once
 
 SHARD_BYTES, FILE_BYTES, MOST_SHARDS, SAMPLE = 16 << 20, 4 << 20, 16384, 65536
+#: Files that a reading task opens, on average.
+READ_FILES = 4
 DATE = "2024-01-01T00:00:00Z"
 MANIFEST = "name string, temporary string, bytes bigint, records bigint, sha256 string"
 FIELDS = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, file string"
@@ -114,8 +117,8 @@ class _Roll:
             }
 
 
-def _with_shards(pages: DataFrame, shard_bytes: int) -> DataFrame:
-    """Adds ``a``, ``b`` (sort key: id, hash) and ``shard`` to pages (page_id, url, html, n)."""
+def _with_shards(pages: DataFrame, shard_bytes: int) -> tuple[DataFrame, int]:
+    """Adds ``a``, ``b`` (sort key: id, hash) and ``shard`` to pages (page_id, url, html, n); the number of shards."""
     rows = pages.selectExpr("*", f"coalesce(page_id, {_NULL_ID}) AS a", "xxhash64(page_id, url, html) AS b")
     total = rows.agg(F.sum("n")).first()[0] or 0
     shards = max(1, min(MOST_SHARDS, -(-total // shard_bytes)))
@@ -131,7 +134,7 @@ def _with_shards(pages: DataFrame, shard_bytes: int) -> DataFrame:
         keys["a"], keys["b"] = a, b
         return pd.Series(np.searchsorted(limits, keys, side="right").astype("int32"))
 
-    return rows.withColumn("shard", shard_of("a", "b"))
+    return rows.withColumn("shard", shard_of("a", "b")), len(limits) + 1
 
 
 def write_warc(
@@ -154,14 +157,13 @@ def write_warc(
     revisits = thin.selectExpr("*", f"cast(pmod(b, {LANES}) AS int) AS lane").join(several, ["same", "lane"])
     revisits = revisits.where("NOT page_id <=> first").select("a", "b", "first").distinct()
 
-    rows = _with_shards(pages, shard_bytes)
+    rows, shards = _with_shards(pages, shard_bytes)
     shard_of = rows.select("a", "b", "shard").distinct()
     notes = revisits.join(shard_of, ["a", "b"]).selectExpr(
         "shard", "a", "b", "0 AS is_page", "first", "cast(NULL AS string) AS url", "cast(NULL AS string) AS html"
     )
     rows = rows.selectExpr("shard", "a", "b", "1 AS is_page", "cast(NULL AS bigint) AS first", "url", "html")
-    tasks = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.unionByName(notes).repartition(tasks, "shard").sortWithinPartitions("shard", "a", "b", "is_page", "url")
+    rows = rows.unionByName(notes).repartitionById(shards, "shard").sortWithinPartitions("a", "b", "is_page", "url")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roll, noted, done = _Roll(folder, file_bytes), None, []
@@ -242,7 +244,7 @@ def read_warc(manifest: DataFrame, folder: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(1, manifest.count() // READ_FILES)
     return manifest.select("name").repartition(tasks, "name").mapInArrow(read, FIELDS)
 
 
