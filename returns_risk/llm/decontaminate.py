@@ -3,8 +3,10 @@
 Words are runs of letters and digits, in lower case. A seed is eight words of a window; a mask says which, and the words
 between them are free to differ. The hashes of all seeds of the benchmark are joined with those of all texts. Each hit
 lays a benchmark item over a text; the overlap is confirmed if in some ``WINDOW`` neighbouring words of the item at
-least ``EQUAL`` are the same as in the text at that place. Copies with every third, fourth or fifth word exchanged hold
-a whole seed of one of the masks.
+least ``EQUAL`` are the same as in the text at that place, or in some longer window a smaller share (``LONGER``). Copies
+with every third, fourth or fifth word exchanged hold a whole seed of one of the masks; they are confirmed where 24, 16
+and 12 of their words lie in a row, and those of a whole item of 16 words or more in any case. A seed alone, 8 equal words,
+is enough only for an item of nine.
 """
 
 from __future__ import annotations
@@ -17,6 +19,9 @@ from returns_risk.sources.store import write_once
 
 MASKS = ("111101111", "1110111011", "11011011011")
 WINDOW, EQUAL = 12, 10
+#: Longer windows, and one in how many of their words may differ. Items shorter than a window but not than ``WHOLE`` are
+#: one window as a whole.
+LONGER, WHOLE = ((16, 4), (24, 3)), 16
 #: At most so many rows of two or three numbers (about 60 bytes each) are sent to every executor, more are joined by
 #: shuffle: the seeds of the benchmark, and the keys of the texts that hold any.
 MOST_SENT = 2_000_000
@@ -46,13 +51,20 @@ def seeded(rows: DataFrame, *columns: str) -> DataFrame:
     return placed.selectExpr(*columns, "at", f"explode({seeds()}) AS seed").where("seed IS NOT NULL")
 
 
-def _confirmed() -> str:
-    """SQL: the most equal words in a window of the overlap, as a share of what is asked for; ``words`` and ``hit``."""
-    equal = "transform(hit.words, (w, j) -> CASE WHEN hit.shift + j >= 0 AND hit.shift + j < size(words) AND words[hit.shift + j] = w THEN 1 ELSE 0 END)"
-    width = f"least({WINDOW}, size(hit.words))"
-    sums = f"transform(sequence(0, size(e) - {width}), i -> aggregate(slice(e, i + 1, {width}), 0, (s, v) -> s + v))"
-    best = f"transform(array({equal}), e -> array_max({sums}))[0]"
-    return f"{best} * {WINDOW} >= {EQUAL} * {width}"
+def _confirmed(words: str, held: str) -> str:
+    """SQL: some window of the overlap holds enough equal words; ``words`` of the item, ``held`` by the text there."""
+
+    def most(width: str) -> str:
+        sums = f"transform(sequence(0, size(e) - {width}), i -> aggregate(slice(e, i + 1, {width}), 0, (s, v) -> s + v))"
+        return f"array_max({sums})"
+
+    width = f"least({WINDOW}, size(e))"
+    enough = [f"{most(width)} * {WINDOW} >= {EQUAL} * {width}"]
+    for long, one_in in LONGER:
+        width = f"least({long}, size(e))"
+        enough.append(f"size(e) >= {WHOLE} AND {most(width)} >= {width} - ceil({width} / {one_in})")
+    equal = f"zip_with({words}, {held}, (w, h) -> CASE WHEN w = h THEN 1 ELSE 0 END)"
+    return f"transform(array({equal}), e -> {' OR '.join(f'({x})' for x in enough)})[0]"
 
 
 def _sent(rows: DataFrame) -> DataFrame:
@@ -86,7 +98,8 @@ def contaminated(
     hits = hits.groupBy("rid", "own").agg(F.collect_list(F.struct("ids", "words", "shift")).alias("hits"))
 
     checked = texts.join(hits.hint("shuffle_hash"), ["rid", "own"])
-    checked = checked.selectExpr("rid", "own", f"filter(hits, hit -> {_confirmed()}) AS hits").where("size(hits) > 0")
+    held = "transform(hit.words, (w, j) -> get(words, hit.shift + j))"
+    checked = checked.selectExpr("rid", "own", f"filter(hits, hit -> {_confirmed('hit.words', held)}) AS hits").where("size(hits) > 0")
     items = "array_sort(array_distinct(flatten(transform(hits, h -> h.ids)))) AS items"
     return checked.selectExpr("rid", "own", items).dropDuplicates(["rid", "own"])
 

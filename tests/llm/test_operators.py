@@ -214,6 +214,28 @@ def test_decontamination_by_brute_force(spark, docs, none):
     assert decontaminate.decontaminated(docs, bench.limit(0)).count() == len(rows())
 
 
+def test_decontamination_finds_regular_substitutions(spark):
+    rng, cases, items = random.Random(31), [], []
+    for every, length in ((3, 24), (4, 16), (5, 14), (3, 60), (4, 60), (5, 60)):
+        for first in range(every):  # a passage inside a longer item
+            words = prose(rng, length).split()
+            items.append(f"{prose(rng, 15)} {' '.join(words)} {prose(rng, 15)}")
+            words[first::every] = ["other"] * len(words[first::every])
+            cases.append(f"{prose(rng, 12)} {' '.join(words)} {prose(rng, 12)}")
+    for length in (16, 18, 22):  # a whole item
+        words = prose(rng, length).split()
+        items.append(" ".join(words))
+        words[2::3] = ["other"] * len(words[2::3])
+        cases.append(f"{prose(rng, 12)} {' '.join(words)} {prose(rng, 12)}")
+    words = prose(rng, 40).split()  # a seed and nothing else
+    items.append(" ".join(words))
+    cases.append(" ".join([prose(rng, 12), *(w if c == "1" else "other" for w, c in zip(words[9:], "11011011011", strict=False)), prose(rng, 12)]))
+    docs = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = {r.rid: list(r["items"]) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert found == {k: [k] for k in range(len(cases) - 1)}
+
+
 def test_mix(spark, docs, none):
     out = mixing.mix(docs, block=16, shards=4)
     again = mixing.mix(docs.repartition(5), block=16, shards=4)
