@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from returns_risk.llm.common import documents, row_id, table
+from returns_risk.llm.common import LANES, documents, row_id, table
 from returns_risk.sources.store import write_once
 
 MASKS = ("111101111", "1110111011", "11011011011")
@@ -72,43 +72,58 @@ def _sent(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.limit(MOST_SENT + 1).count() <= MOST_SENT else rows
 
 
-def contaminated(
+def overlaps(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
     item_text_col: str = "text",
-) -> DataFrame:
-    """Documents with confirmed overlaps: rid, own (a hash of the text), items (sorted ids of benchmark rows).
+) -> tuple[DataFrame, DataFrame]:
+    """Confirmed pairs: rid, own (a hash of the document's text), item (a hash of the benchmark text's words); and the
+    members of each such class of equal benchmark texts: item, id.
 
-    Rows without a text and items of fewer than nine words have no seeds and match nothing. Equal rows give one result.
-    Equal benchmark texts are compared once and all reported; items without an id count with the others, but only ids
-    are listed.
+    Each document, item and shift is a row of its own, with the words of that item and as many of the text, so no row
+    grows with the number of items that share a passage. Rows without a text and items of fewer than nine words have no
+    seeds and match nothing. Equal rows give one result. Items without an id are compared, but aren't members.
     """
     texts = docs.selectExpr(f"{row_id(id_col, text_col)} AS rid", f"xxhash64({text_col}) AS own", f"{text_col} AS text")
-    items = benchmark.selectExpr(f"{item_col} AS item", f"{HASHED.format(item_text_col)} AS words")
-    items = items.where("size(words) > 0").groupBy("words").agg(F.array_sort(F.collect_set("item")).alias("ids"))
-    items = write_once(items.selectExpr("xxhash64(words) AS item", "ids", "words"), "leak-items")
-    known = seeded(items, "item").selectExpr("seed", "item", "at AS item_at").distinct()
+    items = benchmark.selectExpr(f"{item_col} AS id", f"{HASHED.format(item_text_col)} AS words")
+    items = write_once(items.where("size(words) > 0").selectExpr("xxhash64(words) AS item", "id", "words"), "leak-all")
+    members = items.where("id IS NOT NULL").select("item", "id").distinct()
+    items = write_once(items.select("item", "words").dropDuplicates(["item"]), "leak-items")
+    known = seeded(items.withColumn("n", F.size("words")), "item", "n").selectExpr("seed", "item", "n", "at AS item_at").distinct()
     known = write_once(known, "leak-seeds")
 
     hits = seeded(texts.selectExpr("rid", "own", f"{HASHED.format('text')} AS words"), "rid", "own")
-    hits = hits.join(_sent(known), "seed").selectExpr("rid", "own", "item", "at - item_at AS shift").distinct()
+    hits = hits.join(_sent(known), "seed").selectExpr("rid", "own", "item", "n", "at - item_at AS shift").distinct()
     hits = write_once(hits, "leak-hits")
     texts = texts.join(_sent(hits.select("rid", "own").distinct()), ["rid", "own"], "left_semi")
-    texts = texts.selectExpr("rid", "own", f"{HASHED.format('text')} AS words")
-    hits = hits.join(items, "item")
-    hits = hits.groupBy("rid", "own").agg(F.collect_list(F.struct("ids", "words", "shift")).alias("hits"))
+    texts = texts.dropDuplicates(["rid", "own"]).selectExpr("rid", "own", f"{HASHED.format('text')} AS words")
+    held = "transform(sequence(shift, shift + n - 1), p -> get(words, p)) AS held"
+    laid = hits.join(texts.hint("shuffle_hash"), ["rid", "own"]).selectExpr("rid", "own", "item", held)
+    # an item that many texts hold is dealt out
+    laid = laid.withColumn("lane", F.expr(f"cast(pmod(xxhash64(rid, own), {LANES}) AS int)"))
+    items = items.selectExpr("item", "words", f"explode(sequence(0, {LANES - 1})) AS lane")
+    pairs = laid.join(items, ["item", "lane"]).where(_confirmed("words", "held"))
+    return pairs.select("rid", "own", "item").distinct(), members
 
-    checked = texts.join(hits.hint("shuffle_hash"), ["rid", "own"])
-    held = "transform(hit.words, (w, j) -> get(words, hit.shift + j))"
-    checked = checked.selectExpr("rid", "own", f"filter(hits, hit -> {_confirmed('hit.words', held)}) AS hits").where("size(hits) > 0")
-    items = "array_sort(array_distinct(flatten(transform(hits, h -> h.ids)))) AS items"
-    return checked.selectExpr("rid", "own", items).dropDuplicates(["rid", "own"])
+
+def contaminated(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
+    item_text_col: str = "text",
+) -> DataFrame:
+    """Documents with confirmed overlaps: rid, own (a hash of the text), items (sorted ids of benchmark rows).
+
+    As ``overlaps``. Equal benchmark texts are compared once and all reported; items without an id count with the
+    others, but only ids are listed.
+    """
+    pairs, members = overlaps(docs, benchmark, id_col, text_col, item_col, item_text_col)
+    listed = write_once(pairs, "leak-pairs").join(members, "item", "left").groupBy("rid", "own")
+    return listed.agg(F.array_sort(F.collect_set("id")).alias("items"))
 
 
 def decontaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """The rows of ``docs`` without a confirmed overlap, with all their columns."""
-    found = write_once(contaminated(docs, benchmark, id_col, text_col).select("rid", "own"), "leak-found")
+    found = write_once(overlaps(docs, benchmark, id_col, text_col)[0].select("rid", "own").distinct(), "leak-found")
     key = "_".join(["rid", *docs.columns])  # longer than any column's name, so it is free
     found = found.withColumn(key, F.struct("rid", F.coalesce("own", F.lit(0)).alias("own"))).select(key)
     own = F.expr(f"struct({row_id(f'`{id_col}`', f'`{text_col}`')} AS rid, xxhash64(`{text_col}`) AS own)")

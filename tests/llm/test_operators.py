@@ -236,6 +236,22 @@ def test_decontamination_finds_regular_substitutions(spark):
     assert found == {k: [k] for k in range(len(cases) - 1)}
 
 
+def test_decontamination_with_a_shared_passage(spark):
+    rng = random.Random(77)
+    shared = prose(rng, 20)
+    items = [(k, f"{shared} {prose(rng, 12)}") for k in range(300)] + [(300, prose(rng, 30))]
+    items += [(301, items[0][1]), (None, items[1][1])]
+    cases = [(k, f"{prose(rng, 5)} {shared} {prose(rng, 5)} {shared}" if k % 2 else prose(rng, 40)) for k in range(20)]
+    docs = spark.createDataFrame([*cases, cases[1]], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    pairs, members = decontaminate.overlaps(docs, bench)
+    assert pairs.count() == 10 * 300 and members.count() == 302
+    assert all(f.dataType.typeName() != "array" for df in (pairs, members) for f in df.schema)  # nothing grows in a row
+    found = {r.rid: list(r["items"]) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert found == {k: [*range(300), 301] for k in range(1, 20, 2)}
+    assert sorted(r.doc_id for r in decontaminate.decontaminated(docs, bench).collect()) == list(range(0, 20, 2))
+
+
 def test_mix(spark, docs, none):
     out = mixing.mix(docs, block=16, shards=4)
     again = mixing.mix(docs.repartition(5), block=16, shards=4)
