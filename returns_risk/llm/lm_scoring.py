@@ -6,8 +6,8 @@ classes by hash. The network gives the probability of the class: tables of vecto
 through tanh, a softmax over the classes. Inside a shared class every distinct word of the corpus, and one for all
 unseen, is equally likely. Word counts come from all documents.
 
-Training reads one window in ``EVERY`` from each document, chosen by a hash of place and document; the windows are
-written once as packed rows. Every round, each task starts from the present weights and trains on its part in small
+Training reads the windows of all words of all documents. The words' classes are written once, two bytes each, in pieces
+of ``PIECE`` words; windows are cut from them when a piece is read. Every round, each task starts from the present weights and trains on its part in small
 batches; the weights are averaged, weighed by windows, in a tree of ``LANES`` streams, so the driver gets no more than
 ``LANES`` sets however many tasks there are.
 """
@@ -23,12 +23,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from returns_risk.llm.common import WORDS, documents, per_batch, row_id
-from returns_risk.llm.hashing import mixed
 from returns_risk.sources.store import write_once
 
 OWN, SHARED, HIDDEN, SIDE = 192, 64, 32, 2
 CLASSES, NONE = OWN + SHARED, OWN + SHARED
-EVERY, ROUNDS, BATCH, RATE, SEED, LANES = 32, 3, 256, 0.004, 5, 16
+PIECE, ROUNDS, BATCH, RATE, SEED, LANES = 1 << 16, 3, 256, 0.004, 5, 16
 SHAPES = ((2 * SIDE, CLASSES + 1, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,))
 _known: dict[bytes, int] = {}
 _known_of: list = [None]
@@ -66,6 +65,23 @@ def windows(found: np.ndarray) -> np.ndarray:
     return np.stack([found, *near], axis=1)
 
 
+def pieces(line: np.ndarray) -> dict:
+    """Classes of documents in a row, with ``SIDE`` times ``NONE`` before, between and after them, as packed pieces; each
+    has the ``SIDE`` neighbours of its first and last place. ``n``: its words."""
+    out = {"classes": [], "n": []}
+    for start in range(SIDE, len(line) - SIDE, PIECE):
+        stop = min(start + PIECE, len(line) - SIDE)
+        out["classes"].append(line[start - SIDE : stop + SIDE].astype(np.uint16).tobytes())
+        out["n"].append(int((line[start:stop] != NONE).sum()))
+    return out
+
+
+def piece_windows(raw: bytes) -> np.ndarray:
+    """The windows of all words of a packed piece."""
+    line = np.frombuffer(raw, dtype=np.uint16).astype(np.int64)
+    return (rows := windows(line)[SIDE:-SIDE])[rows[:, 0] != NONE]
+
+
 def hidden_layer(weights: list[np.ndarray], near: np.ndarray) -> np.ndarray:
     total = weights[1] + weights[0][0][near[:, 0]]
     for k in range(1, 2 * SIDE):
@@ -102,7 +118,10 @@ def train(weights: list[np.ndarray], rows: np.ndarray, rate: float) -> None:
         back = (error @ weights[2].T) * (1 - hidden * hidden)
         table = np.zeros_like(weights[0])
         for k in range(2 * SIDE):
-            np.add.at(table[k], part[:, 1 + k], back)
+            order = np.argsort(part[:, 1 + k], kind="stable")
+            near = part[order, 1 + k]
+            starts = np.flatnonzero(np.diff(near, prepend=-1))
+            table[k][near[starts]] = np.add.reduceat(back[order], starts, axis=0)
         for w, g, m, v in zip(weights, (table, back.sum(0), hidden.T @ error, error.sum(0)), first, second, strict=True):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
@@ -122,16 +141,13 @@ def fitted(docs: DataFrame, own: list[str], rounds: int = ROUNDS) -> list[np.nda
     """The network's weights after training on windows of all documents (rid, text)."""
     numbers = {word.encode(): k for k, word in enumerate(own)}
 
-    def draw(rids: list, texts: list) -> dict:
-        taken = []
-        for rid, text in zip(rids, texts, strict=True):
-            found = classes((text or "").encode().split(), numbers)
-            places = np.arange(len(found), dtype=np.uint64) + mixed(np.array([rid], dtype=np.int64).view(np.uint64))
-            taken.append(windows(found)[mixed(places) % np.uint64(EVERY) == 0])
-        taken = np.concatenate(taken) if taken else np.empty((0, 1 + 2 * SIDE))
-        return {"windows": [taken.astype(np.uint16).tobytes()], "n": [len(taken)]}
+    def draw(texts: list) -> dict:
+        line = [np.full(SIDE, NONE)]
+        for text in texts:
+            line += [classes((text or "").encode().split(), numbers), line[0]]
+        return pieces(np.concatenate(line))
 
-    drawn = write_once(per_batch(docs.select("rid", "text"), draw, "windows binary, n bigint").where("n > 0"), "lm-windows")
+    drawn = write_once(per_batch(docs.select("text"), draw, "classes binary, n bigint").where("n > 0"), "lm-classes")
     rng = np.random.default_rng(SEED)
     weights = [rng.normal(0, 0.1, shape).astype(np.float32) for shape in SHAPES]
     weights[1][:], weights[3][:] = 0, 0
@@ -150,8 +166,8 @@ def fitted(docs: DataFrame, own: list[str], rounds: int = ROUNDS) -> list[np.nda
         def local(batches: Iterator[pa.RecordBatch], start=start, rate=rate) -> Iterator[pa.RecordBatch]:
             own_weights, total, lane = _unpacked(start), 0, 0
             for batch in batches:
-                for raw in batch["windows"].to_pylist():
-                    rows = np.frombuffer(raw, dtype=np.uint16).reshape(-1, 1 + 2 * SIDE).astype(np.int64)
+                for raw in batch["classes"].to_pylist():
+                    rows = piece_windows(raw)
                     train(own_weights, rows, rate)
                     total += len(rows)
                     lane = int(xxhash.xxh32_intdigest(raw[:64])) % LANES

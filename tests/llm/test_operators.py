@@ -327,6 +327,20 @@ def test_language_model_scores(spark, docs, none):
     assert lm_scoring.lm_scores(none, rounds=1).count() == 0
 
 
+def test_language_model_trains_on_all_windows(spark, docs, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "PIECE", 50)
+    rng = np.random.default_rng(3)
+    found = [rng.integers(0, lm_scoring.CLASSES, n) for n in (1, 2, 0, 7, 260, 50)]
+    none = np.full(lm_scoring.SIDE, lm_scoring.NONE)
+    drawn = lm_scoring.pieces(np.concatenate([none, *(part for f in found for part in (f, none))]))
+    every = np.concatenate([lm_scoring.windows(f) for f in found])
+    assert np.array_equal(np.concatenate([lm_scoring.piece_windows(raw) for raw in drawn["classes"]]), every)
+    assert sum(drawn["n"]) == len(every) == sum(map(len, found))
+    weights = lm_scoring.fitted(spark.createDataFrame([(k, "left middle right") for k in range(4000)], "rid long, text string"), ["left", "middle", "right"])
+    three = lm_scoring.windows(np.arange(3))  # texts of three words train as well
+    assert lm_scoring.log_probabilities(weights, three).min() > 0.1 - np.log(lm_scoring.CLASSES)
+
+
 def test_licenses(spark, docs, none):
     wrapped = "\n".join([
         "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:", "",
