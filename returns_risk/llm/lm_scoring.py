@@ -1,10 +1,14 @@
 """Masked pseudo-likelihood scores.
 
 Each word of a text is hidden in turn and predicted from the two words on either side; the conditional log-probabilities
-add up to the text's score. Words are in classes: the most frequent have one of their own, the others share ``SHARED``
-classes by hash. The network gives the probability of the class: tables of vectors for the four neighbours, their sum
-through tanh, a softmax over the classes. Inside a shared class every distinct word of the corpus, and one for all
-unseen, is equally likely. Word counts come from all documents.
+add up to the text's score. Words are in classes: the most frequent have one of their own, as many as the square root
+of the number of distinct words (``OWN`` at least, ``MOST_OWN`` at most); the others share ``SHARED`` classes by hash.
+The network gives the probability of the class: tables of vectors for the four neighbours, their sum through tanh, a
+softmax over the classes. Inside a shared class a word's probability is its count and one, as a share of those of the
+class; one more stands for all unseen. Word counts come from all documents.
+
+The counts inside shared classes meet the words in joins: at most ``MOST_SENT`` frequent words are sent to every
+executor, so that the others, none of them frequent, are all that is shuffled.
 
 Training reads the windows of all words of all documents. The words' classes are written once, two bytes each, in pieces
 of ``PIECE`` words; windows are cut from them when a piece is read. Every round, each task starts from the present weights and trains on its part in small
@@ -14,6 +18,7 @@ batches; the weights are averaged, weighed by windows, in a tree of ``LANES`` st
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,19 +33,51 @@ from returns_risk.sources.store import write_once
 OWN, SHARED, HIDDEN, SIDE = 192, 64, 32, 2
 CLASSES, NONE = OWN + SHARED, OWN + SHARED
 PIECE, ROUNDS, BATCH, RATE, SEED, LANES = 1 << 16, 3, 256, 0.004, 5, 16
-SHAPES = ((2 * SIDE, CLASSES + 1, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,))
+MOST_OWN, MOST_SENT = 4096, 250_000
 _known: dict[bytes, int] = {}
 _known_of: list = [None]
 
 
-def vocabulary(docs: DataFrame) -> tuple[list[str], list[int]]:
-    """The most frequent words (ties by word), and the number of distinct other words in each shared class."""
+def shapes(n_own: int) -> tuple:
+    """Of the weights, for so many classes of one word."""
+    n = n_own + SHARED
+    return ((2 * SIDE, n + 1, HIDDEN), (HIDDEN,), (HIDDEN, n), (n,))
+
+
+SHAPES = shapes(OWN)
+
+
+def vocabulary(docs: DataFrame) -> tuple[list[str], list[int], DataFrame]:
+    """The most frequent words (ties by word), the sum of the counts and ones in each shared class with one for the
+    unseen, and the counts of all words (word, n)."""
     words = docs.selectExpr(f"explode({WORDS.format('text')}) AS word")
     counts = write_once(words.groupBy("word").agg(F.count("*").alias("n")), "lm-words")
-    own = [r.word for r in counts.orderBy(F.desc("n"), "word").limit(OWN).collect()]
+    n_own = min(MOST_OWN, max(OWN, math.isqrt(counts.count())))
+    own = [r.word for r in counts.orderBy(F.desc("n"), "word").limit(n_own).collect()]
     other = counts.where(~F.col("word").isin(own)) if own else counts
-    sizes = dict(other.groupBy(F.expr(f"shiftrightunsigned(xxhash64(word), {64 - (SHARED - 1).bit_length()})").alias("c")).count().collect())
-    return own, [sizes.get(c, 0) for c in range(SHARED)]
+    shared = other.groupBy(F.expr(f"shiftrightunsigned(xxhash64(word), {64 - (SHARED - 1).bit_length()})").alias("c"))
+    sums = dict(shared.agg(F.expr("sum(n + 1)")).collect())
+    return own, [sums.get(c, 0) + 1 for c in range(SHARED)], counts
+
+
+def inside_shares(docs: DataFrame, counts: DataFrame, own: list[str]) -> DataFrame:
+    """Per rid and digest: words (of all equal rows together), and ``inside``, the sum of log(count + 1) over those that
+    aren't ``own``. ``docs``: rid, digest, text."""
+    words = docs.selectExpr("rid", "digest", f"explode({WORDS.format('text')}) AS word")
+    levels = counts.groupBy(F.expr("cast(floor(log2(n)) AS int)").alias("level")).count().collect()  # 64 rows at most
+    least, sent = 1, sum(n for _, n in levels)
+    for level, n in sorted(map(tuple, levels)):
+        if sent > MOST_SENT:
+            least, sent = 2 << level, sent - n
+    share = F.when(F.col("word").isin(own), 0.0).otherwise(F.log(F.col("n") + 1)) if own else F.log(F.col("n") + 1)
+    counts = counts.select("word", share.alias("inside"), "n")
+    often = F.broadcast(counts.where(f"n >= {least}").drop("n"))
+    found = [words.join(often, "word")]
+    if least > 1:
+        found.append(words.join(often, "word", "left_anti").join(counts.where(f"n < {least}").drop("n"), "word"))
+    sums = [f.groupBy("rid", "digest").agg(F.sum("inside").alias("inside"), F.count("*").alias("words")) for f in found]
+    out = sums[0] if len(sums) == 1 else sums[0].unionByName(sums[1])
+    return out.groupBy("rid", "digest").agg(F.sum("inside").alias("inside"), F.sum("words").alias("words"))
 
 
 def classes(words: list[bytes], own: dict[bytes, int]) -> np.ndarray:
@@ -49,37 +86,38 @@ def classes(words: list[bytes], own: dict[bytes, int]) -> np.ndarray:
         _known.clear()
         _known_of[:] = [len(own), next(iter(own), None)]
         _known.update(own)
-    out = np.empty(len(words), dtype=np.int64)
+    out, first = np.empty(len(words), dtype=np.int64), max(OWN, len(own))
     for at, word in enumerate(words):
         value = _known.get(word)
         if value is None:
-            value = _known[word] = OWN + (xxhash.xxh64_intdigest(word, 42) >> (64 - (SHARED - 1).bit_length()))
+            value = _known[word] = first + (xxhash.xxh64_intdigest(word, 42) >> (64 - (SHARED - 1).bit_length()))
         out[at] = value
     return out
 
 
-def windows(found: np.ndarray) -> np.ndarray:
-    """(words, 1 + 2 SIDE): each word's class, then its neighbours' from left to right."""
-    padded = np.concatenate([np.full(SIDE, NONE), found, np.full(SIDE, NONE)])
+def windows(found: np.ndarray, none: int = NONE) -> np.ndarray:
+    """(words, 1 + 2 SIDE): each word's class, then its neighbours' from left to right; ``none`` where there is none."""
+    padded = np.concatenate([np.full(SIDE, none), found, np.full(SIDE, none)])
     near = [padded[k : k + len(found)] for k in range(2 * SIDE + 1) if k != SIDE]
     return np.stack([found, *near], axis=1)
 
 
-def pieces(line: np.ndarray) -> dict:
-    """Classes of documents in a row, with ``SIDE`` times ``NONE`` before, between and after them, as packed pieces; each
+def pieces(line: np.ndarray, none: int = NONE) -> dict:
+    """Classes of documents in a row, with ``SIDE`` times ``none`` before, between and after them, as packed pieces; each
     has the ``SIDE`` neighbours of its first and last place. ``n``: its words."""
     out = {"classes": [], "n": []}
     for start in range(SIDE, len(line) - SIDE, PIECE):
         stop = min(start + PIECE, len(line) - SIDE)
         out["classes"].append(line[start - SIDE : stop + SIDE].astype(np.uint16).tobytes())
-        out["n"].append(int((line[start:stop] != NONE).sum()))
+        out["n"].append(int((line[start:stop] != none).sum()))
     return out
 
 
-def piece_windows(raw: bytes) -> np.ndarray:
+def piece_windows(raw: bytes, none: int = NONE) -> np.ndarray:
     """The windows of all words of a packed piece."""
     line = np.frombuffer(raw, dtype=np.uint16).astype(np.int64)
-    return (rows := windows(line)[SIDE:-SIDE])[rows[:, 0] != NONE]
+    rows = windows(line, none)[SIDE:-SIDE]
+    return rows[rows[:, 0] != none]
 
 
 def hidden_layer(weights: list[np.ndarray], near: np.ndarray) -> np.ndarray:
@@ -132,29 +170,30 @@ def _packed(weights: list[np.ndarray]) -> np.ndarray:
     return np.concatenate([w.ravel() for w in weights])
 
 
-def _unpacked(flat: np.ndarray) -> list[np.ndarray]:
-    ends = np.cumsum([np.prod(shape) for shape in SHAPES])
-    return [p.reshape(shape).astype(np.float32) for p, shape in zip(np.split(flat, ends[:-1]), SHAPES, strict=True)]
+def _unpacked(flat: np.ndarray, made: tuple) -> list[np.ndarray]:
+    ends = np.cumsum([np.prod(shape) for shape in made])
+    return [p.reshape(shape).astype(np.float32) for p, shape in zip(np.split(flat, ends[:-1]), made, strict=True)]
 
 
 def fitted(docs: DataFrame, own: list[str], rounds: int = ROUNDS) -> list[np.ndarray]:
     """The network's weights after training on windows of all documents (rid, text)."""
-    numbers = {word.encode(): k for k, word in enumerate(own)}
+    numbers, made = {word.encode(): k for k, word in enumerate(own)}, shapes(max(OWN, len(own)))
+    none = max(OWN, len(own)) + SHARED
 
     def draw(texts: list) -> dict:
-        line = [np.full(SIDE, NONE)]
+        line = [np.full(SIDE, none)]
         for text in texts:
             line += [classes((text or "").encode().split(), numbers), line[0]]
-        return pieces(np.concatenate(line))
+        return pieces(np.concatenate(line), none)
 
     drawn = write_once(per_batch(docs.select("text"), draw, "classes binary, n bigint").where("n > 0"), "lm-classes")
     rng = np.random.default_rng(SEED)
-    weights = [rng.normal(0, 0.1, shape).astype(np.float32) for shape in SHAPES]
+    weights = [rng.normal(0, 0.1, shape).astype(np.float32) for shape in made]
     weights[1][:], weights[3][:] = 0, 0
     schema = "lane int, n bigint, weights binary"
 
     def added(rows: Iterator[tuple[int, bytes]]) -> tuple[int, np.ndarray]:
-        total, flat = 0, np.zeros(sum(int(np.prod(s)) for s in SHAPES))
+        total, flat = 0, np.zeros(sum(int(np.prod(s)) for s in made))
         for n, raw in rows:
             total += n
             flat += np.frombuffer(raw, dtype=np.float64)
@@ -164,10 +203,10 @@ def fitted(docs: DataFrame, own: list[str], rounds: int = ROUNDS) -> list[np.nda
         start, rate = _packed(weights), RATE / (1 + turn)
 
         def local(batches: Iterator[pa.RecordBatch], start=start, rate=rate) -> Iterator[pa.RecordBatch]:
-            own_weights, total, lane = _unpacked(start), 0, 0
+            own_weights, total, lane = _unpacked(start, made), 0, 0
             for batch in batches:
                 for raw in batch["classes"].to_pylist():
-                    rows = piece_windows(raw)
+                    rows = piece_windows(raw, none)
                     train(own_weights, rows, rate)
                     total += len(rows)
                     lane = int(xxhash.xxh32_intdigest(raw[:64])) % LANES
@@ -183,7 +222,7 @@ def fitted(docs: DataFrame, own: list[str], rounds: int = ROUNDS) -> list[np.nda
         parts = drawn.mapInArrow(local, schema).repartition(LANES, "lane").mapInArrow(summed, schema)
         total, flat = added((r.n, r.weights) for r in parts.collect())  # at most LANES rows
         if total:
-            weights = _unpacked(flat / total)
+            weights = _unpacked(flat / total, made)
     return weights
 
 
@@ -193,23 +232,30 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     Null and empty texts have no words, a log_prob of 0 and a null mean. Rows without an id and repeated rows are scored
     like others; other columns are left out.
     """
-    docs = docs.selectExpr(f"cast({id_col} AS bigint) AS doc_id", f"{row_id(id_col, text_col)} AS rid", f"{text_col} AS text")
-    own, sizes = vocabulary(docs)
+    docs = docs.selectExpr(
+        f"cast({id_col} AS bigint) AS doc_id", f"{row_id(id_col, text_col)} AS rid", f"coalesce(xxhash64({text_col}), 0L) AS digest",
+        f"{text_col} AS text",
+    )
+    own, sums, counts = vocabulary(docs)
     weights = fitted(docs, own, rounds)
     numbers = {word.encode(): k for k, word in enumerate(own)}
-    inside = np.concatenate([np.zeros(OWN), -np.log(np.array(sizes) + 1.0)])
+    inside = np.concatenate([np.zeros(max(OWN, len(own))), -np.log(np.array(sums))])
 
-    def score(ids: list, texts: list) -> dict:
-        out = {"doc_id": ids, "n_tokens": [], "log_prob": [], "mean_log_prob": []}
+    def score(ids: list, rids: list, digests: list, texts: list) -> dict:
+        out = {"doc_id": ids, "rid": rids, "digest": digests, "n_tokens": [], "of_classes": []}
         for text in texts:
             found = classes((text or "").encode().split(), numbers)
-            total = float(log_probabilities(weights, windows(found)).sum(dtype=np.float64) + inside[found].sum()) if len(found) else 0.0
+            total = float(log_probabilities(weights, windows(found, len(inside))).sum(dtype=np.float64) + inside[found].sum()) if len(found) else 0.0
             out["n_tokens"].append(len(found))
-            out["log_prob"].append(total)
-            out["mean_log_prob"].append(total / len(found) if len(found) else None)
+            out["of_classes"].append(total)
         return out
 
-    return per_batch(docs.select("doc_id", "text"), score, "doc_id bigint, n_tokens bigint, log_prob double, mean_log_prob double")
+    schema = "doc_id bigint, rid bigint, digest bigint, n_tokens bigint, of_classes double"
+    scored = per_batch(docs.select("doc_id", "rid", "digest", "text"), score, schema)
+    scored = scored.join(inside_shares(docs, counts, own), ["rid", "digest"], "left")
+    # equal rows share one sum
+    scored = scored.selectExpr("doc_id", "n_tokens", "of_classes + coalesce(inside * n_tokens / words, 0D) AS log_prob")
+    return scored.selectExpr("*", "CASE WHEN n_tokens > 0 THEN log_prob / n_tokens END AS mean_log_prob")
 
 
 def op6_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:

@@ -341,6 +341,35 @@ def test_language_model_trains_on_all_windows(spark, docs, monkeypatch):
     assert lm_scoring.log_probabilities(weights, three).min() > 0.1 - np.log(lm_scoring.CLASSES)
 
 
+@pytest.mark.parametrize("sent", [250_000, 100])
+def test_language_model_counts_inside_shared_classes(spark, monkeypatch, sent):
+    monkeypatch.setattr(lm_scoring, "MOST_SENT", sent)
+    cases = [" ".join(f"w{k}" for k in range(j * 5000, (j + 1) * 5000)) for j in range(9)]
+    cases += [" ".join(f"w{k}" for k in range(0, 45000, step)) for step in (20, 30, 70)] + ["w1 w1 w1 w60 w2", ""]
+    rows_ = [*enumerate(cases), (12, cases[12]), (None, cases[12]), (None, None)]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string")
+    counts = {}
+    for _, text in rows_:
+        for word in (text or "").split():
+            counts[word] = counts.get(word, 0) + 1
+    own = sorted(counts, key=lambda w: (-counts[w], w))[:212]  # the root of 45,000
+    numbers = {w.encode(): k for k, w in enumerate(own)}
+    assert lm_scoring.vocabulary(docs)[0] == own
+    weights = lm_scoring.fitted(docs.selectExpr("0L AS rid", "text"), own, rounds=0)
+    sums = {}
+    for word, n in counts.items():
+        c = int(lm_scoring.classes([word.encode()], numbers)[0])
+        sums[c] = sums.get(c, 1) + n + 1
+    got = {(r.doc_id, r.n_tokens): r.log_prob for r in lm_scoring.lm_scores(docs, rounds=0).collect()}
+    for i, text in rows_:
+        words = (text or "").split()
+        found = lm_scoring.classes([w.encode() for w in words], numbers)
+        expected = sum(np.log((counts[w] + 1) / sums[c]) for w, c in zip(words, found.tolist(), strict=True) if w not in own[:212])
+        if words:
+            expected += lm_scoring.log_probabilities(weights, lm_scoring.windows(found, len(own) + lm_scoring.SHARED)).sum(dtype=np.float64)
+        assert got[i, len(words)] == pytest.approx(expected, rel=1e-6)
+
+
 def test_licenses(spark, docs, none):
     wrapped = "\n".join([
         "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:", "",
