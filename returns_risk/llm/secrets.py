@@ -3,10 +3,11 @@
 Rules find assignments to telling names, access keys and long hex numbers. Every other run of 16 or more key characters
 that holds a digit is a candidate. A convolutional network in numpy reads it with the characters around it; long
 candidates are read in overlapping windows, of which the highest counts. It is trained on labelled findings: what the
-rules find in ``SAMPLE`` documents (secret), the candidates they leave there (not), and ``MADE`` findings of each label
-in well-known formats, set into contexts from those documents. A third of the findings is held back: half of it fits the
-calibration (a logistic curve over the network's output), the other half sets the threshold, the highest that keeps
-``RECALL`` of the secrets of every format.
+rules find in ``SAMPLE`` documents (secret), and ``MADE`` findings of each label in well-known formats, set into contexts
+from those documents. The candidates that the rules leave have no label, so they are not trained on. A third of the
+findings is held back: half of it fits the calibration (a logistic curve over the network's output), the other half sets
+the threshold, the highest that keeps ``RECALL`` of the secrets of every format. The share of held-back harmless findings
+that reach it is kept beside it.
 """
 
 from __future__ import annotations
@@ -86,7 +87,7 @@ class Network:
             rng.normal(0, 0.25, HIDDEN).astype(np.float32),
             np.zeros(1, np.float32),
         ]
-        self.curve, self.threshold = (1.0, 0.0), 0.5
+        self.curve, self.threshold, self.false_share = (1.0, 0.0), 0.5, 0.0
 
     def _forward(self, rows: np.ndarray) -> tuple:
         table, bias, w1, b1, w2, b2 = self.weights
@@ -206,9 +207,7 @@ def sample_findings(docs: DataFrame, bound: int = SAMPLE) -> list[tuple[str, int
     def find(rids: list, texts: list) -> dict:
         out = {"cut": [], "start": [], "end": [], "format": []}
         for text in texts:
-            rules = rule_spans(text or "")
-            found = [(s, e, f"1{KINDS[k]}") for s, k, e in rules if k]
-            found += [(s, e, "0left") for s, e in candidates(text or "", rules)]
+            found = [(s, e, f"1{KINDS[k]}") for s, k, e in rule_spans(text or "") if k]
             for s, e, name in [*found, (0, 0, "-context")]:
                 first = max(0, s - LEFT)
                 for key, value in zip(out, (text[first : e + RIGHT + LEFT] if text else "", s - first, e - first, name), strict=True):
@@ -236,7 +235,9 @@ def trained(docs: DataFrame, bound: int = SAMPLE) -> Network:
         np.sort(held[formats[part == 1] == name])[int((1 - RECALL) * (formats[part == 1] == name).sum())]
         for name in set(formats[part == 1]) if name.startswith("1")
     ]
-    network.threshold = max(0.5, min(lowest, default=0.5))
+    network.threshold = float(min(lowest, default=0.5))
+    harmless = held[~secret[part == 1]]
+    network.false_share = float((harmless >= network.threshold).mean()) if len(harmless) else 0.0
     return network
 
 

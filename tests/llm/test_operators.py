@@ -4,6 +4,7 @@ columns whose names the operators use themselves; and on empty tables."""
 import hashlib
 import random
 import re
+import string
 
 import numpy as np
 import pytest
@@ -131,6 +132,21 @@ def test_secret_network_on_held_out_findings(spark, docs):
     assert (scores[label] >= network.threshold).mean() > 0.9 and (scores[~label] >= network.threshold).mean() < 0.1
 
 
+def test_secret_threshold_keeps_the_recall_of_every_format(spark):
+    rng = random.Random(12)
+    key = lambda: "ghp_" + "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(36))
+    many = [(k, " ".join(f"{prose(rng, 3)} {key()}" for _ in range(12))) for k in range(400)]  # no rule finds them
+    network = secrets.trained(spark.createDataFrame(many, "rid long, text string"))
+    held = secrets.made_findings([text for _, text in many[:20]], np.random.default_rng(98), 600)
+    scores, formats = network.scores([secrets.windows(t, s, e) for t, s, e, _ in held]), np.array([f for *_, f in held])
+    for name in set(formats):
+        if name.startswith("1"):
+            assert (scores[formats == name] >= network.threshold).mean() > 0.93, name
+    spans = [span for text in secrets.all_spans([text for _, text in many], network) for span in text]
+    assert sum(kind == 3 for _, kind, _ in spans) > 0.95 * 12 * 400
+    assert 0 <= network.false_share < 0.2
+
+
 def test_sample_of_findings_is_bounded_among_equal_rows(spark):
     many = spark.range(600).selectExpr("if(id % 3 = 0, id, -1L) AS rid", "if(id % 3 = 0, concat('key ', sha1(string(id))), 'same') AS text")
     found = secrets.sample_findings(many, bound=50)
