@@ -3,7 +3,9 @@ r"""Personal data, in DataFrame operations only.
 Regular expressions propose spans. Their positions come from matches that are tied to the end of the one before
 (``\G``) and take the gap in front along: the lengths of gaps and hits add up to positions in code points. Checksums
 confirm: Luhn for cards, mod 97 for account numbers (IBAN). Every span has a score between 0 and 1; telling words in the
-``NEAR`` characters of the gap before it raise the score. The base kinds are always listed; the others from ``LEAST`` on.
+``NEAR`` characters before or after it raise the score, whatever other spans lie between. These characters are put
+together from the gaps and hits around a span, so many spans in a long text don't cost their square. The base kinds are
+always listed; the others from ``LEAST`` on.
 Quantifiers are possessive, so no text makes a match run back and forth.
 """
 
@@ -14,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from returns_risk.llm.common import documents
 
 NEAR, LEAST = 40, 50
+#: Hits on one side that surely reach over ``NEAR`` characters: none is shorter than four.
+AROUND = NEAR // 4
 STEP = 64  # hits whose lengths are added up at a time
 
 #: Fixed patterns of the base kinds, written so that they never run back; then the added kinds.
@@ -90,13 +94,20 @@ def _spans(kind: str) -> str:
     own, words, more = SCORES[kind]
     hits = f"zip_with(regexp_extract_all(text, {tied}, 1), regexp_extract_all(text, {tied}, 2), (g, h) -> struct(g, h))"
     ends = _ends("transform(hits, x -> length(x.g) + length(x.h))")
-    near = f"lower(right(x.g, {NEAR})) RLIKE '{words}'"
+    # what is cut off a gap or hit is farther away than NEAR
+    former = f"transform(slice(hits, greatest(i - {AROUND}, 0) + 1, least(i, {AROUND})), y -> concat(right(y.g, {NEAR}), right(y.h, {NEAR})))"
+    latter = f"transform(slice(hits, i + 2, {AROUND}), y -> concat(left(y.g, {NEAR}), left(y.h, {NEAR})))"
+    before = f"right(concat(array_join({former}, ''), right(x.g, {NEAR})), {NEAR})"
+    after = f"left(concat(array_join({latter}, ''), tail), {NEAR})"
+    near = f"(lower({before}) RLIKE '{words}' OR lower({after}) RLIKE '{words}')"
     span = (
         f"struct(ends[i] - length(x.h) AS start, {KINDS.index(kind)} AS kind, ends[i] AS end,"
         f" CASE WHEN {near} THEN {own + more} ELSE {own} END AS score, {_valid(kind, 'x.h')} AS valid)"
     )
     least = 0 if kind in BASE else LEAST
-    found = _let("hits", hits, _let("ends", ends, f"filter(transform(hits, (x, i) -> {span}), x -> x.valid AND x.score >= {least})"))
+    found = f"filter(transform(hits, (x, i) -> {span}), x -> x.valid AND x.score >= {least})"
+    tail = f"substring(text, coalesce(get(ends, size(ends) - 1), 0) + 1, {NEAR})"
+    found = _let("hits", hits, _let("ends", ends, _let("tail", tail, found)))
     hint = f"instr(text, '{HINTS[kind]}') > 0 AND " if kind in HINTS else ""
     none = "cast(array() AS array<struct<start: int, kind: int, end: int, score: int, valid: boolean>>)"
     return f"CASE WHEN {hint}text RLIKE {_literal(pattern)} THEN {found} ELSE {none} END"

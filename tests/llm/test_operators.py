@@ -175,6 +175,31 @@ def test_personal_data_by_brute_force(spark, docs, none):
     assert personal_data.personal_data(none).count() == 0
 
 
+def test_personal_data_context_by_position(spark):
+    cases = [
+        "Phone: 555-123-4567, 555-987-6543", "SSN 123-45-6789, 987-65-4321", "555-123-4567 (phone)", "555-123-4567 555-987-6543 or call",
+        "phone " + "é" * 34 + "555-123-4567", "phone " + "é" * 37 + " 555-123-4567", "555-123-4567 " + "𝒳" * 33 + " phone",
+        "555-123-4567 " + "𝒳" * 35 + " phone", "fax " + " ".join(f"55{k}-123-4567" for k in range(8)), "1.2.3.4 +123456789 x@y.zz call",
+    ]
+    rng = random.Random(8)
+    parts = ["555-123-4567", "+1 743 555 3824", "a@b.cd", "1.2.3.4", "123-45-6789", " phone ", "mail", "ssn", " é, ", " x ", "host", "𝒳"]
+    cases += ["".join(f"{rng.choice(parts)} " for _ in range(60)) for _ in range(30)]
+    docs = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    found = {r.doc_id: r.found for r in personal_data.personal_data(docs).collect()}
+    count = lambda k: sum(x.kind > 3 for x in found[k])
+    assert [count(k) for k in range(9)] == [2, 2, 1, 2, 1, 0, 1, 0, 3]
+    for k, text in enumerate(cases):
+        for x in found[k]:
+            own, words, more = personal_data.SCORES[personal_data.KINDS[x.kind]]
+            told = any(re.search(words, part.lower()) for part in (text[max(0, x.start - 40) : x.start], text[x.end : x.end + 40]))
+            assert x.score == own + more * told
+        for kind in ("local_phone", "national_id"):
+            _, words, _ = personal_data.SCORES[kind]
+            for m in re.finditer(personal_data.PATTERNS[kind], text):
+                told = any(re.search(words, part.lower()) for part in (text[max(0, m.start() - 40) : m.start()], text[m.end() : m.end() + 40]))
+                assert ((m.start(), m.end()) in [(x.start, x.end) for x in found[k] if personal_data.KINDS[x.kind] == kind]) == told
+
+
 def test_quality_counts_and_risk(spark, docs, none):
     for i, t in texts().items():
         words = re.findall("[^\x20\x09-\x0d]+", t)
