@@ -424,3 +424,26 @@ def test_licenses(spark, docs, none):
     assert sorted(v for k, v in got.items() if k is None or k < 800 and v) == [["Apache-2.0", "MIT"]] or [["Apache-2.0", "MIT"]] == [v for v in got.values() if v][:1]
     assert all(re.search(licenses.HINTS, s.lower()) for s in licenses.SENTENCES.values())
     assert licenses.licenses(none).count() == 0
+
+
+def test_common_licenses_and_spdx_expressions(spark):
+    cases = {
+        "This file is licensed under the MIT License.": ["MIT"],
+        "Code.\nLicensed under the GNU Lesser General Public License, version 3.": ["LGPL-3.0"],
+        "Released under the ISC License": ["ISC"],
+        "This is free and unencumbered software released into the public domain.": ["Unlicense"],
+        "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.": ["LGPL-2.1-or-later"],
+        "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License version 2 as\npublished by the Free Software Foundation.": ["GPL-2.0"],
+        "Distributed under the Eclipse Public License 2.0": ["EPL-2.0"],
+        "// SPDX-License-Identifier: LGPL-2.1-or-later": ["LGPL-2.1-or-later"],
+        "/* SPDX-License-Identifier: GPL-2.0-only WITH Linux-syscall-note */": ["GPL-2.0"],
+        "# SPDX-License-Identifier: (mit OR Apache-2.0) AND EPL-2.0\nx = 1": ["Apache-2.0", "EPL-2.0", "MIT"],
+        "SPDX-License-Identifier: GPL-3.0-only": ["GPL-3.0"],
+        "SPDX-License-Identifier: AGPL-3.0+.": ["AGPL-3.0-or-later"],
+        "SPDX-License-Identifier: MIT is a line one writes": [],
+        "the ISC License and the Unlicense are short": [],
+    }
+    docs = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    got = {r.doc_id: r.licenses for r in licenses.licenses(docs).collect()}
+    assert [got[k] for k in range(len(cases))] == list(cases.values())
+    assert set(licenses.TITLES) | {name for _, name, _ in licenses.NOTICES} <= {name for name, _ in licenses.RULES}
