@@ -15,6 +15,8 @@ or apart. The steps:
    band that pairs must share too, and by a third; what is then still dense is compared as it is.
 
 Two sets with a similarity of 0.8 share no band with a probability of 5e-9 and fail the sketch test with about 1e-9.
+Where all bands that a pair shares are dense (step 5), one or two shared bands are not enough for a comparison: such a
+pair is missed with about 1.5e-6, unless other links join its groups.
 """
 
 from __future__ import annotations
