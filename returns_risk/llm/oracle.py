@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from returns_risk.llm.decontaminate import EQUAL, MASKS, WINDOW
 from returns_risk.llm.licenses import RULES, SENTENCES
+from returns_risk.llm.phrases import COVERED, FACTOR, LEAST, TOP
 
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -121,9 +122,74 @@ def _licenses() -> str:
     """
 
 
+def _trie() -> str:
+    bits = "lambda a, i: xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END)"
+    byte = f"lambda c, b: xor(c >> 8, list_reduce(list_concat([xor(c, b) & 255], range(8)), {bits}))"
+    codes = "list_transform(range(1, len(c::VARCHAR) + 1), lambda i: ascii(substr(c::VARCHAR, i, 1))::BIGINT)"
+    return f"""
+    WITH own AS (
+        SELECT conv_id AS c, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST, role, text) AS turns
+        FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+    ),
+    cut AS (SELECT c, turns, (xor(list_reduce(list_concat([4294967295], {codes}), {byte}), 4294967295) % 9)::INT AS h FROM own),
+    rebuilt AS (
+        SELECT x.c, list_concat(CASE WHEN y.turns IS NULL THEN [] ELSE y.turns[1:h] END, x.turns[h + 1:]) AS turns
+        FROM cut x LEFT JOIN own y ON y.c = x.c - x.c % 5
+    ),
+    steps AS (SELECT c, len(turns) AS n, unnest(range(0, len(turns) + 1)) AS depth, turns FROM rebuilt),
+    nodes AS (
+        SELECT depth, turns[1:depth] AS path, min(c) AS conv_id, count(*) AS n_convs, sum((n > depth)::INT) AS further,
+            coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (n = depth), '') AS ends
+        FROM steps GROUP BY 1, 2
+    ),
+    sized AS (SELECT *, CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * strlen(path[depth].text) END AS saved FROM nodes),
+    below AS (
+        SELECT x.depth, x.path, sum((y.depth = x.depth + 1)::INT) AS n_children, sum((y.further = 0)::INT) AS n_leaves, sum(y.saved) AS saved_tokens
+        FROM sized x JOIN sized y ON y.depth >= x.depth AND y.path[1:x.depth] = x.path GROUP BY 1, 2
+    )
+    SELECT s.conv_id, s.depth, up.conv_id AS parent_conv_id, s.n_convs, n_children::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves,
+        saved_tokens::BIGINT AS saved_tokens, sha256(s.ends) AS ends_sha256
+    FROM sized s JOIN below b ON b.depth = s.depth AND b.path = s.path
+    LEFT JOIN sized up ON up.depth = s.depth - 1 AND up.path = s.path[1:s.depth - 1]
+    """
+
+
+_PHRASES = rf"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{_LETTERS}', '{_LETTERS.lower()}') AS text FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM t),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p),
+totals AS (SELECT lang, sum(len(words))::BIGINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, size, words, unnest(range(1, len(words) - size + 2)) AS i FROM w, (VALUES (1), (2), (3), (4)) v(size)),
+f AS (
+    SELECT lang, size, array_to_string(words[i:i + size - 1], ' ') AS phrase, count(*) AS f FROM g
+    GROUP BY ALL HAVING count(*) >= {LEAST}
+),
+cuts AS (
+    SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS words, unnest(range(1, size)) AS k FROM f WHERE size > 1
+),
+scored AS (
+    SELECT c.lang, c.size, c.phrase, a, k, x.f AS l, y.f AS r, (a::HUGEINT * {FACTOR}) // (x.f + y.f) AS score
+    FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.words[1:k], ' ')
+    JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.words[k + 1:], ' ')
+),
+worst AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+kept AS (
+    SELECT * FROM worst c WHERE NOT EXISTS (
+        SELECT 1 FROM f o WHERE o.lang = c.lang AND o.size > c.size AND contains(' ' || o.phrase || ' ', ' ' || c.phrase || ' ')
+            AND 100 * o.f >= {COVERED} * a
+    )
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM kept JOIN totals USING (lang)
+QUALIFY rank <= {TOP}
+"""
+
+
 ORACLE_SQL = {
     "op2_benchmark_decontamination": _leaks(),
     "op3_minhash_near_dedup": _NEAR,
     "op7_warc": _WARC,
     "op8_license_scans": _licenses(),
+    "op11_conversation_trie": _trie(),
+    "op13_phrase_collocations": _PHRASES,
 }

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from returns_risk.llm import (
-    decontaminate, licenses, lm_scoring, mixing, near_dedup, personal_data, quality, secrets, token_counts, warc,
+    decontaminate, licenses, lm_scoring, mixing, near_dedup, packing, personal_data, phrases, quality, secrets,
+    token_counts, trie, warc,
 )
 from returns_risk.llm.oracle import ORACLE_SQL
 
@@ -18,4 +19,7 @@ QUERIES = {
     "op8_license_scans": licenses.op8_license_scans,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_pii": personal_data.op10_pii,
+    "op11_conversation_trie": trie.op11_conversation_trie,
+    "op12_best_fit_packing": packing.op12_best_fit_packing,
+    "op13_phrase_collocations": phrases.op13_phrase_collocations,
 }
