@@ -70,7 +70,7 @@ class Words(dict):
 _words = Words()
 
 
-def parts(text: str, most: int = PART) -> Iterator[list[bytes]]:
+def parts(text: str, most: int) -> Iterator[list[bytes]]:
     """The words of a text in parts of about ``most`` bytes that end with a piece; ``.`` stands after each piece."""
     clean = text.encode().translate(_CLEAN)
     at = 0
@@ -109,8 +109,8 @@ class Grams:
         return first, both[0] >> np.uint64(64 - bits), both[1]
 
 
-def _texts(batches: Iterator[pa.RecordBatch], most: int = BATCH) -> Iterator[tuple[Grams, np.ndarray, list, list]]:
-    """Batches (rid, lang, text) as n-grams of about ``most`` words, with rid and language of each text and the words."""
+def _texts(batches: Iterator[pa.RecordBatch], batch_words: int, part: int) -> Iterator[tuple[Grams, np.ndarray, list, list]]:
+    """Batches (rid, lang, text) as n-grams of about ``batch_words`` words, with rid and language of each text, and the words."""
     words, lengths, rids, langs = [], [], [], []
 
     def made():
@@ -119,12 +119,12 @@ def _texts(batches: Iterator[pa.RecordBatch], most: int = BATCH) -> Iterator[tup
 
     for batch in batches:
         for rid, lang, text in zip(*(batch.column(k) for k in range(3)), strict=True):
-            for part in parts(text.as_py()):
-                words += part
-                lengths.append(len(part))
+            for own in parts(text.as_py(), part):
+                words += own
+                lengths.append(len(own))
                 rids.append(rid.as_py())
                 langs.append(lang.as_py())
-                if len(words) >= most:
+                if len(words) >= batch_words:
                     yield made()
                     words, lengths, rids, langs = [], [], [], []
     if words:
@@ -162,12 +162,12 @@ def _survivors(grams: Grams, n: int, bitmap: np.ndarray | None, bits: int) -> tu
     return first, fp, mark
 
 
-def _counted(rows: DataFrame, n: int, sent, bits: int) -> DataFrame:
+def _counted(rows: DataFrame, n: int, sent, bits: int, batch: int, part: int) -> DataFrame:
     """Counts of n-grams by fingerprint: fp, f, lowest and highest check number (mark, last), smallest document (rid)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = sent.value if sent is not None else None
-        for grams, rids, _, _ in _texts(batches):
+        for grams, rids, _, _ in _texts(batches, batch, part):
             first, fp, mark = _survivors(grams, n, bitmap, bits)
             order = np.argsort(fp)
             fp, mark = fp[order], mark[order]
@@ -191,13 +191,13 @@ def _phrase(grams: Grams, words: list[bytes], first: int, n: int) -> str:
     return b" ".join(words[i] for i in grams.place[first : first + n]).decode()
 
 
-def _recounted(rows: DataFrame, n: int, sent, collided: DataFrame, bits: int) -> DataFrame:
+def _recounted(rows: DataFrame, n: int, sent, collided: DataFrame, bits: int, batch: int, part: int) -> DataFrame:
     """The n-grams with ``collided`` fingerprints, counted as texts: n, lang, phrase, f."""
     wanted = rows.sparkSession.sparkContext.broadcast(_bitmap(collided, BITMAP))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = sent.value if sent is not None else None
-        for grams, _, langs, words in _texts(batches):
+        for grams, _, langs, words in _texts(batches, batch, part):
             first, fp, _ = _survivors(grams, n, bitmap, bits)
             hit = _marked(fp, wanted.value)
             first, fp = first[hit], fp[hit]
@@ -211,7 +211,7 @@ def _recounted(rows: DataFrame, n: int, sent, collided: DataFrame, bits: int) ->
     return texts.selectExpr(f"{n} AS n", "lang", "phrase", "f")
 
 
-def _read(rows: DataFrame, wanted: DataFrame, bits: int) -> DataFrame:
+def _read(rows: DataFrame, wanted: DataFrame, bits: int, batch: int, part: int) -> DataFrame:
     """The texts of ``wanted`` fingerprints (n, fp, mark, f, rid) from the documents they point to: n, lang, phrase, f."""
     wanted = write_once(wanted.groupBy("rid").agg(F.expr("collect_list(struct(n, fp, mark, f)) AS wanted")), "phrase-pointers")
     ids = wanted.select("rid")
@@ -220,11 +220,11 @@ def _read(rows: DataFrame, wanted: DataFrame, bits: int) -> DataFrame:
     rows = rows.join(wanted, "rid").select("rid", "lang", "text", "wanted")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                left = {(w["n"], w["fp"]): (w["mark"], w["f"]) for w in batch.column(3)[row].as_py()}
+        for some in batches:
+            for row in range(some.num_rows):
+                left = {(w["n"], w["fp"]): (w["mark"], w["f"]) for w in some.column(3)[row].as_py()}
                 out = []
-                for grams, _, langs, words in _texts([batch.slice(row, 1)]):
+                for grams, _, langs, words in _texts([some.slice(row, 1)], batch, part):
                     for n in sorted({n for n, _ in left}):
                         own = np.array([fp for size, fp in left if size == n], dtype=np.int64)
                         first, fp, mark = grams.hashes(n, bits)
@@ -241,7 +241,7 @@ def _read(rows: DataFrame, wanted: DataFrame, bits: int) -> DataFrame:
 
 def frequent_phrases(
     docs: DataFrame, least: int = LEAST, longest: int = LONGEST, bits: int = 64, bitmap: int = BITMAP,
-    id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+    batch: int = BATCH, part: int = PART, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
 ) -> DataFrame:
     """Every phrase of up to ``longest`` words that a language has ``least`` times: n (words), lang, phrase, f.
 
@@ -254,15 +254,15 @@ def frequent_phrases(
     )
     sent, wanted, texts = None, None, []
     for n in range(1, longest + 1):
-        counts = write_once(_counted(rows, n, sent, bits).where(f"f >= {least} OR mark <> last"), f"phrases-{n}")
+        counts = write_once(_counted(rows, n, sent, bits, batch, part).where(f"f >= {least} OR mark <> last"), f"phrases-{n}")
         collided = counts.where("mark <> last")
         if collided.limit(1).count():
-            texts.append(write_once(_recounted(rows, n, sent, collided, bits).where(f"f >= {least}"), f"phrases-read-{n}"))
+            texts.append(write_once(_recounted(rows, n, sent, collided, bits, batch, part).where(f"f >= {least}"), f"phrases-read-{n}"))
         own = counts.where("mark = last").selectExpr(f"{n} AS n", "fp", "mark", "f", "rid")
         wanted = own if wanted is None else wanted.unionByName(own)
         sent = spark.sparkContext.broadcast(_bitmap(counts, bitmap))
     words = F.expr(r"sum(regexp_count(text, '[^\\x20\\x09.,;:!?\\x0A-\\x0D]+'))")
-    out = _read(rows, wanted, bits).unionByName(rows.groupBy("lang").agg(words.alias("f")).selectExpr("0 AS n", "lang", "'' AS phrase", "f"))
+    out = _read(rows, wanted, bits, batch, part).unionByName(rows.groupBy("lang").agg(words.alias("f")).selectExpr("0 AS n", "lang", "'' AS phrase", "f"))
     for more in texts:
         out = out.unionByName(more)
     return write_once(out, "phrases")
