@@ -98,6 +98,8 @@ UNLIKELY_BELOW = 0.4         # strict <
 TEST_FRACTION = 0.2
 SEED = 42
 BACKGROUND_ROWS = 100
+# Size of the trees in registered queries, small enough that SQL can train them step by step.
+TREE_ROUNDS, TREE_LEAVES = 5, 7
 
 # ---------------------------------------------------------------------------
 # Date formats. "iso" is Spark's own reading of ISO text.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from itertools import groupby
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
@@ -20,19 +21,20 @@ DROP_COUNTS = {
 
 
 def _numbers(fmt: str) -> tuple[str, dict[str, int]] | None:
-    """A regular expression for the texts that ``fmt`` can read, and the group of each letter, if it is all numbers."""
-    widths = {"yyyy": "[0-9]{4}", "MM": "[0-9]{2}", "dd": "[0-9]{2}", "HH": "[0-9]{2}", "mm": "[0-9]{2}",
-              "ss": "[0-9]{2}", "M": "[0-9]{1,2}", "d": "[0-9]{1,2}", "H": "[0-9]{1,2}"}
-    shape, groups = "", {}
+    """A regular expression for the shapes (digits as 0) of texts that ``fmt`` can read, and the place of each letter's
+    number, if the format is all numbers."""
+    widths = {"yyyy": "0{4}", "MM": "0{2}", "dd": "0{2}", "HH": "0{2}", "mm": "0{2}", "ss": "0{2}", "M": "0{1,2}",
+              "d": "0{1,2}", "H": "0{1,2}"}
+    shape, places, first = "", {}, int(not fmt[:1].isalpha())
     for letter, more, other in re.findall(r"([A-Za-z])(\1*)|([^A-Za-z]+)", fmt):
         if other:
             shape += re.escape(other)
         elif letter + more in widths:
-            shape += f"({widths[letter + more]})"
-            groups[letter] = len(groups) + 1
+            shape += widths[letter + more]
+            places[letter] = first + len(places)
         else:
             return None
-    return f"^{shape}$", groups
+    return f"^{shape}$", places
 
 
 def _attempt(text: str, fmt: str) -> str:
@@ -42,20 +44,25 @@ def _attempt(text: str, fmt: str) -> str:
     if numbers is None:
         return f"CAST(try_to_timestamp({text}, {sql_text(fmt)}) AS timestamp_ntz)"
     # Built from the parts of the text: no session time zone has a say, and no failed parse costs an exception.
-    shape, groups = numbers
-    parts = [
-        f"int(regexp_extract({text}, {sql_text(shape)}, {groups[letter]}))" if letter in groups else "0"
-        for letter in "yMdHms"
-    ]
-    return f"if({text} RLIKE {sql_text(shape)}, try_make_timestamp_ntz({', '.join(parts)}), NULL)"
+    shape, places = numbers
+    parts = [f"int(cut.parts[{places[letter]}])" if letter in places else "0" for letter in "yMdHms"]
+    return f"if(cut.shape RLIKE {sql_text(shape)}, try_make_timestamp_ntz({', '.join(parts)}), NULL)"
 
 
 def parse_date(text: str, formats: Sequence[str] = MONTH_FIRST) -> str:
     """SQL text: wall-clock time from ``text`` in any of ``formats``; null where none fits.
 
-    Formats of numbers only, and ISO, are read without any time zone. Others go through the session's.
+    Formats of numbers only, and ISO, are read without any time zone. Others go through the session's. The text is cut
+    into its numbers once for all formats of numbers that stand next to each other in the list.
     """
-    return f"coalesce({', '.join(_attempt(text, fmt) for fmt in formats)})"
+    attempts: list[str] = []
+    for together, group in groupby(formats, lambda fmt: fmt != "iso" and _numbers(fmt) is not None):
+        tries = [_attempt(text, fmt) for fmt in group]
+        if together:
+            cut = f"struct(translate({text}, '123456789', '000000000') AS shape, split({text}, '[^0-9]+') AS parts)"
+            tries = [f"transform(array({cut}), cut -> coalesce({', '.join(tries)}))[0]"]
+        attempts += tries
+    return f"coalesce({', '.join(attempts)})"
 
 
 def parse_date_strict(text: str, formats: Sequence[str] = MONTH_FIRST) -> str:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from returns_risk import constants as c
-from returns_risk.operators.ranks import RANGES, totals_before
+from returns_risk.operators.ranks import totals_before
 from returns_risk.sources.store import write_once
 
 
@@ -109,7 +109,7 @@ def roc_auc(
     df: DataFrame,
     label: str = c.LABEL,
     score: str = c.PROBABILITY,
-    ranges: int = RANGES,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Area under the ROC curve, exact, with half weight for ties.
 

@@ -49,7 +49,12 @@ def retail_summary(clean: DataFrame, key: str = "CustomerID") -> DataFrame:
         "FirstTransactionDate": "min(InvoiceDate)",
         "LastTransactionDate": "max(InvoiceDate)",
     }
-    return clean.groupBy(key).agg(*[F.expr(total).alias(name) for name, total in totals.items()]).selectExpr(
+    return with_rates(clean.groupBy(key).agg(*[F.expr(total).alias(name) for name, total in totals.items()]))
+
+
+def with_rates(summary: DataFrame) -> DataFrame:
+    """Adds the two refund rates and the account age to the seven aggregates."""
+    return summary.selectExpr(
         "*",
         f"{safe_ratio('TotalItemsReturned', 'TotalItemsPurchased')} AS RefundRate_by_Items",
         f"{safe_ratio('TotalRefundValue', 'TotalPurchaseValue')} AS RefundRate_by_Value",
@@ -81,7 +86,11 @@ def ticket_summary(scored: DataFrame, links: DataFrame) -> DataFrame:
     Tickets are summed per address before the join, so one address with very many tickets is one
     row there; addresses without a customer fall out.
     """
-    per_email = ticket_totals(scored.where("CustomerEmail IS NOT NULL"), "CustomerEmail")
+    return linked_totals(ticket_totals(scored.where("CustomerEmail IS NOT NULL"), "CustomerEmail"), links)
+
+
+def linked_totals(per_email: DataFrame, links: DataFrame) -> DataFrame:
+    """The ticket aggregates per customer from the sums per address."""
     linked = per_email.join(links.where(f"{CUSTOMER} IS NOT NULL"), "CustomerEmail")
     merged = linked.groupBy(CUSTOMER).agg(
         *[F.sum(name).alias(name) for name in (*TICKET_COUNTS, "_score_sum", "_scores")],

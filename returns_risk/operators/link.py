@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from returns_risk.constants import CUSTOMER
-from returns_risk.operators.ranks import RANGES, dense_index
+from returns_risk.operators.ranks import dense_index
 from returns_risk.sources.store import write_once
 
 SLOT = "_slot"
@@ -24,7 +24,7 @@ def email_slot(email: str, customers: int) -> str:
     return f"bigint(conv(substr(md5({email}), 1, 15), 16, 10)) % {customers}L"
 
 
-def number_customers(customers: DataFrame, key: str, ranges: int = RANGES) -> DataFrame:
+def number_customers(customers: DataFrame, key: str, ranges: int | None = None) -> DataFrame:
     """Adds the slot of each customer: its position by ascending number. ``customers`` is a stored table."""
     return dense_index(customers, key, SLOT, ranges)
 

@@ -4,52 +4,69 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Ranges that a table is cut into, whatever its size; each is sorted by one task.
-RANGES = 256
+from returns_risk.sources.store import write_once
 
+#: Rows of one run, about: a table is cut into as many runs as it takes, and each is sorted by one task.
+RUN_ROWS = 1 << 18
+#: Runs that are added up together; their sums are added up once more.
+GROUP = 1024
 
-def _with_range(df: DataFrame, order: str, ranges: int) -> DataFrame:
-    """Adds ``_range``, a number that never falls as ``order`` rises, with about even sizes."""
+
+def _runs(df: DataFrame, order: str, ranges: int | None) -> DataFrame:
+    """``df`` stored in sorted runs: ``_run`` never falls as ``order`` rises, ``_place`` counts from 0 in each run."""
+    if ranges is None:
+        ranges = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // RUN_ROWS))
     if ranges < 1:
         raise ValueError("ranges must be at least 1")
-    shares = ", ".join(f"{k / ranges!r}D" for k in range(1, ranges))
-    # Approximate quantiles, as one value for all tasks; null for an empty table.
-    cuts = f"percentile_approx(double({order}), array({shares}), {50 * ranges})" if shares else "array(0D)"
-    beyond = f"coalesce(size(filter(_cuts, cut -> cut < double({order}))), 0)"
-    return df.withColumn("_cuts", df.agg(F.expr(cuts)).scalar()).selectExpr(
-        "* EXCEPT (_cuts)", f"{beyond if shares else '0'} AS _range"
+    runs = df.repartitionByRange(ranges, F.expr(order)).sortWithinPartitions(F.expr(order))
+    # The number has the partition above 33 bits and the row's place in it below.
+    return write_once(
+        runs.withColumn("_id", F.monotonically_increasing_id())
+        .selectExpr("* EXCEPT (_id)", "shiftright(_id, 33) AS _run", "_id & ((1L << 33) - 1) AS _place"),
+        "runs",
     )
 
 
-def totals_before(df: DataFrame, order: str, totals: Mapping[str, str], ranges: int = RANGES) -> DataFrame:
+def _before(sums: DataFrame, names: list[str]) -> DataFrame:
+    """The sums of all earlier runs, in two levels: within groups of runs, then over the groups."""
+    group = f"_run div {GROUP}"
+    inside = Window.partitionBy("_group").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    over = Window.orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)  # one row for each 1,024 runs
+    sums = sums.selectExpr("*", f"{group} AS _group")
+    groups = sums.groupBy("_group").agg(*[F.sum(name).alias(name) for name in names]).select(
+        "_group", *[F.coalesce(F.sum(name).over(over), F.lit(0)).alias(f"_over_{name}") for name in names]
+    )
+    return sums.select(
+        "_run", "_group", *[F.coalesce(F.sum(name).over(inside), F.lit(0)).alias(f"_in_{name}") for name in names]
+    ).join(groups, "_group").selectExpr("_run", *[f"_in_{name} + _over_{name} AS _before_{name}" for name in names])
+
+
+def totals_before(df: DataFrame, order: str, totals: Mapping[str, str], ranges: int | None = None) -> DataFrame:
     """Adds, per entry of ``totals``, the sum of its expression over all rows that come before in ``order``.
 
-    ``order`` must be unique and ``df`` cheap to read again (a stored table). The table is cut into
-    ``ranges`` ranges at approximate quantiles. The cut points decide only how even the tasks are: each
-    row gets the total of its range's predecessors plus a window sum inside the range.
+    ``order`` must be unique and ``df`` cheap to count (a stored table). The table is range-partitioned into sorted runs of
+    about ``RUN_ROWS`` rows, or ``ranges`` of them, and stored, at once. Every row gets the total of the runs before its own
+    plus a window sum inside the run; the sums of the runs, one row each, are added up in two levels. The limits between
+    runs decide only how even the tasks are.
     """
-    cut = _with_range(df, order, ranges)
-    before = f"(PARTITION BY _range ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    cut = _runs(df, order, ranges)
+    before = "(PARTITION BY _run ORDER BY _place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     inside = cut.selectExpr(
         "*", *[f"coalesce(sum({value}) OVER {before}, 0L) AS {name}" for name, value in totals.items()]
     )
-    # One row per range, whatever the size of the table.
-    earlier = "(ORDER BY _range ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    offsets = (
-        cut.groupBy("_range")
-        .agg(*[F.expr(f"sum({value})").alias(name) for name, value in totals.items()])
-        .selectExpr("_range", *[f"coalesce(sum({name}) OVER {earlier}, 0L) AS {name}_offset" for name in totals])
-    )
+    sums = cut.groupBy("_run").agg(*[F.expr(f"sum({value})").alias(name) for name, value in totals.items()])
     return (
-        inside.join(F.broadcast(offsets), "_range")
-        .withColumns({name: F.col(name) + F.col(f"{name}_offset") for name in totals})
-        .drop("_range", *[f"{name}_offset" for name in totals])
+        inside.join(_before(sums, list(totals)), "_run")
+        .withColumns({name: F.col(name) + F.col(f"_before_{name}") for name in totals})
+        .drop("_run", "_place", *[f"_before_{name}" for name in totals])
     )
 
 
-def dense_index(df: DataFrame, order: str, name: str, ranges: int = RANGES) -> DataFrame:
-    """Adds the 0-based position of each row in ascending ``order``. See :func:`totals_before`."""
-    return totals_before(df, order, {name: "1L"}, ranges)
+def dense_index(df: DataFrame, order: str, name: str, ranges: int | None = None) -> DataFrame:
+    """Adds the 0-based position of each row in ascending ``order``. See :func:`totals_before`; no window is needed."""
+    cut = _runs(df, order, ranges)
+    offsets = _before(cut.groupBy("_run").agg(F.count("*").alias("n")), ["n"])
+    return cut.join(offsets, "_run").withColumn(name, F.expr("_place + _before_n")).drop("_run", "_place", "_before_n")

@@ -14,6 +14,7 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from returns_risk import constants as c
 from returns_risk.functions.numeric import rounded_like_text, safe_ratio
+from returns_risk.operators.boosting import score_trees
 from returns_risk.operators.features import sanitize
 
 _DOUBLES = {
@@ -80,8 +81,10 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
-def score_features(df: DataFrame, scorer: PipelineModel | Mapping[str, float] = c.SCORE_WEIGHTS) -> DataFrame:
-    """Probability and class of ready feature rows, by trees or by linear weights."""
+def score_features(df: DataFrame, scorer: PipelineModel | DataFrame | Mapping[str, float] = c.SCORE_WEIGHTS) -> DataFrame:
+    """Probability and class of ready feature rows, by Spark's trees, a stored table of trees, or linear weights."""
+    if isinstance(scorer, DataFrame):
+        return score_trees(df, scorer)
     return score_gbt(df, scorer) if isinstance(scorer, PipelineModel) else linear_score(df, scorer)
 
 

@@ -11,13 +11,12 @@ from returns_risk import constants as c
 from returns_risk.operators import features as f
 from returns_risk.operators.clean import clean_retail, clean_tickets
 from returns_risk.operators.link import SLOT, email_slot, number_customers
-from returns_risk.operators.ranks import RANGES
 from returns_risk.operators.scoring import score_features
 from returns_risk.operators.text_features import score_text
 from returns_risk.sources.store import write_once
 
 
-def numbered_summary(clean: DataFrame, ranges: int = RANGES) -> tuple[DataFrame, int]:
+def numbered_summary(clean: DataFrame, ranges: int | None = None) -> tuple[DataFrame, int]:
     """The retail summary with the slot of each customer, and the number of customers.
 
     Runs at once: the invoice lines are read here, once; the numbering works on the stored customer rows.
@@ -35,7 +34,7 @@ def build_features(
     date_formats: Sequence[str] = c.MONTH_FIRST,
     on_bad_date: str = "drop",
     negative_terms: Sequence[str] = c.NEGATIVE_TERMS,
-    ranges: int = RANGES,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Raw invoice lines and tickets to one feature row per customer.
 
@@ -57,7 +56,7 @@ def score_new(
     retail: DataFrame,
     tickets: DataFrame,
     links: DataFrame | None = None,
-    scorer: PipelineModel | Mapping[str, float] = c.SCORE_WEIGHTS,
+    scorer: PipelineModel | DataFrame | Mapping[str, float] = c.SCORE_WEIGHTS,
 ) -> DataFrame:
     """Feature rows of new raw tables with probability and class of a saved or linear scorer."""
     return score_features(build_features(retail, tickets, links), scorer)

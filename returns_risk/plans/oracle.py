@@ -6,6 +6,7 @@ import re
 from string import Formatter
 
 from returns_risk import constants as c
+from returns_risk.plans.oracle_trees import FEATURE_NAMES, tree_ctes
 from returns_risk.sources.tables import PHRASES, TYPE_OF_EVENT
 
 
@@ -197,6 +198,24 @@ def _classes() -> str:
     return " UNION ALL ".join(lines)
 
 
+def _confusion(rows: str) -> str:
+    return f"""
+    SELECT count(*) FILTER (WHERE is_refund_abuser = 1 AND Predicted_Abuser = 1) AS n11,
+           count(*) FILTER (WHERE is_refund_abuser = 1 AND Predicted_Abuser = 0) AS n10,
+           count(*) FILTER (WHERE is_refund_abuser = 0 AND Predicted_Abuser = 1) AS n01,
+           count(*) FILTER (WHERE is_refund_abuser = 0 AND Predicted_Abuser = 0) AS n00
+    FROM {rows}"""
+
+
+def _by_score(rows: str) -> str:
+    return f"""
+    SELECT *, coalesce(sum(zeros) OVER (ORDER BY Predicted_Probability ROWS BETWEEN UNBOUNDED PRECEDING
+                                        AND 1 PRECEDING), 0) AS below
+    FROM (SELECT Predicted_Probability, count(*) FILTER (WHERE is_refund_abuser = 1) AS ones,
+                 count(*) FILTER (WHERE is_refund_abuser = 0) AS zeros
+          FROM {rows} GROUP BY Predicted_Probability)"""
+
+
 def _mean_score(known: str) -> str:
     """Mean clipped score over the background; ``known`` has a letter per feature with the row's own value."""
     parts = [
@@ -243,19 +262,9 @@ _CTES |= {
     SELECT *, CAST(row_number() OVER (PARTITION BY is_refund_abuser ORDER BY md5('42:' || Simulated_CustomerID))
                    <= round(0.2 * count(*) OVER (PARTITION BY is_refund_abuser)) AS INTEGER) AS is_test
     FROM scored"""),
-    "confusion": (("split",), """
-    SELECT count(*) FILTER (WHERE is_refund_abuser = 1 AND Predicted_Abuser = 1) AS n11,
-           count(*) FILTER (WHERE is_refund_abuser = 1 AND Predicted_Abuser = 0) AS n10,
-           count(*) FILTER (WHERE is_refund_abuser = 0 AND Predicted_Abuser = 1) AS n01,
-           count(*) FILTER (WHERE is_refund_abuser = 0 AND Predicted_Abuser = 0) AS n00
-    FROM split WHERE is_test = 1"""),
+    "confusion": (("split",), _confusion("split WHERE is_test = 1")),
     "classes": (("confusion",), _classes()),
-    "by_score": (("scored",), """
-    SELECT *, coalesce(sum(zeros) OVER (ORDER BY Predicted_Probability ROWS BETWEEN UNBOUNDED PRECEDING
-                                        AND 1 PRECEDING), 0) AS below
-    FROM (SELECT Predicted_Probability, count(*) FILTER (WHERE is_refund_abuser = 1) AS ones,
-                 count(*) FILTER (WHERE is_refund_abuser = 0) AS zeros
-          FROM scored GROUP BY Predicted_Probability)"""),
+    "by_score": (("scored",), _by_score("scored")),
     "background": (("scored",), """
     SELECT * FROM scored ORDER BY md5('42:' || Simulated_CustomerID), Simulated_CustomerID LIMIT 100"""),
     "means": (("background",), "SELECT x.Simulated_CustomerID, " + ", ".join(
@@ -278,6 +287,23 @@ def _sql(names: str | tuple[str, ...], select: str) -> str:
     return f"WITH {ctes} {select}" if ctes else select
 
 
+def _tree_sql(select: str) -> str:
+    """``select`` on the tables of :mod:`oracle_trees`; each is computed once."""
+    shared = [f"{name} AS ({_CTES[name][1]})" for name in _needed(("split",), {})]
+    steps = [f"{name} AS MATERIALIZED ({text})" for name, text in tree_ctes().items()]
+    return f"WITH {', '.join(shared + steps)} {select}"
+
+
+def _report(rows: str) -> str:
+    """The classification report of the table ``rows``."""
+    tables = f"confusion AS ({_confusion(rows)}), classes AS ({_classes()})"
+    return f"SELECT * FROM (WITH {tables} {_REPORT})"
+
+
+def _auc(rows: str) -> str:
+    return f"SELECT * FROM (WITH by_score AS ({_by_score(rows)}) {_AUC})"
+
+
 _FEATURE_COLUMNS = (
     "Simulated_CustomerID, CAST(FirstTransactionDate AS VARCHAR) AS FirstTransactionDate, "
     "CAST(LastTransactionDate AS VARCHAR) AS LastTransactionDate, " + ", ".join(c.FEATURES)
@@ -298,6 +324,35 @@ _PREDICTION = (
     f"ELSE ['clear_with_reasons', {_filled(c.CLEAR_WITH_REASONS_TEXT)}] END"
 )
 
+_CELLS = " UNION ALL ".join(
+    f"SELECT Simulated_CustomerID, '{name}' AS feature, {name}::DOUBLE AS x FROM scored" for name in c.FEATURES
+)
+# The values at nine ranks of each feature.
+_LIMITS = f"""
+SELECT DISTINCT feature, k, x
+FROM (SELECT feature, x, row_number() OVER (PARTITION BY feature ORDER BY x) AS place, count(*) OVER (PARTITION BY feature) AS n
+      FROM ({_CELLS})), (SELECT unnest(range(1, 10)) AS k)
+WHERE place = greatest(1, ceil((k / 10)::DOUBLE * n))"""
+_REPORT = """SELECT * FROM classes
+           UNION ALL
+           SELECT 'accuracy', a, a, a, total
+           FROM (SELECT (n11 + n00)::DOUBLE / (n11 + n10 + n01 + n00) AS a, n11 + n10 + n01 + n00 AS total FROM confusion)
+           UNION ALL
+           SELECT 'macro avg', (z.precision + o.precision) / 2, (z.recall + o.recall) / 2,
+                  (z.f1_score + o.f1_score) / 2, z.support + o.support
+           FROM classes z, classes o WHERE z.class = '0' AND o.class = '1'
+           UNION ALL
+           SELECT 'weighted avg',
+                  (z.precision * z.support + o.precision * o.support) / (z.support + o.support),
+                  (z.recall * z.support + o.recall * o.support) / (z.support + o.support),
+                  (z.f1_score * z.support + o.f1_score * o.support) / (z.support + o.support),
+                  z.support + o.support
+           FROM classes z, classes o WHERE z.class = '0' AND o.class = '1'"""
+_AUC = (
+    "SELECT CAST(sum(ones * (2 * below + zeros)) AS DOUBLE) / (sum(ones)::DOUBLE * sum(zeros)::DOUBLE * 2) "
+    "AS roc_auc, CAST(sum(ones) AS BIGINT) AS ones, CAST(sum(zeros) AS BIGINT) AS zeros FROM by_score"
+)
+
 ORACLE_SQL: dict[str, str] = {
     "scan_retail": _sql(
         "retail",
@@ -305,6 +360,7 @@ ORACLE_SQL: dict[str, str] = {
         "CAST(CustomerID AS VARCHAR) AS CustomerID FROM retail",
     ),
     "scan_tickets": _sql("tickets", "SELECT * FROM tickets"),
+    "scan_tickets_split": _sql("tickets_long", "SELECT * FROM tickets_long"),
     "retail_clean": _sql(
         "clean",
         "SELECT InvoiceNo, Quantity, CAST(InvoiceDate AS VARCHAR) AS InvoiceDate, "
@@ -372,6 +428,7 @@ ORACLE_SQL: dict[str, str] = {
     "ticket_summary": _sql("linked_stats", "SELECT * FROM linked_stats"),
     "features": _sql("features", f"SELECT {_FEATURE_COLUMNS} FROM features"),
     "features_linked": _sql("features_linked", f"SELECT {_FEATURE_COLUMNS} FROM features_linked"),
+    "features_incremental": _sql("features_linked", f"SELECT {_FEATURE_COLUMNS} FROM features_linked"),
     "abuse_label": _sql(
         "labelled", "SELECT Simulated_CustomerID, rule_a, rule_b, rule_c, is_refund_abuser FROM labelled"
     ),
@@ -450,27 +507,9 @@ ORACLE_SQL: dict[str, str] = {
     "stratified_split": _sql("split", "SELECT Simulated_CustomerID, is_refund_abuser, is_test FROM split"),
     "class_report": _sql(
         ("confusion", "classes"),
-        """SELECT * FROM classes
-           UNION ALL
-           SELECT 'accuracy', a, a, a, total
-           FROM (SELECT (n11 + n00)::DOUBLE / (n11 + n10 + n01 + n00) AS a, n11 + n10 + n01 + n00 AS total FROM confusion)
-           UNION ALL
-           SELECT 'macro avg', (z.precision + o.precision) / 2, (z.recall + o.recall) / 2,
-                  (z.f1_score + o.f1_score) / 2, z.support + o.support
-           FROM classes z, classes o WHERE z.class = '0' AND o.class = '1'
-           UNION ALL
-           SELECT 'weighted avg',
-                  (z.precision * z.support + o.precision * o.support) / (z.support + o.support),
-                  (z.recall * z.support + o.recall * o.support) / (z.support + o.support),
-                  (z.f1_score * z.support + o.f1_score * o.support) / (z.support + o.support),
-                  z.support + o.support
-           FROM classes z, classes o WHERE z.class = '0' AND o.class = '1'""",
-    ),
-    "roc_auc": _sql(
-        "by_score",
-        "SELECT CAST(sum(ones * (2 * below + zeros)) AS DOUBLE) / (sum(ones)::DOUBLE * sum(zeros)::DOUBLE * 2) "
-        "AS roc_auc, CAST(sum(ones) AS BIGINT) AS ones, CAST(sum(zeros) AS BIGINT) AS zeros FROM by_score",
+        _REPORT,
     ),
+    "roc_auc": _sql("by_score", _AUC),
     "linear_shapley": _sql(
         "phi",
         "SELECT Simulated_CustomerID, feature, round(base, 8) + 0.0 AS base, round(phi, 8) + 0.0 AS phi FROM phi",
@@ -483,4 +522,26 @@ ORACLE_SQL: dict[str, str] = {
         "SELECT Simulated_CustomerID, feature, round(base, 8) + 0.0 AS base, round(phi, 8) + 0.0 AS phi FROM phi "
         "WHERE Simulated_CustomerID = (SELECT min(Simulated_CustomerID) FROM scored WHERE Predicted_Abuser = 1)",
     ),
+    "shapley_summary": _sql("phi", f"""
+        SELECT feature, CAST(rank_bin AS INTEGER) AS rank_bin, CAST(floor(round(phi, 8) / 0.05::DOUBLE) AS INTEGER) AS phi_bin,
+               count(*) AS customers
+        FROM (SELECT Simulated_CustomerID, feature, (SELECT count(*) FROM limits l WHERE l.feature = v.feature AND l.x < v.x) AS rank_bin
+              FROM cells v) JOIN phi USING (Simulated_CustomerID, feature)
+        GROUP BY ALL""".replace("FROM cells v", f"FROM ({_CELLS}) v").replace("FROM limits l", f"FROM ({_LIMITS}) l")),
+    "sampled_facts": _sql(
+        "scored", "SELECT Simulated_CustomerID, 1 AS same_base, 1 AS near_exact, 1 AS errors_small, 1 AS others_zero FROM scored"
+    ),
+    "gbt_scored": _tree_sql(
+        "SELECT Simulated_CustomerID, is_refund_abuser, round(Predicted_Probability, 8) AS Predicted_Probability, "
+        "Predicted_Abuser FROM tested"
+    ),
+    "gbt_report": _tree_sql(_report("tested")),
+    "gbt_auc": _tree_sql(_auc("tested")),
+    "gbt_shapley": _tree_sql(
+        f"SELECT id AS Simulated_CustomerID, {FEATURE_NAMES} AS feature, value, round(base, 8) + 0.0 AS base, "
+        "round(phi, 8) + 0.0 AS phi FROM tree_phi"
+    ),
+    "gbt_shapley_global": _tree_sql(
+        f"SELECT {FEATURE_NAMES} AS feature, round(avg(abs(phi)), 8) + 0.0 AS importance FROM tree_phi GROUP BY feature"
+    ),
 }

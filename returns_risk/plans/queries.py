@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from returns_risk import constants as c
-from returns_risk.operators import clean, evaluate, features, link, rules, scoring, shapley
+from returns_risk.operators import boosting, clean, evaluate, features, link, rules, scoring, shapley
+from returns_risk.operators.sampled_shapley import sampled_shapley
+from returns_risk.operators.state import add_batch, state_features
 from returns_risk.operators.text_features import score_text
+from returns_risk.operators.tree_patterns import explain_trees
 from returns_risk.operators.tree_shapley import tree_shapley
 from returns_risk.plans.compose import build_features, numbered_summary, score_new as score_new_tables
 from returns_risk.sources import csv, tables
@@ -76,6 +79,17 @@ def scan_tickets(spark: SparkSession, folder: str) -> DataFrame:
     return csv.read_tickets(spark, path)
 
 
+def scan_tickets_split(spark: SparkSession, folder: str) -> DataFrame:
+    """Tickets with whole documents, line breaks and quotes included, as one CSV file that many tasks may read."""
+    path = new_path(spark, "tickets_long_csv")
+    renamed = tables.support_tickets(spark, folder, long_text=True).withColumnsRenamed(
+        {new: old for old, new in c.TICKET_COLUMNS.items()}
+    )
+    options = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    renamed.coalesce(1).write.options(**options).csv(path)
+    return csv.read_tickets(spark, path, split=True)
+
+
 # --- cleaning ---------------------------------------------------------------------------------
 
 def retail_clean(spark: SparkSession, folder: str) -> DataFrame:
@@ -230,6 +244,15 @@ def feature_rows_linked(spark: SparkSession, folder: str) -> DataFrame:
     return _mean_to_six(_text_dates(linked))
 
 
+def features_incremental(spark: SparkSession, folder: str) -> DataFrame:
+    """Feature rows from a stored state that two batches were added to, the second of them twice."""
+    state, retail, tickets = new_path(spark, "state"), tables.retail_lines(spark, folder), tables.support_tickets(spark, folder)
+    for name, rest in (("first", 0), ("second", 1), ("second", 1)):
+        later = f"% 2 = {rest}"
+        add_batch(state, name, retail.where(f"crc32(binary(InvoiceNo)) {later}"), tickets.where(f"TicketID {later}"))
+    return _mean_to_six(_text_dates(state_features(spark, state, tables.account_links(spark, folder))))
+
+
 # --- label, score, flags ----------------------------------------------------------------------
 
 def abuse_label(spark: SparkSession, folder: str) -> DataFrame:
@@ -366,27 +389,61 @@ def shapley_one(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(shapley.by_feature(explained).drop("value"), "base", "phi")
 
 
+def shapley_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers by feature, tenth of the feature's value and bin of the attribution."""
+    return shapley.attribution_summary(_explained(spark, folder))
+
+
+def sampled_facts(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold for the sampled attribution of every customer: close to the exact one, within its own errors.
+
+    The scorer is the linear one, passed as a function; a customer draws until its errors are at most 0.02.
+    """
+    frame = _stored_scores(spark, folder)
+    background = write_once(shapley.background_sample(frame), "background")
+    sampled = sampled_shapley(frame, background, scoring.linear_score, tuple(c.SCORE_WEIGHTS), error=0.02)
+    exact = shapley.linear_shapley(frame, background).selectExpr(c.CUSTOMER, "base AS exact_base", "phi AS exact")
+    places = ", ".join(str(c.FEATURES.index(name)) for name in c.SCORE_WEIGHTS)
+    near = "abs(phi[k] - exact[k]) <= 6 * phi_error[k] + 0.02"
+    return sampled.join(exact, c.CUSTOMER).selectExpr(
+        c.CUSTOMER, "int(abs(base - exact_base) < 1e-9) AS same_base",
+        f"int(forall(array({places}), k -> {near})) AS near_exact",
+        "int(forall(phi_error, e -> e <= 0.02) OR pairs = 512) AS errors_small",
+        "int(size(filter(phi, v -> v <> 0)) <= 3) AS others_zero",
+    )
+
+
 # --- boosted trees ----------------------------------------------------------------------------
 
-def _trained(spark: SparkSession, folder: str):
-    split = write_once(evaluate.stratified_split(_stored_scores(spark, folder)), "split")
-    split = split.drop(c.PROBABILITY, c.PREDICTION)
-    return split, scoring.train_gbt(split.where("NOT is_test"))
+def _split(spark: SparkSession, folder: str) -> DataFrame:
+    split = write_once(evaluate.stratified_split(_mean_to_six(_stored_scores(spark, folder))), "split")
+    return split.drop(c.PROBABILITY, c.PREDICTION)
 
 
-def gbt_scored(spark: SparkSession, folder: str) -> DataFrame:
-    """Probability and class of the test rows, by a model that was saved and loaded."""
-    split, model = _trained(spark, folder)
+def _boosted(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The test rows, and a model of few small trees trained on the others, saved and loaded."""
+    split = _split(spark, folder)
+    model = boosting.train_trees(split.where("NOT is_test"), rounds=c.TREE_ROUNDS, leaves=c.TREE_LEAVES)
     path = new_path(spark, "model")
-    scoring.save_model(model, path)
-    return scoring.score_gbt(split.where("is_test"), scoring.load_model(path)).select(
+    boosting.save_trees(model, path)
+    return split.where("is_test"), boosting.load_trees(spark, path)
+
+
+def _tested(spark: SparkSession, folder: str) -> DataFrame:
+    return boosting.score_trees(*_boosted(spark, folder))
+
+
+def gbt_scored(spark: SparkSession, folder: str) -> DataFrame:
+    """Probability and class of the test rows."""
+    return _rounded(_tested(spark, folder), c.PROBABILITY).select(
         c.CUSTOMER, c.LABEL, c.PROBABILITY, c.PREDICTION
     )
 
 
 def gbt_facts(spark: SparkSession, folder: str) -> DataFrame:
-    """What must hold for every test customer, whatever trees were trained."""
-    split, model = _trained(spark, folder)
+    """What must hold for every test customer, whatever trees Spark's own classifier has trained."""
+    split = _split(spark, folder)
+    model = scoring.train_gbt(split.where("NOT is_test"))
     path = new_path(spark, "model")
     scoring.save_model(model, path)
     explained = tree_shapley(scoring.score_gbt(split.where("is_test"), model), model)
@@ -404,29 +461,26 @@ def gbt_facts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def gbt_report(spark: SparkSession, folder: str) -> DataFrame:
-    split, model = _trained(spark, folder)
-    return evaluate.classification_report(scoring.score_gbt(split.where("is_test"), model))
+    return evaluate.classification_report(_tested(spark, folder))
 
 
 def gbt_auc(spark: SparkSession, folder: str) -> DataFrame:
-    split, model = _trained(spark, folder)
-    return evaluate.roc_auc(scoring.score_gbt(split.where("is_test"), model))
+    return evaluate.roc_auc(_tested(spark, folder))
 
 
 def gbt_shapley(spark: SparkSession, folder: str) -> DataFrame:
     """Attribution of the trees, in log-odds, per test customer and feature."""
-    split, model = _trained(spark, folder)
-    return shapley.by_feature(tree_shapley(split.where("is_test"), model))
+    return _rounded(shapley.by_feature(explain_trees(*_boosted(spark, folder))), "base", "phi")
 
 
 def gbt_shapley_global(spark: SparkSession, folder: str) -> DataFrame:
-    split, model = _trained(spark, folder)
-    return shapley.global_importance(tree_shapley(split.where("is_test"), model))
+    return _rounded(shapley.global_importance(explain_trees(*_boosted(spark, folder))), "importance")
 
 
 QUERIES = {
     "scan_retail": scan_retail,
     "scan_tickets": scan_tickets,
+    "scan_tickets_split": scan_tickets_split,
     "retail_clean": retail_clean,
     "retail_flags": retail_flags,
     "date_parse_variants": date_parse_variants,
@@ -447,6 +501,7 @@ QUERIES = {
     "ticket_summary": ticket_summary,
     "features": feature_rows,
     "features_linked": feature_rows_linked,
+    "features_incremental": features_incremental,
     "abuse_label": abuse_label,
     "label_totals": label_totals,
     "label_dist": label_dist,
@@ -466,6 +521,8 @@ QUERIES = {
     "linear_shapley": linear_shapley,
     "shapley_global": shapley_global,
     "shapley_one": shapley_one,
+    "shapley_summary": shapley_summary,
+    "sampled_facts": sampled_facts,
     "gbt_scored": gbt_scored,
     "gbt_facts": gbt_facts,
     "gbt_report": gbt_report,

@@ -7,6 +7,7 @@ from pyspark.sql.types import DataType, DecimalType
 
 from returns_risk.constants import MISSING_CELLS, TICKET_COLUMNS
 from returns_risk.functions.numeric import sql_text
+from returns_risk.sources.split_csv import read_split_csv
 
 # Wide enough that prices of a CSV file keep all their decimals.
 PRICE = DecimalType(18, 6)
@@ -67,12 +68,14 @@ def read_tickets(
     path: str | list[str],
     encoding: str = "UTF-8",
     multiline: bool = True,
+    split: bool = False,
 ) -> DataFrame:
     """Support tickets under space-free names, purchase dates still as text.
 
-    Ticket texts may hold line breaks, so by default each file is read by one task.
+    Ticket texts may hold line breaks, so by default each file is read by one task. ``split`` reads large files by many
+    tasks all the same, in two passes, the first at once: see :mod:`split_csv`.
     """
-    raw = read_text_columns(spark, path, encoding, multiline)
+    raw = read_split_csv(spark, path, encoding) if split else read_text_columns(spark, path, encoding, multiline)
     cells = {old: _present(old) for old in TICKET_COLUMNS}
     cells["Ticket ID"] = _whole_number("Ticket ID", "bigint")
     return raw.selectExpr(*[f"{cells[old]} AS {new}" for old, new in TICKET_COLUMNS.items()])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +30,69 @@ def remove_tables(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _file_system(spark: SparkSession, path: str):
+    """Hadoop's path, and the file system that it lies in."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    found, files = _file_system(spark, path)
+    return files.exists(found)
+
+
+def remove_table(spark: SparkSession, path: str) -> None:
+    """Deletes one table. Call it when no result is read from it any more."""
+    found, files = _file_system(spark, path)
+    files.delete(found, True)
+
+
+def write_version(df: DataFrame, path: str, keep: int = 2) -> None:
+    """Writes ``df`` as a new version in the folder ``path``; the newest ``keep`` versions stay.
+
+    A version counts once its ``_SUCCESS`` file is there, which Spark writes last: a crash in between leaves the version
+    before it in force. Versions are ordered by the time of writing; two writers at once are not told apart.
+    """
+    df.write.parquet(folder := open_version(df.sparkSession, path))
+    _keep_newest(df.sparkSession, folder, keep)
+
+
+def open_version(spark: SparkSession, path: str) -> str:
+    """The name of a new version's folder. It counts once it is written as a table, or given to ``publish_version``."""
+    older = _versions(spark, path)
+    last = int(older[-1].rsplit("/v-", 1)[1].split("-")[0]) if older else 0
+    return f"{path.rstrip('/')}/v-{max(time.time_ns() // 1_000_000, last + 1):015d}-{uuid.uuid4().hex}"
+
+
+def publish_version(spark: SparkSession, folder: str, keep: int = 2) -> None:
+    """Makes a folder of several tables, all written, the newest version."""
+    found, files = _file_system(spark, f"{folder}/_SUCCESS")
+    files.create(found, True).close()
+    _keep_newest(spark, folder, keep)
+
+
+def _keep_newest(spark: SparkSession, folder: str, keep: int) -> None:
+    for old in _versions(spark, folder.rsplit("/", 1)[0])[:-keep]:
+        remove_table(spark, old)
+
+
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    """The complete versions in a folder, oldest first."""
+    folder, files = _file_system(spark, path)
+    if not files.exists(folder):
+        return []
+    found = [status.getPath() for status in files.listStatus(folder) if status.getPath().getName().startswith("v-")]
+    done = [p for p in found if files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted((p.toString() for p in done), key=lambda name: name.rsplit("/", 1)[1])
+
+
+def newest_version(spark: SparkSession, path: str) -> str:
+    """The folder of the newest complete version."""
+    if not (versions := _versions(spark, path)):
+        raise FileNotFoundError(f"No complete version in {path}")
+    return versions[-1]
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 

@@ -38,8 +38,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def retail_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines meet their orders by shuffle on the order number, whatever the size: orders grow with lines, so a broadcast
+    would not last, and all that follows runs in as many tasks as the shuffle has, even if the lines are one file."""
     lines = table(spark, folder, "lineitem")
-    orders = table(spark, folder, "orders")
+    orders = table(spark, folder, "orders").hint("merge")
     parts = table(spark, folder, "part")
     returned = """CASE WHEN o_custkey % 50 = 3 THEN true
                        WHEN o_custkey % 4 = 0 THEN false

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 from itertools import combinations
 from math import factorial
@@ -8,6 +9,7 @@ import pytest
 
 from returns_risk import constants as c
 from returns_risk.operators import evaluate, scoring, shapley
+from returns_risk.operators.sampled_shapley import sampled_shapley
 from returns_risk.operators.tree_shapley import batch_explainer, leaves_of_tree, tree_shapley
 from returns_risk.sources.store import write_once
 
@@ -108,6 +110,77 @@ def test_linear_shapley_by_definition(spark):
     assert top.importance == pytest.approx(means.max()) and top.feature == c.FEATURES[int(means.argmax())]
 
 
+def test_clipped_means_at_every_place(spark):
+    """Also where the score is clipped on either side, for other weights, and with one background row."""
+    weights = {"RefundRate_by_Items": 1.3, "Tickets_TypeRefundRequest": -0.6, "TotalUniqueOrders": 0.2, "MinTicketSentimentScore": -0.5}
+    frame = random_features(spark, 12, 4)
+    for size in (1, 2, 9):
+        background = shapley.background_sample(frame, size)
+        others = [r.asDict() for r in background.collect()]
+        for row in shapley.linear_shapley(frame, background, weights).collect():
+            def value(known):
+                rows = ({**other, **{name: row[name] for name in known}} for other in others)
+                return sum(min(0.95, max(0.05, sum(r[n] * w for n, w in weights.items()))) for r in rows) / len(others)
+
+            expected = exact_phi(value, list(weights))
+            assert dict(zip(c.FEATURES, row.phi)) == pytest.approx({n: expected.get(n, 0.0) for n in c.FEATURES}, abs=1e-12)
+    with pytest.raises(ValueError, match="sampled_shapley"):
+        shapley.linear_shapley(frame, frame, dict.fromkeys(c.FEATURES, 0.1))
+
+
+def test_sampled_values_come_near_the_exact_ones(spark):
+    frame = write_once(random_features(spark, 30), "frame")
+    background = write_once(shapley.background_sample(frame, 8), "background")
+    names = ("RefundRate_by_Items", "MinTicketSentimentScore", "Tickets_TypeRefundRequest", "TotalPurchaseValue")
+    exact = {r[0]: r.phi for r in shapley.linear_shapley(frame, background).collect()}
+    seen = {}
+    for error in (0.05, 0.01):
+        got = sampled_shapley(frame, background, scoring.linear_score, names, error=error, most_pairs=256).collect()
+        assert len(got) == 30
+        for row in got:
+            for phi, spread, expected in zip(row.phi, row.phi_error, exact[row[0]]):
+                assert spread <= error or row.pairs == 256
+                assert abs(phi - expected) <= 6 * spread + error
+            assert row.phi[c.FEATURES.index("TotalPurchaseValue")] == 0
+        seen[error] = sum(row.pairs for row in got)
+    assert seen[0.01] > seen[0.05] >= 30 * 8
+
+
+def test_a_scorer_of_any_kind_is_explained(spark):
+    """A pandas function of all seventeen features, additive: every draw is then exact but for the background row."""
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    @F.pandas_udf("double")
+    def total(values: pd.DataFrame) -> pd.Series:
+        return (values * np.arange(1, 18) / 1000).sum(axis=1)
+
+    def scorer(df):
+        return df.withColumn(c.PROBABILITY, total(F.struct(*[F.col(n).cast("double") for n in c.FEATURES])))
+
+    frame = write_once(random_features(spark, 6), "frame")
+    background = frame.limit(1)
+    other = background.first()
+    for row in sampled_shapley(frame, background, scorer).collect():
+        expected = [(row[n] - other[n]) * k / 1000 for k, n in enumerate(c.FEATURES, 1)]
+        assert row.phi == pytest.approx(expected, abs=1e-9) and max(row.phi_error) < 1e-6 and row.pairs == 8
+        assert row.base + sum(row.phi) == pytest.approx(sum(row[n] * k / 1000 for k, n in enumerate(c.FEATURES, 1)))
+
+
+def test_summary_of_attributions(spark):
+    frame = random_features(spark, 200)
+    explained = shapley.linear_shapley(frame, shapley.background_sample(frame, 10))
+    got = {tuple(r)[:3]: r.customers for r in shapley.attribution_summary(explained, 4, 0.02).collect()}
+    rows, expected = explained.collect(), {}
+    for k, name in enumerate(c.FEATURES):
+        values = sorted(r[name] for r in rows)
+        limits = [values[math.ceil(q / 4 * 200) - 1] for q in (1, 2, 3)]
+        for r in rows:
+            key = name, sum(limit < r[name] for limit in limits), math.floor(round(r.phi[k], 8) / 0.02)
+            expected[key] = expected.get(key, 0) + 1
+    assert got == expected
+
+
 def test_tree_leaves_by_definition():
     def split(feature, threshold, left, right, rows):
         return {"feature": feature, "threshold": threshold, "left": left, "right": right, "rows": rows, "prediction": 0.0}

@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -49,6 +50,20 @@ def test_overlapping_and_repeated_terms_are_counted_one_by_one(spark):
         assert df.selectExpr(f"{keyword_count('t', terms)} AS n").first().n == brute(text, terms)
 
 
+def test_random_lists_are_counted_as_one_search_per_term(spark):
+    """Overlaps, prefixes, repeated terms, terms that overlap with themselves, marks at either end."""
+    rng = random.Random(6)
+    words = ["a", "b", "a b", "b a", "a b a", "aa", "a b c", "b c", "c", "c++", ".net", "+b", "a+b", "a-a", "a a", "b c a"]
+    texts = ["".join(rng.choice(["a", "b", "c", "aa", "c++", ".net", " ", " ", " ", "-", "+"]) for _ in range(60)) for _ in range(80)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for _ in range(12):
+        lists = {name: rng.choices(words, k=rng.randint(1, 6)) for name in "xyz"}
+        counted = with_keyword_counts(df, "t", lists).selectExpr("*", f"{keyword_count('t', lists['x'])} AS alone")
+        for row in counted.collect():
+            assert [row[name] for name in "xyz"] == [brute(row.t, terms) for terms in lists.values()], (row.t, lists)
+            assert row.alone == row.x
+
+
 def test_pattern_of_terms_with_other_edges(spark):
     text = "c++ and c++x and .net net"
     df = spark.createDataFrame([(text,)], "t string")
