@@ -15,14 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from returns_risk.llm.common import documents, per_batch, row_id
-from returns_risk.sources.store import new_path, write_once
+from returns_risk.sources.store import exists, new_path, write_once
 
 LIMIT = 4096
 #: Keys that are sent to every executor (about 100 bytes each). Texts move only if there are more of both kinds: of
 #: those to encode, and of those to leave out.
 MOST_SENT = 500_000
 CACHE = "version string, digest binary, n_tokens bigint"
-_loaded: dict[str, object] = {}
+_loaded: dict[tuple[str, str], object] = {}
 
 
 def tokenizer_version(path: str) -> str:
@@ -30,23 +30,30 @@ def tokenizer_version(path: str) -> str:
     return f"{Path(path).suffix[1:]}-plain-{hashlib.sha256(Path(path).read_bytes()).hexdigest()[:32]}"
 
 
-def lengths(path: str, texts: list[str]) -> list[int]:
-    """Tokens of each text: no begin, end or added special tokens, whole texts. Loads the file once per worker."""
-    if path not in _loaded:
+def lengths(path: str, version: str, texts: list[str]) -> list[int]:
+    """Tokens of each text: no begin, end or added special tokens, whole texts.
+
+    Loads the file once per worker and version, and only if it is the version that the counts are stored under.
+    """
+    if (path, version) not in _loaded:
+        if (found := tokenizer_version(path)) != version:
+            raise ValueError(f"{path} is {found} on this machine, not {version}")
+        _loaded.clear()
         if path.endswith(".model"):
             import sentencepiece
 
-            _loaded[path] = sentencepiece.SentencePieceProcessor(model_file=path)
+            _loaded[path, version] = sentencepiece.SentencePieceProcessor(model_file=path)
         else:
             from tokenizers import Tokenizer
 
             tokenizer = Tokenizer.from_file(path)
             tokenizer.no_padding()
             tokenizer.no_truncation()
-            _loaded[path] = tokenizer
+            _loaded[path, version] = tokenizer
+    encoder = _loaded[path, version]
     if path.endswith(".model"):
-        return [len(_loaded[path].encode(text, num_threads=1)) for text in texts]
-    return [len(_loaded[path].encode(text, add_special_tokens=False)) for text in texts]
+        return [len(encoder.encode(text, num_threads=1)) for text in texts]
+    return [len(encoder.encode(text, add_special_tokens=False)) for text in texts]
 
 
 def count_tokens(
@@ -55,7 +62,8 @@ def count_tokens(
     """Per row: doc_id, n_bytes, n_tokens, over_limit; other columns are left out.
 
     ``cache`` is a folder that all executors share; it is made if it isn't there. Null counts as the empty text. Rows
-    without an id and repeated rows are counted like others. ``tokenizer`` must lie at the same path on every machine.
+    without an id and repeated rows are counted like others. ``tokenizer`` must lie at the same path on every machine;
+    a worker that finds another file there raises. Texts of any length are encoded as a whole.
     """
     spark, version = docs.sparkSession, tokenizer_version(tokenizer)
     rows = docs.selectExpr(
@@ -63,7 +71,9 @@ def count_tokens(
     ).selectExpr("*", "unhex(sha2(text, 256)) AS digest")
     thin = write_once(rows.selectExpr("doc_id", "rid", "cast(octet_length(text) AS bigint) AS n_bytes", "digest"), "token-keys")
 
-    spark.createDataFrame([], CACHE).write.mode("append").parquet(cache)
+    if not exists(spark, cache):
+        spark.createDataFrame([], CACHE).write.mode("append").parquet(cache)
+    asked = thin.select("digest").distinct()
     known = spark.read.schema(CACHE).parquet(cache).where(F.col("version") == version).select("digest")
     misses = thin.groupBy("digest").agg(F.min("rid").alias("rid")).join(known, "digest", "left_anti")
     misses = write_once(misses, "token-misses")
@@ -77,12 +87,13 @@ def count_tokens(
         texts = texts.join(misses.hint("shuffle_hash"), ["rid", "digest"])
     counted = per_batch(
         texts.select("digest", "text"),
-        lambda digests, texts: {"digest": digests, "n_tokens": lengths(tokenizer, texts)},
+        lambda digests, texts: {"digest": digests, "n_tokens": lengths(tokenizer, version, texts)},
         "digest binary, n_tokens bigint",
     ).dropDuplicates(["digest"])  # repeated rows with one id and one text
-    counted.select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache)
+    if misses.limit(1).count():
+        counted.select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache)
 
-    stored = spark.read.schema(CACHE).parquet(cache).where(F.col("version") == version)
+    stored = spark.read.schema(CACHE).parquet(cache).where(F.col("version") == version).join(asked, "digest", "left_semi")
     stored = write_once(stored.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "token-counts")
     return thin.join(stored, "digest").selectExpr("doc_id", "n_bytes", "n_tokens", f"n_tokens > {limit} AS over_limit")
 
