@@ -4,7 +4,9 @@ The words of each source, document after document in a pseudorandom order, are p
 targets in words give the number of slots of each source. Every output shard draws its source counts from a multinomial
 distribution over the slots that are left, so each shard is random and all together meet the targets. A source's slots
 are numbered through; slot j takes block j modulo the number of blocks, mapped by a pseudorandom permutation of the
-block numbers (a keyed Feistel network, another key each time round). Slots and blocks are joined by number.
+block numbers (a keyed Feistel network, another key each time round). Slots and blocks are joined by number. A source's
+last slot takes only the first words of its block, as many as the target leaves over, so that sources smaller than a
+block also get their share.
 """
 
 from __future__ import annotations
@@ -89,7 +91,7 @@ def _block_of(slot: pd.Series, blocks: pd.Series, source: pd.Series) -> pd.Serie
 
 
 def _plan(sized: DataFrame, weights: tuple, most_times: int, block: int, shards: int) -> tuple[DataFrame, DataFrame]:
-    """The sources (source, sid, source_size, target), and the slots (sid, shard, slot, block)."""
+    """The sources (source, sid, source_size, target), and the slots (sid, shard, slot, block, words)."""
     spark = sized.sparkSession
     rows = sized.groupBy("source").agg(F.sum("size").alias("n")).limit(MOST_SOURCES + 1).collect()
     if len(rows) > MOST_SOURCES:
@@ -98,7 +100,8 @@ def _plan(sized: DataFrame, weights: tuple, most_times: int, block: int, shards:
     sizes = [r.n for r in rows]
     wanted = targets(sizes, weights, most_times)
     blocks = [-(-n // block) for n in sizes]
-    slots = [round(w * b / n) if n else 0 for w, b, n in zip(wanted, blocks, sizes, strict=True)]
+    exact = [w * b / n if n else Fraction(0) for w, b, n in zip(wanted, blocks, sizes, strict=True)]
+    slots = [-(-e.numerator // e.denominator) for e in exact]
     sources = spark.createDataFrame(
         [(r.source, k, r.n, float(w)) for k, (r, w) in enumerate(zip(rows, wanted, strict=True))],
         "source string, sid int, source_size bigint, target double",
@@ -106,16 +109,24 @@ def _plan(sized: DataFrame, weights: tuple, most_times: int, block: int, shards:
     drawn = draws(slots, shards)
     first = drawn.cumsum(axis=0) - drawn
     drawn = [
-        (sid, shard, int(first[shard, sid]), int(drawn[shard, sid]), blocks[sid])
+        (sid, shard, int(first[shard, sid]), int(drawn[shard, sid]), blocks[sid], sizes[sid], slots[sid], float(exact[sid] - slots[sid] + 1))
         for shard, sid in zip(*np.nonzero(drawn), strict=True)
     ]
-    drawn = [(int(a), int(b), c, d, e) for a, b, c, d, e in drawn]
-    drawn = spark.createDataFrame(drawn, "sid int, shard int, first bigint, n bigint, blocks bigint")
+    drawn = [(int(a), int(b), *more) for a, b, *more in drawn]
+    drawn = spark.createDataFrame(
+        drawn, "sid int, shard int, first bigint, n bigint, blocks bigint, source_size bigint, slots bigint, last double"
+    )
     chunks = drawn.selectExpr("*", f"explode(sequence(0L, n - 1, {CHUNK}L)) AS start")
     chunks = chunks.repartition(max(1, -(-sum(slots) // TASK)), "sid", "shard", "start")
     last = f"least(start + {CHUNK}, n) - 1"
-    slots = chunks.selectExpr("sid", "shard", "blocks", f"explode(sequence(first + start, first + {last})) AS slot")
-    return sources, slots.select("sid", "shard", "slot", _block_of("slot", "blocks", "sid").alias("block"))
+    slots = chunks.selectExpr(
+        "sid", "shard", "blocks", "source_size", "slots", "last", f"explode(sequence(first + start, first + {last})) AS slot"
+    ).withColumn("block", _block_of("slot", "blocks", "sid"))
+    words = f"least({block}, source_size - block * {block})"
+    return sources, slots.selectExpr(
+        "sid", "shard", "slot", "block", f"if(slot < slots - 1, {words}, cast(floor(last * ({words}) + 0.5D) AS bigint)) AS words",
+        "slot = slots - 1 AS cut",
+    )
 
 
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
@@ -151,10 +162,12 @@ def mix(
     sized = _sized(docs, id_col, text_col, source_col)
     sources, slots = _plan(sized, weights, most_times, block, shards)
     placed = write_once(_placed(sized, sources), "mix-placed")
-    times = slots.groupBy("sid", "block").agg(F.count("*").alias("times"))
+    # At most one slot of a source is cut.
+    times = slots.groupBy("sid", "block").agg(F.expr("count_if(NOT cut) AS times"), F.expr("coalesce(max(if(cut, words, 0L)), 0L) AS some"))
     pieces = placed.where("size > 0").selectExpr("sid", "at", "size", f"explode(sequence(at div {block}, (at + size - 1) div {block})) AS block")
-    words = f"least(at + size, (block + 1) * {block}) - greatest(at, block * {block})"
-    taken = pieces.join(times, ["sid", "block"]).groupBy("sid", "at").agg(F.expr(f"sum(({words}) * times)").alias("taken"))
+    start, end = f"greatest(at, block * {block})", f"least(at + size, (block + 1) * {block})"
+    words = f"({end} - {start}) * times + greatest(least({end}, block * {block} + some) - {start}, 0L)"
+    taken = pieces.join(times, ["sid", "block"]).groupBy("sid", "at").agg(F.expr(f"sum({words})").alias("taken"))
     out = placed.join(taken.withColumn("any", F.lit(True)), F.expr("any = (size > 0)") & (placed.sid == taken.sid) & (placed["at"] == taken["at"]), "left")
     return out.select("doc_id", "source", "size", "source_size", "target", F.expr("coalesce(taken, 0L)").alias("taken"))
 
@@ -163,7 +176,7 @@ def mixed_blocks(
     docs: DataFrame, weights: tuple = WEIGHTS, most_times: int = MOST_TIMES, block: int = BLOCK, shards: int = SHARDS,
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
 ) -> DataFrame:
-    """The mix itself: shard, slot, source, block, words (an array of at most ``block``). Arguments as for ``mix``."""
+    """The mix itself: shard, slot, source, block, words (an array of 1 to ``block``). Arguments as for ``mix``."""
     sized = _sized(docs, id_col, text_col, source_col)
     sources, slots = _plan(sized, weights, most_times, block, shards)
     texts = docs.selectExpr(f"{row_id(id_col, text_col)} AS rid", f"{source_col} AS source", f"{WORDS.format(text_col)} AS words")
@@ -179,7 +192,8 @@ def mixed_blocks(
         f"slice(words, cast({start} + 1 AS int), cast(least(size(words), (block + 1) * {block} - at) - ({start}) AS int)) AS words",
     )
     packed = rows.groupBy("sid", "source", "block").agg(F.expr("flatten(transform(array_sort(collect_list(struct(at, words))), p -> p.words)) AS words"))
-    return slots.join(packed, ["sid", "block"]).select("shard", "slot", "source", "block", "words")
+    slots = slots.where("words > 0").withColumnRenamed("words", "most")
+    return slots.join(packed, ["sid", "block"]).selectExpr("shard", "slot", "source", "block", "slice(words, 1, int(most)) AS words")
 
 
 def op4_mixing_sources(spark: SparkSession, folder: str) -> DataFrame:
