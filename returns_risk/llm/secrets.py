@@ -2,12 +2,14 @@
 
 Rules find assignments to telling names, access keys and long hex numbers. Every other run of 16 or more key characters
 that holds a digit is a candidate. A convolutional network in numpy reads it with the characters around it; long
-candidates are read in overlapping windows, of which the highest counts. It is trained on labelled findings: what the
-rules find in ``SAMPLE`` documents (secret), and ``MADE`` findings of each label in well-known formats, set into contexts
-from those documents. The candidates that the rules leave have no label, so they are not trained on. A third of the
-findings is held back: half of it fits the calibration (a logistic curve over the network's output), the other half sets
-the threshold, the highest that keeps ``RECALL`` of the secrets of every format. The share of held-back harmless findings
-that reach it is kept beside it.
+candidates are read in overlapping windows, of which the highest counts, in calibration and threshold as in scanning.
+It is trained on labelled findings: the access keys and hex numbers that the rules find in ``SAMPLE`` documents (secret;
+``FINDINGS`` of each kind at most, by hash, and ``LONGEST`` characters of each), and ``MADE`` findings of each label in
+well-known formats, set into contexts from those documents. Assignments are left out: a value need not look like a key.
+The candidates that the rules leave have no label, so they are not trained on. A third of the findings is held back: half
+of it fits the calibration (a logistic curve over the network's output), the other half sets the threshold, the highest
+that keeps ``RECALL`` of the secrets of every format. The share of held-back harmless findings that reach it is kept
+beside it.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from returns_risk.llm.common import documents, per_batch, row_id
@@ -36,6 +38,7 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{16,}")
 DIGIT = re.compile(r"[0-9]")
 
 SAMPLE, MADE, RECALL, SEED = 4000, 2400, 0.98, 7
+FINDINGS, LONGEST = 4000, 1024
 LEFT, BODY, RIGHT, STRIDE = 24, 64, 8, 48
 LENGTH, WIDTH, FILTERS, HIDDEN = LEFT + BODY + RIGHT, 5, 32, 16
 ALPHABET = 97  # printable ASCII, other, none; the candidate's own characters have numbers of their own
@@ -151,13 +154,17 @@ class Network:
             a, b = np.array([a, b]) - np.linalg.solve(curve, grad)
         self.curve = (float(a), float(b))
 
-    def scores(self, found: list[list[np.ndarray]]) -> np.ndarray:
-        """Calibrated probability of each candidate, given as its windows."""
+    def highest(self, found: list[list[np.ndarray]]) -> np.ndarray:
+        """The highest output over the windows of each candidate."""
         if not found:
             return np.empty(0)
-        raw = self.raw(np.array([row for rows in found for row in rows]))
+        raw = self.raw(np.array([row for rows in found for row in rows])).astype(np.float64)
         starts = np.cumsum([0, *(len(rows) for rows in found)])[:-1]
-        return self.probability(np.maximum.reduceat(raw, starts))
+        return np.maximum.reduceat(raw, starts)
+
+    def scores(self, found: list[list[np.ndarray]]) -> np.ndarray:
+        """Calibrated probability of each candidate, given as its windows."""
+        return self.probability(self.highest(found))
 
 
 def made_findings(contexts: list[str], rng: np.random.Generator, n: int) -> list[tuple[str, int, int, str]]:
@@ -197,8 +204,11 @@ def made_findings(contexts: list[str], rng: np.random.Generator, n: int) -> list
     return out
 
 
-def sample_findings(docs: DataFrame, bound: int = SAMPLE) -> list[tuple[str, int, int, str]]:
-    """Findings (cut-out, start, end, format) in the ``bound`` documents with the smallest hashes; equal rows are one."""
+def sample_findings(docs: DataFrame, bound: int = SAMPLE, most: int = FINDINGS) -> list[tuple[str, int, int, str]]:
+    """Findings (cut-out, start, end, format) in the ``bound`` documents with the smallest hashes; equal rows are one.
+
+    Of each format the ``most`` findings with the smallest hashes, however many a document holds.
+    """
     hashed = docs.selectExpr("rid", "text", "xxhash64(rid, text, 17) AS h")
     last = hashed.select("h").distinct().orderBy("h").limit(bound).agg(F.max("h")).first()[0]
     if last is None:
@@ -209,13 +219,17 @@ def sample_findings(docs: DataFrame, bound: int = SAMPLE) -> list[tuple[str, int
         for text in texts:
             found = [(s, e, f"1{KINDS[k]}") for s, k, e in rule_spans(text or "") if k]
             for s, e, name in [*found, (0, 0, "-context")]:
-                first = max(0, s - LEFT)
+                first, e = max(0, s - LEFT), min(e, s + LONGEST)
                 for key, value in zip(out, (text[first : e + RIGHT + LEFT] if text else "", s - first, e - first, name), strict=True):
                     out[key].append(value)
         return out
 
     rows = per_batch(hashed.where(F.col("h") <= last).select("rid", "text").distinct(), find, "cut string, start int, `end` int, format string")
-    return sorted(tuple(r) for r in rows.collect())  # a few findings for each of ``bound`` documents
+    rank = Window.partitionBy("format").orderBy(F.xxhash64("cut", "start", "end"), "cut", "start")
+    few = rows.where("format = '-context'").unionByName(
+        rows.where("format <> '-context'").withColumn("rank", F.row_number().over(rank)).where(f"rank <= {most}").drop("rank")
+    )
+    return sorted(tuple(r) for r in few.collect())  # at most ``bound`` contexts, and ``most`` findings of each kind
 
 
 def trained(docs: DataFrame, bound: int = SAMPLE) -> Network:
@@ -224,13 +238,13 @@ def trained(docs: DataFrame, bound: int = SAMPLE) -> Network:
     contexts = [cut for cut, _, _, name in found if name == "-context" and cut]
     rng = np.random.default_rng(SEED)
     found = [f for f in found if f[3] != "-context"] + made_findings(contexts, rng, MADE)
-    rows = [windows(cut, s, e)[0] for cut, s, e, _ in found]
-    rows, formats = np.array(rows), np.array([name for *_, name in found])
+    rows, formats = [windows(cut, s, e) for cut, s, e, _ in found], np.array([name for *_, name in found])
     secret, part = np.char.startswith(formats, "1"), rng.integers(0, 6, len(rows))
+    held_back = {k: [own for own, p in zip(rows, part, strict=True) if p == k] for k in (0, 1)}
     network = Network(SEED)
-    network.train(rows[part > 1], secret[part > 1])
-    network.calibrate(network.raw(rows[part == 0]).astype(np.float64), secret[part == 0])
-    held = network.probability(network.raw(rows[part == 1]).astype(np.float64))
+    network.train(np.array([own[0] for own, p in zip(rows, part, strict=True) if p > 1]), secret[part > 1])
+    network.calibrate(network.highest(held_back[0]), secret[part == 0])
+    held = network.scores(held_back[1])
     lowest = [
         np.sort(held[formats[part == 1] == name])[int((1 - RECALL) * (formats[part == 1] == name).sum())]
         for name in set(formats[part == 1]) if name.startswith("1")
