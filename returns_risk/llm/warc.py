@@ -4,8 +4,10 @@ Pages are dealt into shards by ranges of (page id, hash) and sorted. Range limit
 the smallest hashes, so they don't depend on how the input is partitioned, and files come out byte for byte the same on
 a rerun. Each shard is a task, which writes one file after the other under temporary names and begins a new one when
 the compressed size reaches ``file_bytes``. A second job renames the files that the first one reported; what it reports
-is the manifest. Files of lost or repeated tasks are in no manifest, and are deleted at the end. Readers open what the
-manifest names.
+is the manifest, a table in the folder itself, written last: without its ``_SUCCESS`` file nothing counts as written.
+Files of lost or repeated tasks are in no manifest, and are deleted at the end; what a run that ended in between has left
+is deleted by the next one. Readers, of any session, open what the manifest names (``archive``). An archive is never
+written over.
 
 The first of equal payloads (smallest page id) is a response, the others are revisits. The decision is made on digests
 alone, with the digest of a hot payload reduced before the shuffle; it travels to the writer as a row that sorts just
@@ -61,15 +63,17 @@ def _record(kind: str, fields: list[tuple[str, str]], block: bytes) -> bytes:
     return pack.compress(text.encode() + block + b"\r\n\r\n") + pack.flush()
 
 
-def _urn(page_id: int | None, digest: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}')}>"
+def _urn(page_id: int | None, digest: str, copy: int = 0) -> str:
+    name = f"page:{page_id}:{digest}" + (f":{copy}" if copy else "")
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"
 
 
-def page_record(page_id: int | None, url: str | None, html: str | None, refers_to: int | None, revisit: bool) -> bytes:
+def page_record(page_id: int | None, url: str | None, html: str | None, refers_to: int | None, revisit: bool, copy: int = 0) -> bytes:
+    """``copy`` counts equal rows, so that each has a record id of its own."""
     payload = (html or "").encode()
     digest = sha1(payload)
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    fields = [("WARC-Record-ID", _urn(page_id, digest)), ("WARC-Payload-Digest", f"sha1:{digest}")]
+    fields = [("WARC-Record-ID", _urn(page_id, digest, copy)), ("WARC-Payload-Digest", f"sha1:{digest}")]
     fields.append(("Content-Type", "application/http; msgtype=response"))
     if url:
         fields.append(("WARC-Target-URI", re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)))
@@ -141,12 +145,13 @@ def write_warc(
     pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, file_bytes: int = FILE_BYTES, least_revisit: int = 0,
     id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
 ) -> DataFrame:
-    """Writes the archives into ``folder`` and returns their manifest.
+    """Writes the archives into ``folder`` and returns their manifest. ``FileExistsError`` if there are archives in it.
 
     Null html is an empty payload; a null url leaves its header out. Payloads under ``least_revisit`` bytes are all
     responses. Pages without an id are revisits if the payload has a page with an id, else all responses. Repeated rows
     of the page that is the response are responses too. Other columns are left out. No page gives no file.
     """
+    _prepare(folder)
     pages = pages.selectExpr(f"cast({id_col} AS bigint) AS page_id", f"{url_col} AS url", f"coalesce({html_col}, '') AS html")
     pages = pages.selectExpr("*", "cast(octet_length(html) AS bigint) AS n")
     thin = pages.selectExpr("page_id", "n", "sha2(html, 256) AS same", f"coalesce(page_id, {_NULL_ID}) AS a", "xxhash64(page_id, url, html) AS b")
@@ -166,7 +171,7 @@ def write_warc(
     rows = rows.unionByName(notes).repartitionById(shards, "shard").sortWithinPartitions("a", "b", "is_page", "url")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roll, noted, done = _Roll(folder, file_bytes), None, []
+        roll, noted, done, last, copy = _Roll(folder, file_bytes), None, [], None, 0
         for batch in batches:
             for row in zip(*(column.to_pylist() for column in batch.columns), strict=True):
                 shard, a, b, is_page, first, url, html = row
@@ -174,7 +179,8 @@ def write_warc(
                     noted = (a, b, first)
                     continue
                 revisit = noted is not None and noted[:2] == (a, b)
-                record = page_record(None if a == _NULL_ID else a, url, html, noted[2] if revisit else None, revisit)
+                last, copy = (a, b), copy + 1 if last == (a, b) else 0
+                record = page_record(None if a == _NULL_ID else a, url, html, noted[2] if revisit else None, revisit, copy)
                 done += roll.add(shard, record)
             if done:
                 yield pa.RecordBatch.from_pylist(done)
@@ -183,7 +189,6 @@ def write_warc(
         if done:
             yield pa.RecordBatch.from_pylist(done)
 
-    filesystem(folder)[0].create_dir(f"{filesystem(folder)[1]}/tmp", recursive=True)
     written = write_once(rows.mapInArrow(write, MANIFEST), "warc-written")
 
     def commit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,9 +200,30 @@ def write_warc(
                     fs.move(here.path, f"{path}/{name}")
             yield batch
 
-    manifest = write_once(written.mapInArrow(commit, MANIFEST), "warc-manifest")
+    written.mapInArrow(commit, MANIFEST).write.parquet(f"{folder.rstrip('/')}/manifest")
     filesystem(folder)[0].delete_dir(f"{filesystem(folder)[1]}/tmp")
-    return manifest
+    return archive(pages.sparkSession, folder)
+
+
+def _prepare(folder: str) -> None:
+    """An empty folder for temporary files; what a run without a manifest has left in the folder is deleted."""
+    fs, path = filesystem(folder)
+    if fs.get_file_info(f"{path}/manifest/_SUCCESS").type == pa.fs.FileType.File:
+        raise FileExistsError(f"{folder} holds a finished archive")
+    for found in fs.get_file_info(pa.fs.FileSelector(path, allow_not_found=True)):
+        if found.is_file and found.base_name.endswith(".warc.gz"):
+            fs.delete_file(found.path)
+        elif found.base_name in ("tmp", "manifest"):
+            fs.delete_dir(found.path)
+    fs.create_dir(f"{path}/tmp", recursive=True)
+
+
+def archive(spark: SparkSession, folder: str) -> DataFrame:
+    """The manifest of a finished archive."""
+    fs, path = filesystem(folder)
+    if fs.get_file_info(f"{path}/manifest/_SUCCESS").type != pa.fs.FileType.File:
+        raise FileNotFoundError(f"{folder} holds no finished archive")
+    return spark.read.schema(MANIFEST).parquet(f"{folder.rstrip('/')}/manifest")
 
 
 def records(stream) -> Iterator[tuple[dict, bytes]]:
