@@ -1,261 +1,379 @@
 """Masked pseudo-likelihood scores.
 
 Each word of a text is hidden in turn and predicted from the two words on either side; the conditional log-probabilities
-add up to the text's score. Words are in classes: the most frequent have one of their own, as many as the square root
-of the number of distinct words (``OWN`` at least, ``MOST_OWN`` at most); the others share ``SHARED`` classes by hash.
-The network gives the probability of the class: tables of vectors for the four neighbours, their sum through tanh, a
-softmax over the classes. Inside a shared class a word's probability is its count and one, as a share of those of the
-class; one more stands for all unseen. Word counts come from all documents.
-
-The counts inside shared classes meet the words in joins: at most ``MOST_SENT`` frequent words are sent to every
-executor, so that the others, none of them frequent, are all that is shuffled.
-
-Training reads the windows of all words of all documents. The words' classes are written once, two bytes each, in pieces
-of ``PIECE`` words; windows are cut from them when a piece is read. Every round, each task starts from the present weights and trains on its part in small
-batches; the weights are averaged, weighed by windows, in a tree of ``LANES`` streams, so the driver gets no more than
-``LANES`` sets however many tasks there are.
+add up to the text's score. Word counts come from all documents. Words that occur ``LEAST`` times or more, ``MOST_OWN`` of
+them at most, the most frequent first, have vectors and an output of their own; one more class stands for all others.
+The classes are the leaves of a Huffman tree of their counts. The network adds a vector for each of the four neighbours,
+takes tanh, and decides at every inner node on the way to a leaf by a dot product; so the probabilities of all classes
+sum up to one, and a word costs as many short dot products as its way has nodes. The nodes' biases start at the
+counts' log-odds: untrained, the network gives each class its share of all words. Words without an output of their own
+are spelled: the probability of the class is multiplied with that of the word's bytes, each given the byte before, by
+counts over all such words, as a share of what spelling leaves to words that have no output of their own.
+
+Training reads the windows of all words of all documents once. Texts become class numbers, two bytes each, which are
+stored in pieces of ``PIECE`` words. The pieces are dealt into ``ROUNDS`` parts. In a round every task starts from the
+present weights and trains on its pieces of one part, in batches of ``BATCH`` windows, with updates for the rows that a
+batch touches, each at a rate that falls with the gradients the row has seen (in this task: these sums begin anew in every
+task and round); then the weights are averaged, weighed by windows, in ``LANES`` streams and a last one, so the driver
+gets one set of weights, whose size is bounded by ``MOST_OWN``. Averages depend on how the pieces are dealt over tasks, so
+scores vary a little with the size of the cluster; reruns with the same tasks agree.
+
+The pieces are scored as they are stored: texts are read twice, for counts and for classes.
 """
 
 from __future__ import annotations
 
-import math
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from returns_risk.llm.common import WORDS, documents, per_batch, row_id
+from returns_risk.llm.common import documents
 from returns_risk.sources.store import write_once
 
-OWN, SHARED, HIDDEN, SIDE = 192, 64, 32, 2
-CLASSES, NONE = OWN + SHARED, OWN + SHARED
-PIECE, ROUNDS, BATCH, RATE, SEED, LANES = 1 << 16, 3, 256, 0.004, 5, 16
-MOST_OWN, MOST_SENT = 4096, 250_000
-_known: dict[bytes, int] = {}
-_known_of: list = [None]
-
-
-def shapes(n_own: int) -> tuple:
-    """Of the weights, for so many classes of one word."""
-    n = n_own + SHARED
-    return ((2 * SIDE, n + 1, HIDDEN), (HIDDEN,), (HIDDEN, n), (n,))
-
-
-SHAPES = shapes(OWN)
-
-
-def vocabulary(docs: DataFrame) -> tuple[list[str], list[int], DataFrame]:
-    """The most frequent words (ties by word), the sum of the counts and ones in each shared class with one for the
-    unseen, and the counts of all words (word, n)."""
-    words = docs.selectExpr(f"explode({WORDS.format('text')}) AS word")
-    counts = write_once(words.groupBy("word").agg(F.count("*").alias("n")), "lm-words")
-    n_own = min(MOST_OWN, max(OWN, math.isqrt(counts.count())))
-    own = [r.word for r in counts.orderBy(F.desc("n"), "word").limit(n_own).collect()]
-    other = counts.where(~F.col("word").isin(own)) if own else counts
-    shared = other.groupBy(F.expr(f"shiftrightunsigned(xxhash64(word), {64 - (SHARED - 1).bit_length()})").alias("c"))
-    sums = dict(shared.agg(F.expr("sum(n + 1)")).collect())
-    return own, [sums.get(c, 0) + 1 for c in range(SHARED)], counts
-
-
-def inside_shares(docs: DataFrame, counts: DataFrame, own: list[str]) -> DataFrame:
-    """Per rid and digest: words (of all equal rows together), and ``inside``, the sum of log(count + 1) over those that
-    aren't ``own``. ``docs``: rid, digest, text."""
-    words = docs.selectExpr("rid", "digest", f"explode({WORDS.format('text')}) AS word")
-    levels = counts.groupBy(F.expr("cast(floor(log2(n)) AS int)").alias("level")).count().collect()  # 64 rows at most
-    least, sent = 1, sum(n for _, n in levels)
-    for level, n in sorted(map(tuple, levels)):
-        if sent > MOST_SENT:
-            least, sent = 2 << level, sent - n
-    share = F.when(F.col("word").isin(own), 0.0).otherwise(F.log(F.col("n") + 1)) if own else F.log(F.col("n") + 1)
-    counts = counts.select("word", share.alias("inside"), "n")
-    often = F.broadcast(counts.where(f"n >= {least}").drop("n"))
-    found = [words.join(often, "word")]
-    if least > 1:
-        found.append(words.join(often, "word", "left_anti").join(counts.where(f"n < {least}").drop("n"), "word"))
-    sums = [f.groupBy("rid", "digest").agg(F.sum("inside").alias("inside"), F.count("*").alias("words")) for f in found]
-    out = sums[0] if len(sums) == 1 else sums[0].unionByName(sums[1])
-    return out.groupBy("rid", "digest").agg(F.sum("inside").alias("inside"), F.sum("words").alias("words"))
-
-
-def classes(words: list[bytes], own: dict[bytes, int]) -> np.ndarray:
-    """Class of each word. Known ones are kept for the worker's next batches."""
-    if _known_of[0] != len(own) or len(_known) > 300_000 or _known_of[1:] != [next(iter(own), None)]:
-        _known.clear()
-        _known_of[:] = [len(own), next(iter(own), None)]
-        _known.update(own)
-    out, first = np.empty(len(words), dtype=np.int64), max(OWN, len(own))
-    for at, word in enumerate(words):
-        value = _known.get(word)
-        if value is None:
-            value = _known[word] = first + (xxhash.xxh64_intdigest(word, 42) >> (64 - (SHARED - 1).bit_length()))
-        out[at] = value
-    return out
+LEAST, MOST_OWN, SIDE, DIM = 5, 32_000, 2, 8
+PIECE, ROUNDS, BATCH, RATE, SEED, LANES = 1 << 16, 4, 1024, 0.1, 5, 16
+#: Distinct words that a task counts before it sends the counts on; texts whose pieces are collected before they are cut.
+MOST_COUNTED, TEXTS = 300_000, 512
+BYTES = 257  # values of a byte, and 256 for the start and the end of a word
+_PIECES = "uid bigint, n bigint, turn int, classes binary, ends binary, uids binary"
+
+
+@dataclass
+class Tree:
+    """The way from the root to each class: nodes and signs (1 to the left, -1 to the right) from ``start`` on."""
+
+    nodes: np.ndarray
+    signs: np.ndarray
+    start: np.ndarray
+    length: np.ndarray
+    bias: np.ndarray
+
+
+def tree_of(counts: np.ndarray) -> Tree:
+    """Huffman tree of positive counts, at least two of them; of equal counts the first, then leaves before nodes."""
+    n = len(counts)
+    order, total = np.argsort(counts, kind="stable").tolist(), [*map(int, counts), *[0] * (n - 1)]
+    parent, side = np.zeros(2 * n - 1, dtype=np.int64), np.ones(2 * n - 1, dtype=np.float32)
+    leaf, inner, bias = 0, n, np.zeros(n - 1, dtype=np.float32)
+    for node in range(n, 2 * n - 1):
+        pair = []
+        for _ in range(2):
+            if leaf < n and (inner >= node or total[order[leaf]] <= total[inner]):
+                pair.append(order[leaf])
+                leaf += 1
+            else:
+                pair.append(inner)
+                inner += 1
+        total[node] = total[pair[0]] + total[pair[1]]
+        parent[pair], side[pair] = node, (1, -1)
+        bias[node - n] = np.log(total[pair[0]] / total[pair[1]])
+    leaves, nodes, signs = [], [], []
+    at = now = np.arange(n)
+    while len(now):
+        leaves.append(at)
+        nodes.append(parent[now] - n)
+        signs.append(side[now])
+        now = parent[now]
+        open_ = now != 2 * n - 2
+        at, now = at[open_], now[open_]
+    flat = np.concatenate(leaves)
+    order = np.argsort(flat, kind="stable")
+    length = np.bincount(flat, minlength=n)
+    return Tree(
+        np.concatenate(nodes)[order].astype(np.uint16), np.concatenate(signs)[order], np.cumsum(length) - length, length, bias
+    )
 
 
-def windows(found: np.ndarray, none: int = NONE) -> np.ndarray:
-    """(words, 1 + 2 SIDE): each word's class, then its neighbours' from left to right; ``none`` where there is none."""
-    padded = np.concatenate([np.full(SIDE, none), found, np.full(SIDE, none)])
-    near = [padded[k : k + len(found)] for k in range(2 * SIDE + 1) if k != SIDE]
-    return np.stack([found, *near], axis=1)
+def first_weights(tree: Tree, dim: int = DIM) -> list[np.ndarray]:
+    """Vectors of the neighbours (side by side, one more for none), of the nodes, and the nodes' biases."""
+    rows = 2 * SIDE * (len(tree.length) + 1)
+    near = np.random.default_rng(SEED).normal(0, 0.1, (rows, dim)).astype(np.float32)
+    return [near, np.zeros((len(tree.bias), dim), dtype=np.float32), tree.bias.copy()]
 
 
-def pieces(line: np.ndarray, none: int = NONE) -> dict:
-    """Classes of documents in a row, with ``SIDE`` times ``none`` before, between and after them, as packed pieces; each
-    has the ``SIDE`` neighbours of its first and last place. ``n``: its words."""
-    out = {"classes": [], "n": []}
-    for start in range(SIDE, len(line) - SIDE, PIECE):
-        stop = min(start + PIECE, len(line) - SIDE)
-        out["classes"].append(line[start - SIDE : stop + SIDE].astype(np.uint16).tobytes())
-        out["n"].append(int((line[start:stop] != none).sum()))
-    return out
+def windows(line: np.ndarray) -> np.ndarray:
+    """(places, 2 SIDE): the neighbours of all places but the first and last ``SIDE``, from left to right."""
+    n = len(line) - 2 * SIDE
+    return np.stack([line[k : k + n] for k in range(2 * SIDE + 1) if k != SIDE], axis=1)
 
 
-def piece_windows(raw: bytes, none: int = NONE) -> np.ndarray:
-    """The windows of all words of a packed piece."""
-    line = np.frombuffer(raw, dtype=np.uint16).astype(np.int64)
-    rows = windows(line, none)[SIDE:-SIDE]
-    return rows[rows[:, 0] != none]
+def _way(tree: Tree, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The nodes and signs on the ways to ``words`` in a row, the place of the word that each belongs to, and the starts."""
+    length = tree.length[words]
+    starts = np.cumsum(length) - length
+    owner = np.repeat(np.arange(len(words)), length)
+    at = np.arange(len(owner)) + np.repeat(tree.start[words] - starts, length)
+    return tree.nodes[at], tree.signs[at], owner, starts
 
 
-def hidden_layer(weights: list[np.ndarray], near: np.ndarray) -> np.ndarray:
-    total = weights[1] + weights[0][0][near[:, 0]]
-    for k in range(1, 2 * SIDE):
-        total += weights[0][k][near[:, k]]
-    return np.tanh(total, out=total)
+def _hidden(weights: list[np.ndarray], near: np.ndarray) -> np.ndarray:
+    rows = len(weights[0]) // (2 * SIDE)
+    return np.tanh(weights[0][near + np.arange(2 * SIDE) * rows].sum(axis=1))
 
 
-def log_probabilities(weights: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
-    """Of the class in the first column, given the others."""
-    out = np.empty(len(rows), dtype=np.float32)
-    for start in range(0, len(rows), 4096):
-        part = rows[start : start + 4096]
-        logits = hidden_layer(weights, part[:, 1:]) @ weights[2]
-        logits += weights[3]
-        logits -= logits.max(axis=1, keepdims=True)
-        hit = logits[np.arange(len(part)), part[:, 0]]
-        out[start : start + 4096] = hit - np.log(np.exp(logits, out=logits).sum(axis=1))
+def log_probabilities(weights: list[np.ndarray], tree: Tree, words: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """Of each class in ``words``, given its neighbours."""
+    out = np.empty(len(words), dtype=np.float64)
+    for first in range(0, len(words), BATCH):
+        part = slice(first, first + BATCH)
+        nodes, signs, owner, starts = _way(tree, words[part])
+        logits = np.einsum("md,md->m", _hidden(weights, near[part])[owner], weights[1][nodes])
+        logits += weights[2][nodes]
+        logits *= -signs
+        out[part] = -np.add.reduceat(np.log1p(np.exp(np.minimum(logits, 80))), starts)
     return out
 
 
-def train(weights: list[np.ndarray], rows: np.ndarray, rate: float) -> None:
-    """One pass of Adam over the windows, in place."""
-    first, second = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
-    rows = rows[np.random.default_rng(len(rows)).permutation(len(rows))]
-    for step, start in enumerate(range(0, len(rows), BATCH), 1):
-        part = rows[start : start + BATCH]
-        hidden = hidden_layer(weights, part[:, 1:])
-        logits = hidden @ weights[2] + weights[3]
-        logits -= logits.max(axis=1, keepdims=True)
-        error = np.exp(logits, out=logits)
-        error /= error.sum(axis=1, keepdims=True)
-        error[np.arange(len(part)), part[:, 0]] -= 1
-        error /= len(part)
-        back = (error @ weights[2].T) * (1 - hidden * hidden)
-        table = np.zeros_like(weights[0])
+def _sums(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, and the sums of their rows."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    new = np.empty(len(keys), dtype=bool)
+    new[0], new[1:] = True, keys[1:] != keys[:-1]
+    at = np.flatnonzero(new)
+    return keys[at].astype(np.int64), np.add.reduceat(rows[order], at, axis=0)
+
+
+def train(weights: list[np.ndarray], seen: list[np.ndarray], tree: Tree, words: np.ndarray, near: np.ndarray) -> None:
+    """One pass over windows, in place. ``seen`` has the squared gradients so far of the neighbours' and the nodes' rows."""
+    vectors, nodes_, biases = weights
+    rows, order = len(vectors) // (2 * SIDE), np.random.default_rng(len(words)).permutation(len(words))
+    for first in range(0, len(words), BATCH):
+        part = order[first : first + BATCH]
+        own, beside = words[part], near[part]
+        hidden = _hidden(weights, beside)
+        nodes, signs, owner, starts = _way(tree, own)
+        mine, theirs = hidden[owner], nodes_[nodes]
+        logits = np.einsum("md,md->m", mine, theirs)
+        logits += biases[nodes]
+        logits *= signs
+        error = (-signs / (1 + np.exp(np.minimum(logits, 30)))).astype(np.float32)[:, None]
+        back = np.add.reduceat(error * theirs, starts, axis=0) * (1 - hidden * hidden)
+        keys, slope = _sums(nodes, np.concatenate([error * mine, error], axis=1))
+        seen[1][keys] += (slope * slope).mean(axis=1)
+        slope *= (RATE / np.sqrt(seen[1][keys] + 1e-6))[:, None]
+        nodes_[keys] -= slope[:, :-1]
+        biases[keys] -= slope[:, -1]
         for k in range(2 * SIDE):
-            order = np.argsort(part[:, 1 + k], kind="stable")
-            near = part[order, 1 + k]
-            starts = np.flatnonzero(np.diff(near, prepend=-1))
-            table[k][near[starts]] = np.add.reduceat(back[order], starts, axis=0)
-        for w, g, m, v in zip(weights, (table, back.sum(0), hidden.T @ error, error.sum(0)), first, second, strict=True):
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
-            w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)
-
-
-def _packed(weights: list[np.ndarray]) -> np.ndarray:
-    return np.concatenate([w.ravel() for w in weights])
+            keys, slope = _sums(beside[:, k], back)
+            keys += k * rows
+            seen[0][keys] += (slope * slope).mean(axis=1)
+            slope *= (RATE / np.sqrt(seen[0][keys] + 1e-6))[:, None]
+            vectors[keys] -= slope
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """The counts of all words: word (bytes), n. A task sends counts of some words at a time, not words."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+
+        def made() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
+            counts.clear()
+            return out
+
+        for batch in batches:
+            for text in batch.column(0):
+                counts.update((text.as_py() or "").encode().split())
+                if len(counts) >= MOST_COUNTED:
+                    yield made()
+        yield made()
+
+    rows = docs.select("text").mapInArrow(count, "word binary, n bigint")
+    return write_once(rows.groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
+
+
+def _transitions(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Steps from byte to byte (``BYTES`` times the one before, plus the next) of words in a row, and their starts."""
+    length = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
+    line = np.full(int(length.sum()) + 1, 256, dtype=np.int64)
+    ends = np.cumsum(length)
+    inside = np.ones(len(line), dtype=bool)
+    inside[0], inside[ends] = False, False
+    line[inside] = np.frombuffer(b"".join(words), dtype=np.uint8)
+    return line[:-1] * BYTES + line[1:], ends - length
+
+
+class Spelling:
+    """Log-probability of a word byte after byte. ``excluded``: words that are never spelled."""
+
+    def __init__(self, cells: np.ndarray, excluded: list[bytes]) -> None:
+        table = cells.reshape(BYTES, BYTES) + 1.0
+        self.table = np.log(table / table.sum(axis=1, keepdims=True)).ravel()
+        self.rest = 0.0
+        self.rest = float(np.log1p(-min(np.exp(self(excluded)).sum(), 0.999))) if excluded else 0.0
+
+    def __call__(self, words: list[bytes]) -> np.ndarray:
+        steps, starts = _transitions(words)
+        return np.add.reduceat(self.table[steps], starts) - self.rest
+
+
+def vocabulary(counts: DataFrame, least: int = LEAST, most_own: int = MOST_OWN) -> tuple[list[bytes], np.ndarray, Spelling]:
+    """The words with an output of their own (ties by word), the counts of all classes, and the spelling of the others."""
+    own = counts.where(f"n >= {least}").orderBy(F.desc("n"), "word").limit(most_own).collect()
+    others = counts.where(f"n < {least}")
+    if len(own) == most_own:
+        last = own[-1]
+        others = counts.where((F.col("n") < last.n) | (F.col("n") == last.n) & (F.col("word") > F.lit(last.word)))
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(BYTES * BYTES, dtype=np.int64)
+        for batch in batches:
+            words = batch.column(0).to_pylist()
+            if words:
+                steps, starts = _transitions(words)
+                np.add.at(cells, steps, np.repeat(batch.column(1).to_numpy(), np.diff(np.append(starts, len(steps)))))
+        some = np.flatnonzero(cells)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(cells[some])], names=["cell", "n"])
+
+    cells = np.zeros(BYTES * BYTES)
+    for cell, n in others.select("word", "n").mapInArrow(spell, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n")).collect():
+        cells[cell] = n
+    rest = others.agg(F.sum("n")).first()[0] or 0
+    words = [bytes(row.word) for row in own]
+    return words, np.array([*(row.n for row in own), max(rest, 1)], dtype=np.int64), Spelling(cells, words)
+
+
+def classified(docs: DataFrame, own: list[bytes], spelling: Spelling, piece: int) -> tuple[DataFrame, DataFrame]:
+    """Stored texts (uid, doc_id, n_tokens, spelled) and pieces of their classes.
+
+    A piece has the classes of words in a row, ``SIDE`` times none between texts and at both ends or else the neighbours
+    there; ``ends`` and ``uids`` tell which text each word belongs to. A uid is made of the task and the text's number.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast((own, spelling))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, spelling = sent.value
+        numbers, rest, none = {word: k for k, word in enumerate(own)}, len(own), len(own) + 1
+        gap, part, done, cut = np.full(SIDE, none, dtype=np.uint16), TaskContext.get().partitionId() << 36, 0, 0
+        for batch in batches:
+            ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            for first in range(0, len(ids), TEXTS):
+                words = [(text.as_py() or "").encode().split() for text in texts[first : first + TEXTS]]
+                found = [np.array([numbers.get(w, rest) for w in ws], dtype=np.uint16) for ws in words]
+                unknown = [w for ws, f in zip(words, found, strict=True) for w, k in zip(ws, f == rest, strict=True) if k]
+                spelled = spelling(unknown) if unknown else np.zeros(0)
+                n_unknown = np.array([int((f == rest).sum()) for f in found])
+                before = np.concatenate([[0], np.cumsum(spelled)])[np.concatenate([[0], np.cumsum(n_unknown)])]
+                uids = part + done + np.arange(len(found))
+                done += len(found)
+                yield _batch(
+                    uid=uids, n=[len(f) for f in found], turn=[-1] * len(found), classes=[None] * len(found), ends=[None] * len(found),
+                    uids=[None] * len(found), doc_id=ids[first : first + TEXTS], spelled=np.diff(before),
+                )
+                line = np.concatenate([gap, *(p for f in found for p in (f, gap))])
+                owner = np.concatenate([np.append(np.repeat(k, len(f)), [-1] * SIDE) for k, f in zip(range(len(found)), found, strict=True)])
+                for start in range(0, len(owner), piece):
+                    mine = owner[start : start + piece]
+                    real = mine >= 0
+                    if real.any():
+                        at = np.flatnonzero(np.concatenate([[True], mine[real][1:] != mine[real][:-1]]))
+                        yield _batch(
+                            uid=[int(uids[0])], n=[int(real.sum())], turn=[cut % ROUNDS],
+                            classes=[line[start : start + len(mine) + 2 * SIDE].tobytes()], ends=[at.astype("<i8").tobytes()],
+                            uids=[uids[mine[real][at]].astype("<i8").tobytes()], doc_id=[None], spelled=[0.0],
+                        )
+                        cut += 1
+
+    rows = docs.select("doc_id", "text").mapInArrow(run, f"{_PIECES}, doc_id bigint, spelled double")
+    stored = write_once(rows, "lm-classes")
+    return (
+        stored.where("turn < 0").selectExpr("uid", "doc_id", "n AS n_tokens", "spelled"),
+        stored.where("turn >= 0").selectExpr("n", "turn", "classes", "ends", "uids"),
+    )
 
 
-def _unpacked(flat: np.ndarray, made: tuple) -> list[np.ndarray]:
-    ends = np.cumsum([np.prod(shape) for shape in made])
-    return [p.reshape(shape).astype(np.float32) for p, shape in zip(np.split(flat, ends[:-1]), made, strict=True)]
+def _batch(**columns) -> pa.RecordBatch:
+    kinds = {"uid": pa.int64(), "n": pa.int64(), "turn": pa.int32(), "classes": pa.binary(), "ends": pa.binary(), "uids": pa.binary(), "doc_id": pa.int64(), "spelled": pa.float64()}
+    return pa.RecordBatch.from_arrays([pa.array(columns[name], type=kind) for name, kind in kinds.items()], names=list(kinds))
 
 
-def fitted(docs: DataFrame, own: list[str], rounds: int = ROUNDS) -> list[np.ndarray]:
-    """The network's weights after training on windows of all documents (rid, text)."""
-    numbers, made = {word.encode(): k for k, word in enumerate(own)}, shapes(max(OWN, len(own)))
-    none = max(OWN, len(own)) + SHARED
+def _piece(raw: bytes, none: int) -> tuple[np.ndarray, np.ndarray]:
+    """The classes of a piece's words, and their neighbours."""
+    line = np.frombuffer(raw, dtype=np.uint16)
+    own = line[SIDE:-SIDE]
+    real = own != none
+    return own[real], windows(line)[real]
 
-    def draw(texts: list) -> dict:
-        line = [np.full(SIDE, none)]
-        for text in texts:
-            line += [classes((text or "").encode().split(), numbers), line[0]]
-        return pieces(np.concatenate(line), none)
 
-    drawn = write_once(per_batch(docs.select("text"), draw, "classes binary, n bigint").where("n > 0"), "lm-classes")
-    rng = np.random.default_rng(SEED)
-    weights = [rng.normal(0, 0.1, shape).astype(np.float32) for shape in made]
-    weights[1][:], weights[3][:] = 0, 0
+def fitted(pieces: DataFrame, tree: Tree, none: int, rounds: int = ROUNDS) -> list[np.ndarray]:
+    """The weights after training on all pieces, one part of them in each round. ``none``: the class of no neighbour."""
+    context = pieces.sparkSession.sparkContext
+    weights = first_weights(tree)
+    shapes = [w.shape for w in weights]
+    ends = np.cumsum([w.size for w in weights])[:-1]
     schema = "lane int, n bigint, weights binary"
-
-    def added(rows: Iterator[tuple[int, bytes]]) -> tuple[int, np.ndarray]:
-        total, flat = 0, np.zeros(sum(int(np.prod(s)) for s in made))
-        for n, raw in rows:
-            total += n
-            flat += np.frombuffer(raw, dtype=np.float64)
-        return total, flat
-
     for turn in range(rounds):
-        start, rate = _packed(weights), RATE / (1 + turn)
+        start = context.broadcast((tree, weights))
 
-        def local(batches: Iterator[pa.RecordBatch], start=start, rate=rate) -> Iterator[pa.RecordBatch]:
-            own_weights, total, lane = _unpacked(start, made), 0, 0
+        def local(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
+            tree, given = start.value
+            own, total = [w.copy() for w in given], 0
+            seen = [np.zeros(len(w), dtype=np.float32) for w in own[:2]]
             for batch in batches:
                 for raw in batch["classes"].to_pylist():
-                    rows = piece_windows(raw, none)
-                    train(own_weights, rows, rate)
-                    total += len(rows)
-                    lane = int(xxhash.xxh32_intdigest(raw[:64])) % LANES
+                    words, near = _piece(raw, none)
+                    train(own, seen, tree, words, near)
+                    total += len(words)
             if total:
-                flat = _packed(own_weights).astype(np.float64) * total
-                yield pa.RecordBatch.from_pydict({"lane": pa.array([lane], pa.int32()), "n": [total], "weights": [flat.tobytes()]})
+                flat = np.concatenate([w.ravel() for w in own])
+                yield pa.RecordBatch.from_pydict({
+                    "lane": pa.array([TaskContext.get().partitionId() % LANES], pa.int32()), "n": [total], "weights": [flat.tobytes()],
+                })
 
-        def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total, flat = added((n, raw) for b in batches for n, raw in zip(b["n"].to_pylist(), b["weights"].to_pylist(), strict=True))
+        def averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, flat = 0, 0.0
+            for batch in batches:
+                for n, raw in zip(batch["n"].to_pylist(), batch["weights"], strict=True):
+                    total += n
+                    flat = flat + np.frombuffer(raw.as_buffer(), dtype=np.float32) * float(n)
             if total:
+                flat = (flat / total).astype(np.float32)
                 yield pa.RecordBatch.from_pydict({"lane": pa.array([0], pa.int32()), "n": [total], "weights": [flat.tobytes()]})
 
-        parts = drawn.mapInArrow(local, schema).repartition(LANES, "lane").mapInArrow(summed, schema)
-        total, flat = added((r.n, r.weights) for r in parts.collect())  # at most LANES rows
-        if total:
-            weights = _unpacked(flat / total, made)
+        parts = pieces.where(f"turn = {turn}").select("classes").mapInArrow(local, schema)
+        parts = parts.repartition(LANES, "lane").mapInArrow(averaged, schema).repartition(1).mapInArrow(averaged, schema)
+        if row := parts.first():
+            flat = np.frombuffer(row.weights, dtype=np.float32)
+            weights = [p.reshape(shape).copy() for p, shape in zip(np.split(flat, ends), shapes, strict=True)]
+        start.unpersist()
     return weights
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
+def lm_scores(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, least: int = LEAST,
+    most_own: int = MOST_OWN, piece: int = PIECE,
+) -> DataFrame:
     """Per row: doc_id, n_tokens, log_prob (natural logarithms, summed over all words), mean_log_prob.
 
-    Null and empty texts have no words, a log_prob of 0 and a null mean. Rows without an id and repeated rows are scored
-    like others; other columns are left out.
+    Null and empty texts have no words, a log_prob of 0 and a null mean. Rows without an id and repeated rows are counted,
+    trained on and scored like others; very long texts are cut into pieces whose windows overlap, so no neighbour is lost.
+    Other columns are left out. No rows give no rows. Runs at once, but for the scoring.
     """
-    docs = docs.selectExpr(
-        f"cast({id_col} AS bigint) AS doc_id", f"{row_id(id_col, text_col)} AS rid", f"coalesce(xxhash64({text_col}), 0L) AS digest",
-        f"{text_col} AS text",
-    )
-    own, sums, counts = vocabulary(docs)
-    weights = fitted(docs, own, rounds)
-    numbers = {word.encode(): k for k, word in enumerate(own)}
-    inside = np.concatenate([np.zeros(max(OWN, len(own))), -np.log(np.array(sums))])
-
-    def score(ids: list, rids: list, digests: list, texts: list) -> dict:
-        out = {"doc_id": ids, "rid": rids, "digest": digests, "n_tokens": [], "of_classes": []}
-        for text in texts:
-            found = classes((text or "").encode().split(), numbers)
-            total = float(log_probabilities(weights, windows(found, len(inside))).sum(dtype=np.float64) + inside[found].sum()) if len(found) else 0.0
-            out["n_tokens"].append(len(found))
-            out["of_classes"].append(total)
-        return out
-
-    schema = "doc_id bigint, rid bigint, digest bigint, n_tokens bigint, of_classes double"
-    scored = per_batch(docs.select("doc_id", "rid", "digest", "text"), score, schema)
-    scored = scored.join(inside_shares(docs, counts, own), ["rid", "digest"], "left")
-    # equal rows share one sum
-    scored = scored.selectExpr("doc_id", "n_tokens", "of_classes + coalesce(inside * n_tokens / words, 0D) AS log_prob")
-    return scored.selectExpr("*", "CASE WHEN n_tokens > 0 THEN log_prob / n_tokens END AS mean_log_prob")
+    docs = docs.selectExpr(f"cast({id_col} AS bigint) AS doc_id", f"{text_col} AS text")
+    own, counts, spelling = vocabulary(word_counts(docs), least, most_own)
+    tree, none = tree_of(counts if own else np.append(counts, 1)), len(own) + 1  # a tree has two leaves at least
+    texts, pieces = classified(docs, own, spelling, piece)
+    sent = docs.sparkSession.sparkContext.broadcast((tree, fitted(pieces, tree, none, rounds)))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, weights = sent.value
+        for batch in batches:
+            for raw, ends, uids in zip(*(batch[name].to_pylist() for name in ("classes", "ends", "uids")), strict=True):
+                found = log_probabilities(weights, tree, *_piece(raw, none))
+                sums = np.add.reduceat(found, np.frombuffer(ends, "<i8"))
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(uids, "<i8")), pa.array(sums)], names=["uid", "part"])
+
+    sums = pieces.select("classes", "ends", "uids").mapInArrow(score, "uid bigint, part double").groupBy("uid").agg(F.sum("part").alias("of_classes"))
+    out = texts.join(sums, "uid", "left").selectExpr("doc_id", "n_tokens", "coalesce(of_classes, 0D) + spelled AS log_prob")
+    return out.selectExpr("*", "CASE WHEN n_tokens > 0 THEN log_prob / n_tokens END AS mean_log_prob")
 
 
 def op6_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
