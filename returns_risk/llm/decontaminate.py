@@ -122,12 +122,15 @@ def contaminated(
 def decontaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """The rows of ``docs`` without a confirmed overlap, with all their columns."""
+    """The rows of ``docs`` without a confirmed overlap, with all their columns.
+
+    The texts stay where they are if at most ``MOST_SENT`` documents go, else they are shuffled to the list of these.
+    """
     found = write_once(overlaps(docs, benchmark, id_col, text_col)[0].select("rid", "own").distinct(), "leak-found")
     key = "_".join(["rid", *docs.columns])  # longer than any column's name, so it is free
     found = found.withColumn(key, F.struct("rid", F.coalesce("own", F.lit(0)).alias("own"))).select(key)
     own = F.expr(f"struct({row_id(f'`{id_col}`', f'`{text_col}`')} AS rid, xxhash64(`{text_col}`) AS own)")
-    return docs.withColumn(key, own).join(found.hint("shuffle_hash"), key, "left_anti").drop(key)
+    return docs.withColumn(key, own).join(_sent(found), key, "left_anti").drop(key)
 
 
 def op2_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
