@@ -48,6 +48,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages applied to ``documents`` in order, each written and read again but the last.
+
+    Documents without text or words fail the quality rules. Repeated rows, like copies, become one. Rows without an id go
+    through like others; of a group that has ids, one with an id stays. A null language or source is one of its own. Texts of
+    any length are read as a whole. Columns besides those of ``documents`` are kept up to the last stage, whatever their
+    names. Empty tables give no rows; without labels or benchmark the stages that read them only use their fixed rules.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = write_once(stage(spark, docs, sf_dir), f"pipeline-{name}")
