@@ -16,6 +16,7 @@ from returns_risk import constants as c
 from returns_risk.functions.numeric import rounded_like_text, safe_ratio
 from returns_risk.operators.boosting import score_trees
 from returns_risk.operators.features import sanitize
+from returns_risk.sources.store import newest_version, open_version, publish_version, write_version
 
 _DOUBLES = {
     "TotalPurchaseValue", "TotalRefundValue", "RefundRate_by_Items", "RefundRate_by_Value",
@@ -48,12 +49,12 @@ def linear_score(df: DataFrame, weights: Mapping[str, float] = c.SCORE_WEIGHTS)
 
 
 def save_linear(spark: SparkSession, path: str, weights: Mapping[str, float] = c.SCORE_WEIGHTS) -> None:
-    """The weights of a linear score as a table of (feature, weight)."""
-    spark.createDataFrame(list(weights.items()), "feature string, weight double").write.mode("overwrite").parquet(path)
+    """Publishes the weights of a linear score, a table of (feature, weight), as the newest version under ``path``."""
+    write_version(spark.createDataFrame(list(weights.items()), "feature string, weight double").coalesce(1), path)
 
 
 def load_linear(spark: SparkSession, path: str) -> dict[str, float]:
-    stored = {row.feature: row.weight for row in spark.read.parquet(path).collect()}
+    stored = {row.feature: row.weight for row in spark.read.parquet(newest_version(spark, path)).collect()}
     return {name: stored[name] for name in (*c.SCORE_WEIGHTS, *stored) if name in stored}
 
 
@@ -74,11 +75,15 @@ def score_gbt(df: DataFrame, model: PipelineModel) -> DataFrame:
 
 
 def save_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+    """Publishes Spark's trees as the newest version under ``path``: a reader sees the version before, or this one whole."""
+    spark = SparkSession.active()
+    folder = open_version(spark, path)
+    model.write().save(folder)
+    publish_version(spark, folder)
 
 
 def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+    return PipelineModel.load(newest_version(SparkSession.active(), path))
 
 
 def score_features(df: DataFrame, scorer: PipelineModel | DataFrame | Mapping[str, float] = c.SCORE_WEIGHTS) -> DataFrame:

@@ -217,6 +217,8 @@ def test_trees_save_load_and_explain(spark, tmp_path):
     model = scoring.train_gbt(frame, maxIter=4, maxDepth=3)
     path = str(tmp_path / "model")
     scoring.save_model(model, path)
+    scoring.save_model(scoring.train_gbt(frame, maxIter=1, maxDepth=1), path)
+    scoring.save_model(model, path)  # the newest counts
     scored = scoring.score_gbt(frame, model)
     again = scoring.score_features(frame, scoring.load_model(path))
     assert scored.columns == again.columns
