@@ -14,8 +14,9 @@ Training reads the windows of all words of all documents once. Texts become clas
 stored in pieces of ``PIECE`` words. The pieces are dealt into ``ROUNDS`` parts. In a round every task starts from the
 present weights and trains on its pieces of one part, in batches of ``BATCH`` windows, with updates for the rows that a
 batch touches, each at a rate that falls with the gradients the row has seen (in this task: these sums begin anew in every
-task and round); then the weights are averaged, weighed by windows, in ``LANES`` streams and a last one, so the driver
-gets one set of weights, whose size is bounded by ``MOST_OWN``. Averages depend on how the pieces are dealt over tasks, so
+task and round). The ``TOP`` nodes next to the root, which most ways pass, are trained as one small matrix, the others one
+by one. Then the changes of the rows that a task has touched are averaged, weighed by windows, in ``LANES`` streams and a
+last one, so the driver gets one set of weights, whose size is bounded by ``MOST_OWN``. Averages depend on how the pieces are dealt over tasks, so
 scores vary a little with the size of the cluster; reruns with the same tasks agree.
 
 The pieces are scored as they are stored: texts are read twice, for counts and for classes.
@@ -26,6 +27,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +39,7 @@ from returns_risk.llm.common import documents
 from returns_risk.sources.store import write_once
 
 LEAST, MOST_OWN, SIDE, DIM = 5, 32_000, 2, 8
-PIECE, ROUNDS, BATCH, RATE, SEED, LANES = 1 << 16, 4, 1024, 0.1, 5, 16
+PIECE, ROUNDS, BATCH, TOP, RATE, SEED, LANES = 1 << 16, 4, 2048, 31, 0.1, 5, 16
 #: Distinct words that a task counts before it sends the counts on; texts whose pieces are collected before they are cut.
 MOST_COUNTED, TEXTS = 300_000, 512
 BYTES = 257  # values of a byte, and 256 for the start and the end of a word
@@ -46,13 +48,20 @@ _PIECES = "uid bigint, n bigint, turn int, classes binary, ends binary, uids bin
 
 @dataclass
 class Tree:
-    """The way from the root to each class: nodes and signs (1 to the left, -1 to the right) from ``start`` on."""
+    """The way from each class to the root: nodes and signs (1 to the left, -1 to the right) from ``start`` on.
+
+    Nodes are numbered upwards. Those from ``cut`` on are the top: ``low`` nodes of a way come before them, and ``top``
+    has the signs of the others, a column for each top node, 0 for those that aren't on the way.
+    """
 
     nodes: np.ndarray
     signs: np.ndarray
     start: np.ndarray
     length: np.ndarray
     bias: np.ndarray
+    cut: int
+    low: np.ndarray
+    top: np.ndarray
 
 
 def tree_of(counts: np.ndarray) -> Tree:
@@ -84,10 +93,11 @@ def tree_of(counts: np.ndarray) -> Tree:
         at, now = at[open_], now[open_]
     flat = np.concatenate(leaves)
     order = np.argsort(flat, kind="stable")
-    length = np.bincount(flat, minlength=n)
-    return Tree(
-        np.concatenate(nodes)[order].astype(np.uint16), np.concatenate(signs)[order], np.cumsum(length) - length, length, bias
-    )
+    length, nodes, signs, cut = np.bincount(flat, minlength=n), np.concatenate(nodes)[order], np.concatenate(signs)[order], max(0, n - 1 - TOP)
+    top, high = np.zeros((n, n - 1 - cut), dtype=np.int8), nodes >= cut
+    top[flat[order][high], nodes[high] - cut] = signs[high]
+    low = np.bincount(flat[order][~high], minlength=n)
+    return Tree(nodes.astype(np.uint16), signs, np.cumsum(length) - length, length, bias, cut, low, top)
 
 
 def first_weights(tree: Tree, dim: int = DIM) -> list[np.ndarray]:
@@ -103,9 +113,9 @@ def windows(line: np.ndarray) -> np.ndarray:
     return np.stack([line[k : k + n] for k in range(2 * SIDE + 1) if k != SIDE], axis=1)
 
 
-def _way(tree: Tree, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The nodes and signs on the ways to ``words`` in a row, the place of the word that each belongs to, and the starts."""
-    length = tree.length[words]
+def _way(tree: Tree, words: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The first ``length`` nodes (one at least) and signs on the ways from ``words``, the place of the word that each
+    belongs to, and where each way starts."""
     starts = np.cumsum(length) - length
     owner = np.repeat(np.arange(len(words)), length)
     at = np.arange(len(owner)) + np.repeat(tree.start[words] - starts, length)
@@ -122,11 +132,13 @@ def log_probabilities(weights: list[np.ndarray], tree: Tree, words: np.ndarray,
     out = np.empty(len(words), dtype=np.float64)
     for first in range(0, len(words), BATCH):
         part = slice(first, first + BATCH)
-        nodes, signs, owner, starts = _way(tree, words[part])
+        nodes, signs, owner, starts = _way(tree, words[part], tree.length[words[part]])
         logits = np.einsum("md,md->m", _hidden(weights, near[part])[owner], weights[1][nodes])
         logits += weights[2][nodes]
         logits *= -signs
-        out[part] = -np.add.reduceat(np.log1p(np.exp(np.minimum(logits, 80))), starts)
+        np.exp(np.minimum(logits, 25, out=logits), out=logits)  # so the product of a way stays above the smallest number
+        logits += 1
+        out[part] = -np.log(np.multiply.reduceat(logits, starts, dtype=np.float64))
     return out
 
 
@@ -143,31 +155,54 @@ def _sums(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def train(weights: list[np.ndarray], seen: list[np.ndarray], tree: Tree, words: np.ndarray, near: np.ndarray) -> None:
     """One pass over windows, in place. ``seen`` has the squared gradients so far of the neighbours' and the nodes' rows."""
     vectors, nodes_, biases = weights
-    rows, order = len(vectors) // (2 * SIDE), np.random.default_rng(len(words)).permutation(len(words))
+    rows, order, top = len(vectors) // (2 * SIDE), np.random.default_rng(len(words)).permutation(len(words)), slice(tree.cut, None)
     for first in range(0, len(words), BATCH):
         part = order[first : first + BATCH]
         own, beside = words[part], near[part]
         hidden = _hidden(weights, beside)
-        nodes, signs, owner, starts = _way(tree, own)
-        mine, theirs = hidden[owner], nodes_[nodes]
-        logits = np.einsum("md,md->m", mine, theirs)
-        logits += biases[nodes]
-        logits *= signs
-        error = (-signs / (1 + np.exp(np.minimum(logits, 30)))).astype(np.float32)[:, None]
-        back = np.add.reduceat(error * theirs, starts, axis=0) * (1 - hidden * hidden)
-        keys, slope = _sums(nodes, np.concatenate([error * mine, error], axis=1))
-        seen[1][keys] += (slope * slope).mean(axis=1)
-        slope *= (RATE / np.sqrt(seen[1][keys] + 1e-6))[:, None]
-        nodes_[keys] -= slope[:, :-1]
-        biases[keys] -= slope[:, -1]
+        signs = tree.top[own].astype(np.float32)
+        error = _error(hidden @ nodes_[top].T + biases[top], signs)
+        back = error @ nodes_[top]
+        above = np.concatenate([error.T @ hidden, error.sum(axis=0)[:, None]], axis=1)
+        some = np.flatnonzero(tree.low[own])
+        if len(some):
+            nodes, signs, owner, starts = _way(tree, own[some], tree.low[own[some]])
+            owner = some[owner]
+            mine, theirs = hidden[owner], nodes_[nodes]
+            logits = np.einsum("md,md->m", mine, theirs)
+            logits += biases[nodes]
+            error = _error(logits, signs)[:, None]
+            back[some] += np.add.reduceat(error * theirs, starts, axis=0)
+            keys, slope = _sums(nodes, np.concatenate([error * mine, error], axis=1))
+            slope *= _rates(seen[1], keys, slope)
+            nodes_[keys] -= slope[:, :-1]
+            biases[keys] -= slope[:, -1]
+        above *= _rates(seen[1], top, above)
+        nodes_[top] -= above[:, :-1]
+        biases[top] -= above[:, -1]
+        back *= 1 - hidden * hidden
         for k in range(2 * SIDE):
             keys, slope = _sums(beside[:, k], back)
             keys += k * rows
-            seen[0][keys] += (slope * slope).mean(axis=1)
-            slope *= (RATE / np.sqrt(seen[0][keys] + 1e-6))[:, None]
+            slope *= _rates(seen[0], keys, slope)
             vectors[keys] -= slope
 
 
+def _error(logits: np.ndarray, signs: np.ndarray) -> np.ndarray:
+    """Slope of the negative log-probability of turning as ``signs`` say; 0 where the sign is."""
+    logits *= signs
+    np.exp(np.minimum(logits, 60, out=logits), out=logits)
+    logits += 1
+    return np.divide(-signs, logits, out=logits)
+
+
+def _rates(seen: np.ndarray, keys: np.ndarray | slice, slope: np.ndarray) -> np.ndarray:
+    """Adds the slopes' squares to what the rows have seen, and gives the rate of each row."""
+    sums = seen[keys] + np.einsum("md,md->m", slope, slope) / slope.shape[1]
+    seen[keys] = sums
+    return (RATE / np.sqrt(sums + 1e-6))[:, None]
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """The counts of all words: word (bytes), n. A task sends counts of some words at a time, not words."""
 
@@ -257,8 +292,8 @@ def classified(docs: DataFrame, own: list[bytes], spelling: Spelling, piece: int
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for first in range(0, len(ids), TEXTS):
                 words = [(text.as_py() or "").encode().split() for text in texts[first : first + TEXTS]]
-                found = [np.array([numbers.get(w, rest) for w in ws], dtype=np.uint16) for ws in words]
-                unknown = [w for ws, f in zip(words, found, strict=True) for w, k in zip(ws, f == rest, strict=True) if k]
+                found = [np.fromiter(map(numbers.get, ws, repeat(rest)), dtype=np.uint16, count=len(ws)) for ws in words]
+                unknown = [ws[k] for ws, f in zip(words, found, strict=True) for k in np.flatnonzero(f == rest).tolist()]
                 spelled = spelling(unknown) if unknown else np.zeros(0)
                 n_unknown = np.array([int((f == rest).sum()) for f in found])
                 before = np.concatenate([[0], np.cumsum(spelled)])[np.concatenate([[0], np.cumsum(n_unknown)])]
@@ -307,9 +342,20 @@ def fitted(pieces: DataFrame, tree: Tree, none: int, rounds: int = ROUNDS) -> li
     """The weights after training on all pieces, one part of them in each round. ``none``: the class of no neighbour."""
     context = pieces.sparkSession.sparkContext
     weights = first_weights(tree)
-    shapes = [w.shape for w in weights]
-    ends = np.cumsum([w.size for w in weights])[:-1]
-    schema = "lane int, n bigint, weights binary"
+    shape = (len(weights[0]) + len(weights[1]), weights[0].shape[1] + 1)
+    schema = "lane int, n bigint, rows binary, changes binary"
+
+    def flat(weights: list[np.ndarray]) -> np.ndarray:
+        """All weights as rows of one matrix: the neighbours' vectors, then the nodes' with their biases in a last column."""
+        wide = np.concatenate([weights[1], weights[2][:, None]], axis=1)
+        return np.concatenate([np.pad(weights[0], ((0, 0), (0, 1))), wide])
+
+    def packed(lane: int, total: int, rows: np.ndarray, changes: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({
+            "lane": pa.array([lane], pa.int32()), "n": [total], "rows": [rows.astype("<i4").tobytes()],
+            "changes": [changes.astype("<f4").tobytes()],
+        })
+
     for turn in range(rounds):
         start = context.broadcast((tree, weights))
 
@@ -323,26 +369,26 @@ def fitted(pieces: DataFrame, tree: Tree, none: int, rounds: int = ROUNDS) -> li
                     train(own, seen, tree, words, near)
                     total += len(words)
             if total:
-                flat = np.concatenate([w.ravel() for w in own])
-                yield pa.RecordBatch.from_pydict({
-                    "lane": pa.array([TaskContext.get().partitionId() % LANES], pa.int32()), "n": [total], "weights": [flat.tobytes()],
-                })
+                rows = np.flatnonzero(np.concatenate(seen))
+                yield packed(TaskContext.get().partitionId() % LANES, total, rows, (flat(own) - flat(given))[rows])
 
         def averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total, flat = 0, 0.0
+            total, sums = 0, np.zeros(shape)
             for batch in batches:
-                for n, raw in zip(batch["n"].to_pylist(), batch["weights"], strict=True):
+                for n, rows, changes in zip(batch["n"].to_pylist(), batch["rows"].to_pylist(), batch["changes"].to_pylist(), strict=True):
                     total += n
-                    flat = flat + np.frombuffer(raw.as_buffer(), dtype=np.float32) * float(n)
+                    sums[np.frombuffer(rows, "<i4")] += np.frombuffer(changes, "<f4").reshape(-1, shape[1]) * float(n)
             if total:
-                flat = (flat / total).astype(np.float32)
-                yield pa.RecordBatch.from_pydict({"lane": pa.array([0], pa.int32()), "n": [total], "weights": [flat.tobytes()]})
+                rows = np.flatnonzero(sums.any(axis=1))
+                yield packed(0, total, rows, sums[rows] / total)
 
         parts = pieces.where(f"turn = {turn}").select("classes").mapInArrow(local, schema)
         parts = parts.repartition(LANES, "lane").mapInArrow(averaged, schema).repartition(1).mapInArrow(averaged, schema)
         if row := parts.first():
-            flat = np.frombuffer(row.weights, dtype=np.float32)
-            weights = [p.reshape(shape).copy() for p, shape in zip(np.split(flat, ends), shapes, strict=True)]
+            after = flat(weights)
+            after[np.frombuffer(row.rows, "<i4")] += np.frombuffer(row.changes, "<f4").reshape(-1, shape[1])
+            near, nodes = np.split(after, [len(weights[0])])
+            weights = [np.ascontiguousarray(near[:, :-1]), np.ascontiguousarray(nodes[:, :-1]), nodes[:, -1].copy()]
         start.unpersist()
     return weights
 
