@@ -34,6 +34,8 @@ from returns_risk.sources.store import write_once
 LONGEST, LEAST, COVERED, TOP, FACTOR = 4, 30, 80, 2000, 2_000_000
 #: Words counted at a time, bytes of a text taken at a time, words remembered by a Python worker, bits of the bitmap.
 BATCH, PART, REMEMBERED, BITMAP = 500_000, 4_000_000, 300_000, 1 << 26
+#: Lanes that a language's phrases are ranked in before the first of each are ranked together.
+RANK_LANES = 256
 #: Documents pointed to whose ids are sent to every executor; beyond, the texts are shuffled to them.
 MOST_SENT = 500_000
 
@@ -309,8 +311,12 @@ def collocations(frequent: DataFrame, least: int = LEAST, covered: int = COVERED
     kept = worst.join(inner, ["lang", "phrase"], "left").where(
         f"longer IS NULL OR 100 * cast(longer AS decimal(20, 0)) < {covered} * cast(a AS decimal(20, 0))"
     )
-    order = Window.partitionBy("lang").orderBy(F.desc("cut.score"), F.desc("a"), "phrase")
-    ranked = kept.withColumn("rank", F.row_number().over(order)).where(f"rank <= {top}")
+    # The first of a language are among the first of each of its lanes, so no task ranks all its phrases.
+    kept = kept.withColumn("lane", F.expr(f"pmod(xxhash64(phrase), {RANK_LANES})"))
+    order = (F.desc("cut.score"), F.desc("a"), "phrase")
+    for keys in (("lang", "lane"), ("lang",)):
+        kept = kept.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(f"rank <= {top}")
+    ranked = kept
     totals = frequent.where("size = 0").selectExpr("lang", "f AS words")
     return ranked.join(totals, "lang").selectExpr(
         "lang", "cast(rank AS bigint) AS rank", "phrase", "a", "cut.l AS l", "cut.r AS r", "words AS n", "cut.score AS score"
