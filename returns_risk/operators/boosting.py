@@ -197,9 +197,10 @@ def train_trees(
     nodes = [(0, 0, None, None, None, None, prior, n, None)]
     start = _binned(stored, features, limits).selectExpr("_y", "_bins", f"{prior!r}D AS _score")
     path = new_path(spark, "boost-0")
-    start.selectExpr("*", *_with_gradient("_score")).write.parquet(path)
+    start = start.selectExpr("*", *_with_gradient("_score"))
+    start.write.parquet(path)
     for tree in range(1, rounds + 1):
-        rows = spark.read.parquet(path)
+        rows = spark.read.schema(start.schema).parquet(path)
         root = _one_tree(rows, shape, leaves, least_rows)
         if root.split is None:
             break
