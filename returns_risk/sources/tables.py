@@ -72,7 +72,7 @@ def support_tickets(spark: SparkSession, folder: str, long_text: bool = False) -
     phrases = " ".join(f"WHEN {i} THEN {sql_text(p)}" for i, p in enumerate(PHRASES) if p is not None)
     phrase = f"CASE (event_id * 7919) % 10 {phrases} END"
     if long_text:
-        documents = table(spark, folder, "documents")
+        documents = table(spark, folder, "documents").hint("merge")  # texts are too large to send around, as above
         source = source.join(documents, F.expr("event_id = doc_id"), "left")
         phrase = f"concat(coalesce({phrase}, ''), ' ', coalesce(text, ''))"
     return source.selectExpr(
