@@ -107,3 +107,21 @@ def test_null_and_hot_addresses_are_dealt_out(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_links_are_not_sent_around(spark, how):
+    """A row of a small file made into many: Spark's estimate is that of the file."""
+    links = spark.range(1000).selectExpr("id", "explode(sequence(0, 9)) AS k").selectExpr(
+        "concat('u', id, '.', k, '@x') AS CustomerEmail", "id AS Simulated_CustomerID"
+    )
+    tickets = spark.range(300).selectExpr(
+        "id AS TicketID", "concat('u', id * 7, '.', id % 20, '@x') AS CustomerEmail", "'t' AS TicketType", "'d' AS TicketDescription"
+    )
+    out = link_tickets(tickets, links, how)
+    known = {i: i * 7 for i in range(143) if i % 20 < 10}
+    got = {r.TicketID: r.Simulated_CustomerID for r in out.collect()}
+    assert got == (known if how == "inner" else {i: known.get(i) for i in range(300)})
+    plan = out._jdf.queryExecution().executedPlan().toString()  # as it was run, with what was changed on the way
+    joins = [line for line in plan.splitlines() if "Join [" in line and "_lane" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)
