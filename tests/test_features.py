@@ -6,7 +6,8 @@ import pytest
 from returns_risk import build_features, constants as c, score_new
 from returns_risk.operators import rules
 from returns_risk.operators.clean import clean_retail
-from returns_risk.operators.features import account_age, retail_summary, sanitize
+from returns_risk.operators.features import account_age, retail_summary, sanitize, ticket_summary
+from returns_risk.operators.text_features import score_text
 
 RETAIL = "InvoiceNo string, Quantity int, InvoiceDate string, UnitPrice decimal(12,2), CustomerID long"
 TICKETS = "TicketID long, CustomerEmail string, TicketType string, TicketDescription string, DateOfPurchase string"
@@ -124,3 +125,17 @@ def test_large_values_do_not_overflow(spark):
     retail = retail.withColumn("UnitPrice", retail.UnitPrice.cast("decimal(18,6)"))
     tickets = spark.createDataFrame([], "TicketID long, CustomerEmail string, TicketType string, TicketDescription string, DateOfPurchase string")
     assert build_features(retail, tickets).first().TotalPurchaseValue == 1e14
+
+
+def test_links_are_not_sent_around(spark):
+    """A row of a small file made into many: Spark's estimate is that of the file."""
+    links = spark.range(1000).selectExpr("id", "explode(sequence(0, 9)) AS k").selectExpr(
+        "concat('u', id, '.', k, '@x') AS CustomerEmail", f"id AS {c.CUSTOMER}"
+    )
+    tickets = spark.range(300).selectExpr(
+        "id AS TicketID", "concat('u', id * 7, '.', id % 20, '@x') AS CustomerEmail", "'t' AS TicketType", "'d' AS TicketDescription"
+    )
+    out = ticket_summary(score_text(tickets), links)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert {r[0]: r.TotalTickets for r in out.collect()} == {i * 7: 1 for i in range(143) if i % 20 < 10}
