@@ -3,7 +3,8 @@ import random
 
 import pytest
 
-from returns_risk.sources import csv as own_csv
+from returns_risk.plans import queries
+from returns_risk.sources import csv as own_csv, tables
 from returns_risk.sources.split_csv import _lines, _ranges, read_split_csv
 
 
@@ -87,3 +88,21 @@ def test_tickets_either_way(spark, small_ranges, tmp_path):
             writer.writerow([f"{k}.0" if k % 2 else k, "n", f"u{k}@x.org" if k % 5 else "", "Refund request", text, "2021-03-22"])
     whole, split = (own_csv.read_tickets(spark, str(tmp_path), split=s) for s in (False, True))
     assert whole.schema == split.schema and as_rows(whole) == as_rows(split) and whole.count() == 200
+
+
+def test_long_tickets_are_dealt_over_files(spark, small_ranges, tmp_path, monkeypatch):
+    folder = "/root/testdata/sf0.001"
+    size = tables.long_ticket_bytes(spark, folder)
+    monkeypatch.setattr(queries, "TICKET_FILE", size // 3, raising=False)
+    monkeypatch.setattr(queries, "new_path", lambda spark, name: str(tmp_path / name))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        read = queries.scan_tickets_split(spark, folder)
+        files = [path.stat().st_size for path in (tmp_path / "tickets_long_csv").glob("*.csv")]
+        assert 0.8 * size < sum(files) < 1.25 * size and len(files) > 1 and max(files) < 0.7 * size
+        got = {r.TicketID: r.TicketDescription for r in read.collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    wanted = tables.support_tickets(spark, folder, long_text=True).collect()
+    assert got == {r.TicketID: r.TicketDescription for r in wanted} and len(got) == len(wanted)
