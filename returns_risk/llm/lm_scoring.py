@@ -24,13 +24,12 @@ The pieces are scored as they are stored: texts are read twice, for counts and f
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -113,28 +112,43 @@ def windows(line: np.ndarray) -> np.ndarray:
     return np.stack([line[k : k + n] for k in range(2 * SIDE + 1) if k != SIDE], axis=1)
 
 
-def _way(tree: Tree, words: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The first ``length`` nodes (one at least) and signs on the ways from ``words``, the place of the word that each
-    belongs to, and where each way starts."""
+def _way(tree: Tree, words: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first ``length`` nodes (one at least) and signs on the ways from ``words``, and where each way starts."""
     starts = np.cumsum(length) - length
-    owner = np.repeat(np.arange(len(words)), length)
-    at = np.arange(len(owner)) + np.repeat(tree.start[words] - starts, length)
-    return tree.nodes[at], tree.signs[at], owner, starts
-
-
-def _hidden(weights: list[np.ndarray], near: np.ndarray) -> np.ndarray:
-    rows = len(weights[0]) // (2 * SIDE)
-    return np.tanh(weights[0][near + np.arange(2 * SIDE) * rows].sum(axis=1))
+    at = np.repeat(tree.start.take(words) - starts, length)
+    at += np.arange(len(at))
+    return tree.nodes.take(at), tree.signs.take(at), starts
+
+
+def _wide(weights: list[np.ndarray]) -> np.ndarray:
+    """The nodes' vectors with their biases in a column behind, and one of zeros if that makes the width even."""
+    dim = weights[1].shape[1]
+    wide = np.zeros((len(weights[1]), (dim + 2) // 2 * 2), dtype=weights[1].dtype)
+    wide[:, :dim], wide[:, dim] = weights[1], weights[2]
+    return wide
+
+
+def _hidden(vectors: np.ndarray, near: np.ndarray, width: int) -> np.ndarray:
+    """What the nodes' wide rows are multiplied with: the hidden values, 1 for the bias, and 0."""
+    rows, dim = len(vectors) // (2 * SIDE), vectors.shape[1]
+    out = np.zeros((len(near), width), dtype=vectors.dtype)
+    out[:, dim] = 1
+    total = vectors.take(near[:, 0], axis=0)
+    for k in range(1, 2 * SIDE):
+        total += vectors[k * rows : (k + 1) * rows].take(near[:, k], axis=0)
+    np.tanh(total, out=out[:, :dim])
+    return out
 
 
 def log_probabilities(weights: list[np.ndarray], tree: Tree, words: np.ndarray, near: np.ndarray) -> np.ndarray:
     """Of each class in ``words``, given its neighbours."""
-    out = np.empty(len(words), dtype=np.float64)
+    out, wide = np.empty(len(words), dtype=np.float64), _wide(weights)
     for first in range(0, len(words), BATCH):
         part = slice(first, first + BATCH)
-        nodes, signs, owner, starts = _way(tree, words[part], tree.length[words[part]])
-        logits = np.einsum("md,md->m", _hidden(weights, near[part])[owner], weights[1][nodes])
-        logits += weights[2][nodes]
+        length = tree.length.take(words[part])
+        nodes, signs, starts = _way(tree, words[part], length)
+        hidden = _hidden(weights[0], near[part], wide.shape[1])
+        logits = np.einsum("md,md->m", np.repeat(hidden, length, axis=0), wide.take(nodes, axis=0))
         logits *= -signs
         np.exp(np.minimum(logits, 25, out=logits), out=logits)  # so the product of a way stays above the smallest number
         logits += 1
@@ -142,50 +156,63 @@ def log_probabilities(weights: list[np.ndarray], tree: Tree, words: np.ndarray,
     return out
 
 
+def _runs(rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of runs of rows. Columns are added two at a time, as complex numbers: half as many steps."""
+    pairs = rows.view(np.complex64) if rows.shape[1] % 2 == 0 else rows
+    return np.add.reduceat(pairs, starts, axis=0).view(np.float32)
+
+
 def _sums(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, and the sums of their rows."""
     order = np.argsort(keys, kind="stable")
-    keys = keys[order]
+    keys = keys.take(order)
     new = np.empty(len(keys), dtype=bool)
     new[0], new[1:] = True, keys[1:] != keys[:-1]
     at = np.flatnonzero(new)
-    return keys[at].astype(np.int64), np.add.reduceat(rows[order], at, axis=0)
+    return keys.take(at).astype(np.int64), _runs(rows.take(order, axis=0), at)
+
+
+def _less(rows: np.ndarray, keys: np.ndarray, slope: np.ndarray) -> None:
+    """Takes the slopes off the rows of distinct keys. Rows are written as one item each, not number by number."""
+    item = f"V{rows.shape[1] * rows.itemsize}"
+    rows.view(item)[keys] = (rows.take(keys, axis=0) - slope).view(item)
 
 
 def train(weights: list[np.ndarray], seen: list[np.ndarray], tree: Tree, words: np.ndarray, near: np.ndarray) -> None:
     """One pass over windows, in place. ``seen`` has the squared gradients so far of the neighbours' and the nodes' rows."""
     vectors, nodes_, biases = weights
     rows, order, top = len(vectors) // (2 * SIDE), np.random.default_rng(len(words)).permutation(len(words)), slice(tree.cut, None)
+    wide, dim = _wide(weights), nodes_.shape[1]
     for first in range(0, len(words), BATCH):
         part = order[first : first + BATCH]
-        own, beside = words[part], near[part]
-        hidden = _hidden(weights, beside)
-        signs = tree.top[own].astype(np.float32)
-        error = _error(hidden @ nodes_[top].T + biases[top], signs)
-        back = error @ nodes_[top]
-        above = np.concatenate([error.T @ hidden, error.sum(axis=0)[:, None]], axis=1)
-        some = np.flatnonzero(tree.low[own])
-        if len(some):
-            nodes, signs, owner, starts = _way(tree, own[some], tree.low[own[some]])
-            owner = some[owner]
-            mine, theirs = hidden[owner], nodes_[nodes]
-            logits = np.einsum("md,md->m", mine, theirs)
-            logits += biases[nodes]
-            error = _error(logits, signs)[:, None]
-            back[some] += np.add.reduceat(error * theirs, starts, axis=0)
-            keys, slope = _sums(nodes, np.concatenate([error * mine, error], axis=1))
-            slope *= _rates(seen[1], keys, slope)
-            nodes_[keys] -= slope[:, :-1]
-            biases[keys] -= slope[:, -1]
-        above *= _rates(seen[1], top, above)
-        nodes_[top] -= above[:, :-1]
-        biases[top] -= above[:, -1]
-        back *= 1 - hidden * hidden
+        low = tree.low.take(words.take(part)) > 0
+        some = int(low.sum())
+        part = np.concatenate([part[low], part[~low]])  # those with low nodes first
+        own, beside = words.take(part), near.take(part, axis=0)
+        hidden = _hidden(vectors, beside, wide.shape[1])
+        error = _error(hidden @ wide[top].T, tree.top.take(own, axis=0).astype(np.float32))
+        back = error @ wide[top, :dim]
+        above = error.T @ hidden
+        if some:
+            length = tree.low.take(own[:some])
+            nodes, signs, starts = _way(tree, own[:some], length)
+            mine, theirs = np.repeat(hidden[:some], length, axis=0), wide.take(nodes, axis=0)
+            error = _error(np.einsum("md,md->m", mine, theirs), signs)[:, None]
+            theirs *= error
+            back[:some] += _runs(theirs, starts)[:, :dim]
+            mine *= error
+            keys, slope = _sums(nodes, mine)
+            slope *= _rates(seen[1], keys, slope, dim + 1)
+            _less(wide, keys, slope)
+        above *= _rates(seen[1], top, above, dim + 1)
+        wide[top] -= above
+        back *= 1 - hidden[:, :dim] * hidden[:, :dim]
         for k in range(2 * SIDE):
             keys, slope = _sums(beside[:, k], back)
             keys += k * rows
-            slope *= _rates(seen[0], keys, slope)
-            vectors[keys] -= slope
+            slope *= _rates(seen[0], keys, slope, dim)
+            _less(vectors, keys, slope)
+    nodes_[:], biases[:] = wide[:, :dim], wide[:, dim]
 
 
 def _error(logits: np.ndarray, signs: np.ndarray) -> np.ndarray:
@@ -196,43 +223,55 @@ def _error(logits: np.ndarray, signs: np.ndarray) -> np.ndarray:
     return np.divide(-signs, logits, out=logits)
 
 
-def _rates(seen: np.ndarray, keys: np.ndarray | slice, slope: np.ndarray) -> np.ndarray:
-    """Adds the slopes' squares to what the rows have seen, and gives the rate of each row."""
-    sums = seen[keys] + np.einsum("md,md->m", slope, slope) / slope.shape[1]
+def _rates(seen: np.ndarray, keys: np.ndarray | slice, slope: np.ndarray, width: int) -> np.ndarray:
+    """Adds the mean squares of the slopes' ``width`` numbers to what the rows have seen, and gives the rate of each row."""
+    sums = seen[keys] + np.einsum("md,md->m", slope, slope) / width
     seen[keys] = sums
     return (RATE / np.sqrt(sums + 1e-6))[:, None]
 
 
+def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts in a row, as bytes, and how many each text has."""
+    lists = pc.ascii_split_whitespace(texts)
+    n = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    words = lists.flatten().cast(pa.binary())
+    there = pc.binary_length(words).to_numpy() > 0  # white space at either end of a text leaves an empty word there
+    if there.all():
+        return words, n
+    return words.filter(pa.array(there)), np.bincount(np.repeat(np.arange(len(n)), n)[there], minlength=len(n))
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """The counts of all words: word (bytes), n. A task sends counts of some words at a time, not words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-
-        def made() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
-            counts.clear()
-            return out
-
+        held, rows = [], 0
         for batch in batches:
-            for text in batch.column(0):
-                counts.update((text.as_py() or "").encode().split())
-                if len(counts) >= MOST_COUNTED:
-                    yield made()
-        yield made()
+            for first in range(0, batch.num_rows, TEXTS):
+                counts = _split(batch.column(0).slice(first, TEXTS))[0].value_counts()
+                held.append(pa.table({"word": counts.field("values"), "n": counts.field("counts")}))
+                rows += len(counts)
+                if rows >= 2 * MOST_COUNTED:
+                    held = [pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])]
+                    rows = len(held[0])
+                if rows >= MOST_COUNTED and len(held) == 1:
+                    yield from held.pop().to_batches()
+                    rows = 0
+        for table in held:
+            yield from table.to_batches()
 
     rows = docs.select("text").mapInArrow(count, "word binary, n bigint")
     return write_once(rows.groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
 
 
-def _transitions(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def _transitions(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Steps from byte to byte (``BYTES`` times the one before, plus the next) of words in a row, and their starts."""
-    length = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
+    length = pc.binary_length(words).to_numpy().astype(np.int64) + 1
     line = np.full(int(length.sum()) + 1, 256, dtype=np.int64)
     ends = np.cumsum(length)
     inside = np.ones(len(line), dtype=bool)
     inside[0], inside[ends] = False, False
-    line[inside] = np.frombuffer(b"".join(words), dtype=np.uint8)
+    line[inside] = np.frombuffer(pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), b"")[0].as_py(), dtype=np.uint8)
     return line[:-1] * BYTES + line[1:], ends - length
 
 
@@ -243,9 +282,9 @@ class Spelling:
         table = cells.reshape(BYTES, BYTES) + 1.0
         self.table = np.log(table / table.sum(axis=1, keepdims=True)).ravel()
         self.rest = 0.0
-        self.rest = float(np.log1p(-min(np.exp(self(excluded)).sum(), 0.999))) if excluded else 0.0
+        self.rest = float(np.log1p(-min(np.exp(self(pa.array(excluded, pa.binary()))).sum(), 0.999))) if excluded else 0.0
 
-    def __call__(self, words: list[bytes]) -> np.ndarray:
+    def __call__(self, words: pa.Array) -> np.ndarray:
         steps, starts = _transitions(words)
         return np.add.reduceat(self.table[steps], starts) - self.rest
 
@@ -261,8 +300,8 @@ def vocabulary(counts: DataFrame, least: int = LEAST, most_own: int = MOST_OWN)
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(BYTES * BYTES, dtype=np.int64)
         for batch in batches:
-            words = batch.column(0).to_pylist()
-            if words:
+            words = batch.column(0)
+            if len(words):
                 steps, starts = _transitions(words)
                 np.add.at(cells, steps, np.repeat(batch.column(1).to_numpy(), np.diff(np.append(starts, len(steps)))))
         some = np.flatnonzero(cells)
@@ -286,25 +325,25 @@ def classified(docs: DataFrame, own: list[bytes], spelling: Spelling, piece: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, spelling = sent.value
-        numbers, rest, none = {word: k for k, word in enumerate(own)}, len(own), len(own) + 1
-        gap, part, done, cut = np.full(SIDE, none, dtype=np.uint16), TaskContext.get().partitionId() << 36, 0, 0
+        known, rest, none = pa.array(own, pa.binary()), len(own), len(own) + 1
+        part, done, cut = TaskContext.get().partitionId() << 36, 0, 0
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for first in range(0, len(ids), TEXTS):
-                words = [(text.as_py() or "").encode().split() for text in texts[first : first + TEXTS]]
-                found = [np.fromiter(map(numbers.get, ws, repeat(rest)), dtype=np.uint16, count=len(ws)) for ws in words]
-                unknown = [ws[k] for ws, f in zip(words, found, strict=True) for k in np.flatnonzero(f == rest).tolist()]
-                spelled = spelling(unknown) if unknown else np.zeros(0)
-                n_unknown = np.array([int((f == rest).sum()) for f in found])
-                before = np.concatenate([[0], np.cumsum(spelled)])[np.concatenate([[0], np.cumsum(n_unknown)])]
-                uids = part + done + np.arange(len(found))
-                done += len(found)
+            ids = batch.column(0)
+            for first in range(0, batch.num_rows, TEXTS):
+                words, n = _split(batch.column(1).slice(first, TEXTS))
+                found = pc.index_in(words, value_set=known).fill_null(rest).to_numpy()
+                text = np.repeat(np.arange(len(n)), n)
+                unknown = found == rest
+                spelled = spelling(words.filter(pa.array(unknown))) if unknown.any() else np.zeros(0)
+                uids = part + done + np.arange(len(n))
+                done += len(n)
                 yield _batch(
-                    uid=uids, n=[len(f) for f in found], turn=[-1] * len(found), classes=[None] * len(found), ends=[None] * len(found),
-                    uids=[None] * len(found), doc_id=ids[first : first + TEXTS], spelled=np.diff(before),
+                    uid=uids, n=n, turn=[-1] * len(n), classes=[None] * len(n), ends=[None] * len(n), uids=[None] * len(n),
+                    doc_id=ids.slice(first, TEXTS), spelled=np.bincount(text[unknown], weights=spelled, minlength=len(n)),
                 )
-                line = np.concatenate([gap, *(p for f in found for p in (f, gap))])
-                owner = np.concatenate([np.append(np.repeat(k, len(f)), [-1] * SIDE) for k, f in zip(range(len(found)), found, strict=True)])
+                at = np.arange(len(found)) + SIDE * text
+                line, owner = np.full(len(found) + SIDE * (len(n) + 1), none, dtype=np.uint16), np.full(len(found) + SIDE * len(n), -1)
+                line[at + SIDE], owner[at] = found, text
                 for start in range(0, len(owner), piece):
                     mine = owner[start : start + piece]
                     real = mine >= 0
@@ -334,8 +373,8 @@ def _piece(raw: bytes, none: int) -> tuple[np.ndarray, np.ndarray]:
     """The classes of a piece's words, and their neighbours."""
     line = np.frombuffer(raw, dtype=np.uint16)
     own = line[SIDE:-SIDE]
-    real = own != none
-    return own[real], windows(line)[real]
+    at = np.flatnonzero(own != none)
+    return own.take(at), windows(line).take(at, axis=0)
 
 
 def fitted(pieces: DataFrame, tree: Tree, none: int, rounds: int = ROUNDS) -> list[np.ndarray]:

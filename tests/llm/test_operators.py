@@ -5,8 +5,11 @@ import hashlib
 import random
 import re
 import string
+import time
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from returns_risk.llm import (
@@ -490,6 +493,96 @@ def test_gradients_of_the_language_model():
         assert (after[k][at] - start[k][at]) * 100 / lm_scoring.RATE == pytest.approx(slope, rel=0.02, abs=0.01)
 
 
+def language_windows(classes, n):
+    rng = np.random.default_rng(6)
+    shares = 1 / np.arange(1, classes + 1)
+    tree = lm_scoring.tree_of(np.maximum(1, 1e6 * shares).astype(np.int64))
+    line = rng.choice(classes, n + 4, p=shares / shares.sum()).astype(np.uint16)
+    return tree, line[2:-2], lm_scoring.windows(line)
+
+
+def plain_scores(weights, tree, words, near):
+    """Row by row with index arrays, as the query did before."""
+    out, rows = np.empty(len(words)), len(weights[0]) // 4
+    for first in range(0, len(words), lm_scoring.BATCH):
+        own = words[first : first + lm_scoring.BATCH]
+        length = tree.length[own]
+        starts, owner = np.cumsum(length) - length, np.repeat(np.arange(len(own)), length)
+        at = np.arange(len(owner)) + np.repeat(tree.start[own] - starts, length)
+        hidden = np.tanh(weights[0][near[first : first + len(own)] + np.arange(4) * rows].sum(axis=1))
+        logits = np.einsum("md,md->m", hidden[owner], weights[1][tree.nodes[at]])
+        logits += weights[2][tree.nodes[at]]
+        logits = 1 + np.exp(np.minimum(logits * -tree.signs[at], 25))
+        out[first : first + len(own)] = -np.log(np.multiply.reduceat(logits, starts, dtype=np.float64))
+    return out
+
+
+def plain_training(weights, seen, tree, words, near):
+    vectors, nodes_, biases = weights
+    rows, order = len(vectors) // 4, np.random.default_rng(len(words)).permutation(len(words))
+    for first in range(0, len(words), lm_scoring.BATCH):
+        own, beside = words[order[first : first + lm_scoring.BATCH]], near[order[first : first + lm_scoring.BATCH]] + np.arange(4) * rows
+        hidden = np.tanh(vectors[beside].sum(axis=1))
+        owner = np.repeat(np.arange(len(own)), tree.length[own])
+        at = np.concatenate([np.arange(tree.start[w], tree.start[w] + tree.length[w]) for w in own])
+        nodes, signs = tree.nodes[at], tree.signs[at].astype(np.float64)
+        error = -signs / (1 + np.exp(signs * ((hidden[owner] * nodes_[nodes]).sum(axis=1) + biases[nodes])))
+        slopes, back, far = np.zeros_like(vectors), np.zeros_like(hidden), np.zeros((len(nodes_), nodes_.shape[1] + 1))
+        np.add.at(far, nodes, error[:, None] * np.hstack([hidden[owner], np.ones((len(owner), 1))]))
+        np.add.at(back, owner, error[:, None] * nodes_[nodes])
+        for k in range(4):
+            np.add.at(slopes, beside[:, k], back * (1 - hidden * hidden))
+        for slope, sums in ((slopes, seen[0]), (far, seen[1])):
+            sums += (slope * slope).mean(axis=1)
+            slope *= (lm_scoring.RATE / np.sqrt(sums + 1e-6))[:, None]
+        vectors -= slopes
+        nodes_ -= far[:, :-1]
+        biases -= far[:, -1]
+
+
+@pytest.mark.parametrize("classes, dim", [(300, 8), (300, 5), (20, 8), (2, 8)])
+def test_training_of_the_language_model(classes, dim):
+    tree, words, near = language_windows(classes, 5000)
+    got, plain = lm_scoring.first_weights(tree, dim), [w.astype(np.float64) for w in lm_scoring.first_weights(tree, dim)]
+    seen, sums = [np.zeros(len(w), dtype=np.float32) for w in got[:2]], [np.zeros(len(w)) for w in got[:2]]
+    lm_scoring.train(got, seen, tree, words, near)
+    plain_training(plain, sums, tree, words, near)
+    for one, other in zip([*got, *seen], [*plain, *sums], strict=True):
+        assert one == pytest.approx(other, rel=1e-2, abs=2e-3)
+    assert lm_scoring.log_probabilities(got, tree, words, near) == pytest.approx(plain_scores(plain, tree, words, near), abs=2e-2)
+
+
+def test_scoring_time_of_the_language_model():
+    """CPU time of the query's scoring against the same sums by index arrays: about the same before, less than half now."""
+    tree, words, near = language_windows(20_000, 1 << 16)
+    weights = lm_scoring.first_weights(tree)
+    weights[1] += np.random.default_rng(8).normal(0, 0.3, weights[1].shape).astype(np.float32)
+    times = {lm_scoring.log_probabilities: [], plain_scores: []}
+    scores = []
+    for function in [*times] * 5:
+        begun = time.thread_time()
+        scores.append(function(weights, tree, words, near))
+        times[function].append(time.thread_time() - begun)
+    assert scores[0] == pytest.approx(scores[1], rel=1e-4)
+    assert min(times[lm_scoring.log_probabilities]) < 0.75 * min(times[plain_scores])
+
+
+def test_language_model_splits_like_python():
+    odd = ["", None, "  ", " a  b\t\tc\n", "x\x0by\x0cz\rw", "p\x1cq\x1dr\x1es\x1ft\x85u\xa0v\u2003w", "n\0ul", "é 𝒳", "a"]
+    for texts in (odd, odd[1:2], odd[:3], ["a b", "c"], []):
+        words, n = lm_scoring._split(pa.array(["before", *texts, "after"], pa.string()).slice(1, len(texts)))
+        assert words.to_pylist() == [w for t in texts for w in (t or "").encode().split()]
+        assert n.tolist() == [len((t or "").encode().split()) for t in texts]
+
+
+def test_language_model_counts_in_parts(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"w{k % 7} w{k} x\u00e9  w{k % 3}\n") for k in range(400)], "doc_id long, text string").repartition(2)
+    expected = Counter(w for r in docs.collect() for w in r.text.encode().split())
+    monkeypatch.setattr(lm_scoring, "MOST_COUNTED", 20)
+    monkeypatch.setattr(lm_scoring, "TEXTS", 9)
+    assert {bytes(r.word): r.n for r in lm_scoring.word_counts(docs).collect()} == expected
+
+
 def test_language_model_learns_both_sides(spark):
     rng = random.Random(1)
     pairs = [("a", "b"), ("c", "d"), ("e", "f")]
