@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from returns_risk import constants as c
 from returns_risk.operators import boosting
@@ -142,3 +143,46 @@ def test_patterns_give_shapley_values(spark, monkeypatch):
             assert row.base + sum(row.phi) == pytest.approx(odds, abs=1e-9)
     lone = explain_trees(frame, model.where("tree = 0")).first()
     assert lone.phi == [0.0] * 17 and lone.base == trees[0][0]["value"]
+
+
+def test_equal_trees_however_many_rows_a_task_grows_on(spark, monkeypatch):
+    frame = write_once(labelled(spark, 900), "labelled")
+    models = []
+    for most in (1 << 18, 300, 60, 0):  # all in tasks, first levels by sums, all by sums
+        monkeypatch.setattr(boosting, "TASK_ROWS", most)
+        models.append(nodes_of(boosting.train_trees(frame.repartition(5), rounds=3, leaves=12)))
+    assert models[0] == models[1] == models[2] == models[3] and max(r[0] for r in models[0]) == 3
+
+
+def test_rows_without_label_have_no_gradient(spark, monkeypatch):
+    frame = labelled(spark, 300).withColumn(c.LABEL, F.expr(f"if({c.CUSTOMER} % 7 = 0, NULL, {c.LABEL})"))
+    models = []
+    for most in (1 << 18, 0):
+        monkeypatch.setattr(boosting, "TASK_ROWS", most)
+        models.append(nodes_of(boosting.train_trees(frame, rounds=2, leaves=4)))
+    assert models[0] == models[1] and sum(r[7] for r in models[0] if r[0] == 1 and r[2] is None) == 300
+
+
+def test_many_large_trees_are_scored_as_data(spark):
+    names = list(c.FEATURES)
+    nodes, trees = [(0, 0, None, None, None, None, -0.25, 1, None)], 100
+    for tree in range(1, trees + 1):  # a chain of 30 splits: 31 leaves
+        for k in range(30):
+            limit = (tree * 7 + k * 13) % 40 / 8 - 1
+            nodes.append((tree, 2 * k, names[(tree + k) % 17], limit, 2 * k + 1, 2 * k + 2, None, 1, 1.0))
+            nodes.append((tree, 2 * k + 1, None, None, None, None, (k - tree % 29) / 1000, 1, None))
+        nodes.append((tree, 60, None, None, None, None, 0.03, 1, None))
+    model = spark.createDataFrame(nodes, boosting.NODES)
+    frame = write_once(labelled(spark, 60), "labelled")
+    plan = boosting.score_trees(frame, model)._jdf.queryExecution().executedPlan().toString()
+    assert len(plan) < 50_000  # the trees aren't a part of the plan
+    local = {row[c.CUSTOMER]: row for row in frame.collect()}
+    by_tree = boosting.tree_nodes(model)
+    for row in boosting.score_trees(frame, model).collect():
+        odds = 0.0
+        for own in by_tree.values():
+            node = own[0]
+            while node["feature"]:
+                node = own[node["left" if local[row[c.CUSTOMER]][node["feature"]] <= node["threshold"] else "right"]]
+            odds += node["value"]
+        assert row[c.PROBABILITY] == pytest.approx(1 / (1 + math.exp(-odds)), abs=1e-14)

@@ -1,9 +1,13 @@
+import inspect
+
 import duckdb
 import pandas as pd
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from check import TABLES, comparable
+from returns_risk.operators import boosting
+from returns_risk.plans.oracle_trees import whole_ctes
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -43,3 +47,14 @@ def test_tree_queries(spark):
     scored = queries()["gbt_scored"](spark, FOLDER).toPandas()
     assert len(scored) == 30 and scored.Predicted_Probability.between(0, 1).all()
     assert queries()["gbt_shapley"](spark, FOLDER).count() == 30 * 17
+
+
+def test_gbt_scored_trains_the_whole_model(spark, monkeypatch):
+    asked = []
+    train = boosting.train_trees
+    monkeypatch.setattr(boosting, "train_trees", lambda df, **size: (asked.append(size), train(df, **{"rounds": 1, **size}))[1])
+    queries()["gbt_scored"](spark, FOLDER)
+    assert asked == [{}]  # no smaller size than the operator's own, which the SQL twin has too
+    for function in (train, whole_ctes):
+        size = inspect.signature(function).parameters
+        assert (size["rounds"].default, size["leaves"].default) == (100, 31)
